@@ -65,51 +65,3 @@ vtx AS (
 
 def with_prelude(body: str) -> str:
     return "WITH " + PRELUDE.strip() + ",\n" + body.strip()
-
-
-ORACLE: dict[str, str] = {}
-
-ORACLE["sibling_index"] = with_prelude("""
-res AS (
-  SELECT 'chapter' AS level, course_id, chapter_id AS node_id, CAST(idx AS BIGINT) AS idx FROM chx
-  UNION ALL SELECT 'sequential', course_id, seq_id, CAST(idx AS BIGINT) FROM sqx
-  UNION ALL SELECT 'vertical', course_id, vert_id, CAST(idx AS BIGINT) FROM vtx)
-SELECT * FROM res
-""")
-
-ORACLE["build_hierarchy"] = with_prelude("""
-res AS (SELECT course_id, chapter_id, seq_id, vert_id, vert_title AS display_name FROM vt)
-SELECT * FROM res
-""")
-
-ORACLE["blocks"] = with_prelude("""
-res AS (
-  SELECT course_id, vert_id, CAST(block_idx AS BIGINT) AS block_idx, block_type, base AS display_name,
-         vpath || '/' || base || ext AS fs_path
-  FROM blk)
-SELECT * FROM res
-""")
-
-ORACLE["rollup_updated_at"] = with_prelude(f"""
-fts AS (
-  SELECT l_orderkey AS o_orderkey, l_shipdate + to_days(CASE WHEN l_linenumber % 2 = 1 THEN -10 ELSE 10 END) AS ts
-  FROM blk WHERE l_quantity <= 45
-  UNION ALL SELECT l_orderkey, l_shipdate + INTERVAL 3 DAY FROM blk WHERE l_returnflag = 'N'
-  UNION ALL SELECT o_orderkey, o_orderdate + INTERVAL 1000 DAY FROM vt WHERE variant = 1),
-hb AS (SELECT DISTINCT l_orderkey FROM lineitem),
-vmax AS (SELECT o_orderkey, max(ts) AS ts FROM fts GROUP BY o_orderkey),
-v AS (
-  SELECT vt.course_id, vt.chapter_id, vt.seq_id, vt.vert_id,
-         CASE WHEN hb.l_orderkey IS NOT NULL THEN vmax.ts END AS ts
-  FROM vt LEFT JOIN hb ON hb.l_orderkey = vt.o_orderkey LEFT JOIN vmax ON vmax.o_orderkey = vt.o_orderkey),
-s AS (SELECT sq.course_id, sq.seq_id, (SELECT max(ts) FROM v WHERE v.seq_id = sq.seq_id) AS ts FROM sq),
-c AS (SELECT ch.course_id, ch.chapter_id, (SELECT max(ts) FROM v WHERE v.chapter_id = ch.chapter_id) AS ts FROM ch),
-r AS (SELECT 'R' || r_regionkey AS course_id,
-             (SELECT max(ts) FROM v WHERE v.course_id = 'R' || r_regionkey) AS ts FROM region),
-res AS (
-  SELECT 'vertical' AS level, course_id, vert_id AS node_id, {ts_sql('ts')} AS updated_at FROM v
-  UNION ALL SELECT 'sequential', course_id, seq_id, {ts_sql('ts')} FROM s
-  UNION ALL SELECT 'chapter', course_id, chapter_id, {ts_sql('ts')} FROM c
-  UNION ALL SELECT 'course', course_id, course_id, {ts_sql('ts')} FROM r)
-SELECT * FROM res
-""")

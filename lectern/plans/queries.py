@@ -1,93 +1,4 @@
-"""Registered queries: each takes (spark, sf_dir) and returns a DataFrame.
+"""All registered queries (importing the modules registers them)."""
 
-Every query reads the driver's tables through the stand-in catalogue and runs the
-library's operators over all of it; results are normalised (see ``normalize``) so the
-DuckDB oracle can compare them.
-"""
-
-from __future__ import annotations
-
-from collections.abc import Callable
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from lectern.operators.hierarchy import Hierarchy, build_hierarchy
-from lectern.operators.timestamps import rollup_updated_at as _rollup
-from lectern.plans.normalize import normalize
-from lectern.sources import catalogue
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-
-
-def query(name: str):
-    def deco(fn):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return normalize(fn(spark, sf_dir))
-        run.__name__ = name
-        run.__doc__ = fn.__doc__
-        QUERIES[name] = run
-        return run
-    return deco
-
-
-@dataclass
-class Ctx:
-    files: DataFrame
-    h: Hierarchy
-    commits: DataFrame
-
-
-_CTX: dict[tuple[int, str], Ctx] = {}
-
-
-def ctx(spark: SparkSession, sf_dir: str) -> Ctx:
-    key = (id(spark), sf_dir)
-    if key not in _CTX:
-        files = catalogue.course_files(spark, sf_dir)
-        _CTX[key] = Ctx(files=files, h=build_hierarchy(files), commits=catalogue.course_commits(spark, sf_dir))
-    return _CTX[key]
-
-
-# ----------------------------------------------------------------------------- hierarchy
-
-
-@query("sibling_index")
-def q_sibling_index(spark, sf_dir):
-    """WIN-1: 0-based sibling position of every chapter, sequential and vertical."""
-    h = ctx(spark, sf_dir).h
-    return (h.chapters.select(F.lit("chapter").alias("level"), "course_id", F.col("chapter_id").alias("node_id"), "idx")
-            .unionByName(h.sequentials.select(F.lit("sequential").alias("level"), "course_id",
-                                              F.col("seq_id").alias("node_id"), "idx"))
-            .unionByName(h.verticals.select(F.lit("vertical").alias("level"), "course_id",
-                                            F.col("vert_id").alias("node_id"), "idx")))
-
-
-@query("build_hierarchy")
-def q_build_hierarchy(spark, sf_dir):
-    """JOIN-1: every vertical with its sequential, chapter and course ids."""
-    h = ctx(spark, sf_dir).h
-    return h.verticals.select("course_id", "chapter_id", "seq_id", "vert_id", "display_name")
-
-
-@query("blocks")
-def q_blocks(spark, sf_dir):
-    """SRT-1 / PRJ-4 / PRJ-5 / PRJ-6: blocks with position, type, name and fs path."""
-    h = ctx(spark, sf_dir).h
-    return h.blocks.select("course_id", "vert_id", "block_idx", "block_type", "display_name", "fs_path")
-
-
-@query("rollup_updated_at")
-def q_rollup_updated_at(spark, sf_dir):
-    """AGG-1: last-change time of every vertical, sequential, chapter and course."""
-    c = ctx(spark, sf_dir)
-    r = _rollup(c.h, c.commits)
-    return (r["vertical"].select(F.lit("vertical").alias("level"), "course_id", F.col("vert_id").alias("node_id"),
-                                 "updated_at")
-            .unionByName(r["sequential"].select(F.lit("sequential").alias("level"), "course_id",
-                                                F.col("seq_id").alias("node_id"), "updated_at"))
-            .unionByName(r["chapter"].select(F.lit("chapter").alias("level"), "course_id",
-                                             F.col("chapter_id").alias("node_id"), "updated_at"))
-            .unionByName(r["course"].select(F.lit("course").alias("level"), "course_id",
-                                            F.col("url_name").alias("node_id"), "updated_at")))
+from lectern.plans import q_hierarchy, q_text  # noqa: F401
+from lectern.plans.registry import ORACLE, QUERIES  # noqa: F401

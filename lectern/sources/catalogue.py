@@ -74,7 +74,9 @@ def problem_markdown(kind: Column, name: Column, ptype: Column, brand: Column, p
     multi = F.concat(label, F.lit("[x] "), brand, F.lit(" {{selected: yes "), ptype,
                      F.lit("},{unselected: no "), ptype, F.lit("}}\n[ ] "), ptype,
                      F.lit("\n[x] "), name, F.lit("\n"), hint)
-    dropdown = F.concat(label, F.lit("[["), ptype, F.lit(", ("), brand, F.lit("), "), name, F.lit("]]\n"))
+    dropdown = F.concat(label, F.lit("[["), ptype, F.lit(", ("), brand, F.lit("), "), name, F.lit("]]\n"),
+                        F.lit("\n---\n+(x) ```\nprint('"), brand, F.lit("')\n``` -(x)-\n+( ) "), ptype,
+                        F.lit(" -( )-\n"))
     numeric = F.concat(label, F.lit("= "), price.cast("string"), F.lit(" +- 0.5\nor= "),
                        (price + F.lit(1)).cast("string"), F.lit("\n"))
     string = F.concat(label, F.lit("s= "), brand, F.lit("\nor= "), ptype, F.lit("\nnot= "), name,
@@ -91,6 +93,17 @@ def problem_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      F.col("p_brand"), F.col("p_retailprice")).alias("text"))
 
 
+def code_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with inline and fenced code for the escaping functions: ``doc_id, variant, text``."""
+    p = table(spark, sf_dir, "part")
+    inline = F.concat(F.col("p_name"), F.lit(" `a|"), _s("p_size"), F.lit("&b` c"))
+    fenced = F.concat(F.lit("```\n"), F.col("p_name"), F.lit(" <x> | y & z\n```"))
+    return p.select(F.col("p_partkey").alias("doc_id"),
+                    F.explode(F.array(F.struct(F.lit("inline").alias("variant"), inline.alias("text")),
+                                      F.struct(F.lit("fenced").alias("variant"), fenced.alias("text")))).alias("d")
+                    ).select("doc_id", "d.variant", "d.text")
+
+
 def _block_lines(spark, sf_dir) -> DataFrame:
     """Line items with their order's folder and their position in the order."""
     li = table(spark, sf_dir, "lineitem")
@@ -232,3 +245,34 @@ def course_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
                            (F.col("o_orderdate") + F.make_dt_interval(F.lit(1000))).alias("author_ts"),
                            (F.col("o_orderdate") + F.make_dt_interval(F.lit(1000))).alias("committer_ts")))
     return block_commits.unionByName(repl_commits).unionByName(idx_commits)
+
+
+# --------------------------------------------------------------------------------------
+# materialisation: the stand-in is written once per session as parquet below the shared
+# checkpoint folder, so every query scans a stored catalogue (as a deployment would)
+# instead of re-deriving it from the driver's tables.
+
+_WRITTEN: set[tuple[int, str]] = set()
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    import hashlib
+    import os
+
+    from lectern.session import checkpoint_dir
+
+    tag = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
+    path = f"{checkpoint_dir(spark).rstrip('/')}/lectern-catalogue/{tag}/{name}"
+    key = (id(spark), path)
+    if key not in _WRITTEN:
+        build(spark, sf_dir).write.mode("overwrite").parquet(path)
+        _WRITTEN.add(key)
+    return spark.read.parquet(path)
+
+
+def stored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "files", course_files)
+
+
+def stored_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "commits", course_commits)
