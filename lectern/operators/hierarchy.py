@@ -162,3 +162,15 @@ def build_hierarchy(files: DataFrame) -> Hierarchy:
     writeback = levels.filter(F.col("id_derived")).select("course_id", "folder", "url_name")
     return Hierarchy(courses=course_index(f), chapters=chapters, sequentials=sequentials,
                      verticals=verticals, blocks=blocks, folders=levels, id_writeback=writeback, files=f)
+
+
+def store_hierarchy(h: Hierarchy, base: str, spark) -> Hierarchy:
+    """Write the level tables once (parquet below ``base``) and return a hierarchy that
+    reads them: later stages scan stored tables instead of re-deriving the tree, and the
+    lineage is cut on shared storage (safe when executors are lost)."""
+    out = {}
+    for name in ("courses", "chapters", "sequentials", "verticals", "blocks", "folders", "id_writeback"):
+        path = f"{base}/{name}"
+        getattr(h, name).write.mode("overwrite").parquet(path)
+        out[name] = spark.read.parquet(path)
+    return Hierarchy(files=h.files, **out)

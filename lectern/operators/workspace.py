@@ -72,7 +72,8 @@ def repl_roles(repls: DataFrame, keys: list[str]) -> DataFrame:
                     clean_path(F.concat_ws("/", F.col("folder"), F.col("x.rel"))).alias("role_dir")))
 
 
-def attach_files(roles: DataFrame, files: DataFrame, keys: list[str], wrapper: list[str] | None = None) -> DataFrame:
+def attach_files(roles: DataFrame, files: DataFrame, keys: list[str], wrapper: list[str] | None = None,
+                 min_level: int = 3) -> DataFrame:
     """JOIN-4 + SRC-6: every file below each role folder, as workspace rows.
 
     ``files`` needs ``course_id, path, parts, depth, content``. Each file is joined to a
@@ -81,9 +82,11 @@ def attach_files(roles: DataFrame, files: DataFrame, keys: list[str], wrapper: l
     from the distinct ancestors of the relative paths.
     """
     wrapper = JAVA_WRAPPER if wrapper is None else wrapper
-    anc = (files.filter(F.col("depth") >= 1)
+    # role folders live in (or are) a vertical folder: only ancestors from level 3 down
+    # are candidates, so a block file emits one row and a workspace file one per level
+    anc = (files.filter(F.col("depth") >= min_level)
            .select("course_id", "path", "content",
-                   F.explode(F.transform(F.sequence(F.lit(1), F.col("depth")),
+                   F.explode(F.transform(F.sequence(F.lit(min_level), F.col("depth")),
                                          lambda i: F.array_join(F.slice(F.col("parts"), 1, i), "/"))).alias("anc")))
     hit = roles.join(anc.withColumnRenamed("anc", "role_dir"), ["course_id", "role_dir"])
     rel = F.expr("substring(path, length(role_dir) + 2)")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.operators.records import CourseRecords
 from lectern.operators.timestamps import rollup_updated_at
 from lectern.plans.oracle import with_prelude
-from lectern.plans.registry import ctx, query
+from lectern.plans.registry import query, stored_ctx
 
 _RECORDS: dict = {}
 
@@ -16,7 +16,7 @@ _RECORDS: dict = {}
 def records(spark, sf_dir) -> CourseRecords:
     key = (id(spark), sf_dir)
     if key not in _RECORDS:
-        c = ctx(spark, sf_dir)
+        c = stored_ctx(spark, sf_dir)
         _RECORDS[key] = CourseRecords(c.h, rollup_updated_at(c.h, c.commits))
     return _RECORDS[key]
 

@@ -32,6 +32,7 @@ class Ctx:
     files: DataFrame
     h: "object"
     commits: DataFrame
+    stored: "object" = None
 
 
 _CTX: dict[tuple[int, str], Ctx] = {}
@@ -46,3 +47,19 @@ def ctx(spark: SparkSession, sf_dir: str) -> Ctx:
         files = catalogue.stored_files(spark, sf_dir)
         _CTX[key] = Ctx(files=files, h=build_hierarchy(files), commits=catalogue.stored_commits(spark, sf_dir))
     return _CTX[key]
+
+
+def stored_ctx(spark: SparkSession, sf_dir: str) -> Ctx:
+    """Like ``ctx`` but the hierarchy's level tables are written once per session to the
+    checkpoint folder (the stage a load job persists) and read back."""
+    import hashlib
+    import os
+
+    from lectern.operators.hierarchy import store_hierarchy
+    from lectern.session import checkpoint_dir
+    c = ctx(spark, sf_dir)
+    if c.stored is None:
+        tag = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
+        base = f"{checkpoint_dir(spark).rstrip('/')}/lectern-hierarchy/{tag}"
+        c.stored = store_hierarchy(c.h, base, spark)
+    return Ctx(files=c.files, h=c.stored, commits=c.commits)
