@@ -58,17 +58,25 @@ def sibling_index(df: DataFrame, partition: list[str], name_col: str, out: str =
 
 
 def level_folders(files: DataFrame) -> DataFrame:
-    """Every folder at levels 1..3 with its preferred index file (or NULL)."""
+    """Every folder at levels 1..3 with its preferred index file (or NULL).
+
+    Folders come from the distinct deepest level folder of each file (a hash aggregate
+    with map-side combine), expanded to their ancestors over that much smaller set;
+    the index choice aggregates index files only and is joined back on the folder.
+    """
     f = files.filter(F.col("depth") >= 1)
-    ix = F.when(F.col("name").isin(*INDEX_NAMES),
-                F.struct(_index_pref(F.col("name")).alias("pref"), F.col("name"), F.col("content")))
-    exploded = (f.select("course_id", "parts", "depth", ix.alias("ix"),
-                         F.explode(F.sequence(F.lit(1), F.least(F.col("depth"), F.lit(3)))).alias("level"))
-                .select("course_id", "level",
-                        F.array_join(F.slice("parts", 1, F.col("level")), "/").alias("folder"),
-                        F.when(F.col("level") == F.col("depth"), F.col("ix")).alias("ix")))
-    return (exploded.groupBy("course_id", "level", "folder")
-            .agg(F.min_by("ix", F.col("ix.pref")).alias("ix")))
+    lvl = F.least(F.col("depth"), F.lit(3))
+    deepest = (f.select("course_id", lvl.alias("level"),
+                        F.array_join(F.slice("parts", 1, lvl), "/").alias("folder"))
+               .distinct())
+    folders = (deepest.select("course_id", F.split("folder", "/").alias("fp"),
+                              F.explode(F.sequence(F.lit(1), F.col("level"))).alias("level"))
+               .select("course_id", "level", F.array_join(F.slice("fp", 1, F.col("level")), "/").alias("folder"))
+               .distinct())
+    ix = (f.filter(F.col("name").isin(*INDEX_NAMES) & (F.col("depth") <= 3))
+          .groupBy("course_id", "folder")
+          .agg(F.min_by(F.struct(F.col("name"), F.col("content")), _index_pref(F.col("name"))).alias("ix")))
+    return folders.join(ix, ["course_id", "folder"], "left")
 
 
 def resolve_levels(folders: DataFrame) -> DataFrame:
@@ -127,10 +135,8 @@ def course_index(files: DataFrame) -> DataFrame:
     )
 
 
-def build_hierarchy(files: DataFrame) -> Hierarchy:
-    """JOIN-1: the five level tables of every course in ``files``."""
-    f = drop_ignored(with_path_parts(files))
-    levels = resolve_levels(level_folders(f))
+def build_levels(levels: DataFrame, f: DataFrame) -> Hierarchy:
+    """Level tables from resolved folders (``resolve_levels``) and the kept files."""
     valid = levels.filter(F.col("name_ok"))
 
     ch = sibling_index(valid.filter(F.col("level") == 1), ["course_id"], "dir_name")
@@ -160,17 +166,34 @@ def build_hierarchy(files: DataFrame) -> Hierarchy:
                       fs_path(F.col("path")).alias("fs_path"), "content"))
 
     writeback = levels.filter(F.col("id_derived")).select("course_id", "folder", "url_name")
-    return Hierarchy(courses=course_index(f), chapters=chapters, sequentials=sequentials,
-                     verticals=verticals, blocks=blocks, folders=levels, id_writeback=writeback, files=f)
+    return Hierarchy(courses=None, chapters=chapters, sequentials=sequentials, verticals=verticals,
+                     blocks=blocks, folders=levels, id_writeback=writeback, files=f)
+
+
+def build_hierarchy(files: DataFrame) -> Hierarchy:
+    """JOIN-1: the five level tables of every course in ``files``."""
+    f = drop_ignored(with_path_parts(files))
+    h = build_levels(resolve_levels(level_folders(f)), f)
+    h.courses = course_index(f)
+    return h
 
 
 def store_hierarchy(h: Hierarchy, base: str, spark) -> Hierarchy:
     """Write the level tables once (parquet below ``base``) and return a hierarchy that
     reads them: later stages scan stored tables instead of re-deriving the tree, and the
-    lineage is cut on shared storage (safe when executors are lost)."""
-    out = {}
-    for name in ("courses", "chapters", "sequentials", "verticals", "blocks", "folders", "id_writeback"):
+    lineage is cut on shared storage (safe when executors are lost).
+
+    The resolved folder table is written first and the level tables are derived from the
+    stored copy, so the files are scanned and the index files parsed only once.
+    """
+    folders_path = f"{base}/folders"
+    h.folders.write.mode("overwrite").parquet(folders_path)
+    levels = spark.read.parquet(folders_path)
+    derived = build_levels(levels, h.files)
+    out = {"folders": levels}
+    for name in ("courses", "chapters", "sequentials", "verticals", "blocks", "id_writeback"):
         path = f"{base}/{name}"
-        getattr(h, name).write.mode("overwrite").parquet(path)
+        src = h.courses if name == "courses" else getattr(derived, name)
+        src.write.mode("overwrite").parquet(path)
         out[name] = spark.read.parquet(path)
     return Hierarchy(files=h.files, **out)
