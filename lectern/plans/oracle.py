@@ -35,10 +35,10 @@ vt0 AS (
   WHERE o_orderkey % 13 <> 0 OR o_orderkey IN (SELECT l_orderkey FROM lineitem)),
 vt AS (
   SELECT vt0.*,
-         CASE WHEN variant IN (0, 3)
+         CASE WHEN variant IN (0, 3, 4)
               THEN translate(substr(sha256(course_id || '/' || vpath), 1, 12), '0123456789', 'ghijklmnop')
               ELSE 'O' || o_orderkey END AS vert_id,
-         CASE WHEN variant = 0 THEN o_orderpriority WHEN variant = 2 THEN ''
+         CASE WHEN variant IN (0, 4) THEN o_orderpriority WHEN variant = 2 THEN ''
               ELSE 'Order ' || o_orderkey END AS vert_title
   FROM vt0),
 li AS (

@@ -12,7 +12,8 @@ Mapping (one course tree per region):
 * sequential customer folder ``<c_custkey>_<c_name>``; graded = HOUSEHOLD segment;
                       format ``Final Exam`` for even keys else ``Homework``
 * vertical   orders   folder ``<o_orderkey>_<o_orderpriority>``; index variants by key % 13
-                      (0 none, 1 ``index.yml``, 2 empty display name, 3 no url_name)
+                      (0 none, 1 ``index.yml``, 2 empty display name, 3 no url_name,
+                      4 unparsable YAML); every course also has an unnumbered ``Appendix`` folder
 * block      lineitem file ``<nn>_b`` + ``.prob.md`` (flag R) / ``.md`` (A) / ``.repl.yaml`` (N),
                       nn = position of the line in its order by all its columns
 * repl files lineitem ``<nn>_b.repl/src/main.<ext>`` and ``<nn>_b.repl/test/test_main.<ext>``
@@ -154,6 +155,10 @@ def course_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.explode(F.array(F.lit("assets/logo.png"), F.lit("drafts/01_Next/index.yaml"),
                                          F.lit(".git/config"))).alias("path"),
                        F.col("r_name").alias("content"))
+    # a chapter folder without the "<n>_" prefix: invalid name, left out of the tree
+    appendix = r.select(cid.alias("course_id"), F.lit("Appendix/index.yaml").alias("path"),
+                        F.to_json(F.struct(F.concat(F.lit("A"), _s("r_regionkey")).alias("url_name"),
+                                           F.lit("Appendix").alias("display_name"))).alias("content"))
 
     ch = _chapter_folders(spark, sf_dir)
     chapters = ch.select("course_id", F.concat("chf", F.lit("/index.yaml")).alias("path"),
@@ -174,6 +179,7 @@ def course_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     vid = F.concat(F.lit("O"), _s("o_orderkey"))
     vtitle = F.concat(F.lit("Order "), _s("o_orderkey"))
     vdoc = (F.when(variant == 2, F.to_json(F.struct(vid.alias("url_name"), F.lit("").alias("display_name"))))
+            .when(variant == 4, F.concat(F.lit("display_name: [unclosed "), vtitle))
             .when(variant == 3, F.to_json(F.struct(vtitle.alias("display_name"))))
             .otherwise(F.to_json(F.struct(vid.alias("url_name"), vtitle.alias("display_name")))))
     verts = (vf.filter(variant != 0)
@@ -209,7 +215,7 @@ def course_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                                F.concat(F.lit("assert "), _s("p_size")).alias("content")))).alias("f"))
                   .select("course_id", "f.path", "f.content"))
 
-    return (courses.unionByName(ignored).unionByName(chapters).unionByName(seqs)
+    return (courses.unionByName(ignored).unionByName(appendix).unionByName(chapters).unionByName(seqs)
             .unionByName(verts).unionByName(blocks).unionByName(repl_files))
 
 
