@@ -302,20 +302,19 @@ def apply_file_edits(ws: DataFrame, edits: DataFrame, keys: list[str], sudo: boo
     outcomes = t.select(*keys, "path", "op", "seq", status.alias("status"))
     applied = t.filter(status == "applied")
     removed = applied.filter(F.col("op") == "remove").select(*keys, F.col("path").alias("rm"))
-    # a file is dropped when it, or one of its ancestors, was removed (ancestor equi-join)
-    ws_anc = ws.select(*keys, "path", F.explode(F.transform(
-        F.sequence(F.lit(1), F.size(F.split("path", "/"))),
-        lambda i: F.array_join(F.slice(F.split("path", "/"), 1, i), "/"))).alias("rm"))
-    dropped = ws_anc.join(removed, [*keys, "rm"]).select(*keys, "path").distinct()
     written = applied.filter(F.col("op") == "write").select(*keys, "path", F.col("new_contents").alias("contents"))
-    kept = ws.join(dropped, [*keys, "path"], "left_anti")
-    updated = (kept.join(written.withColumnRenamed("contents", "w"), [*keys, "path"], "left")
+    updated = (ws.join(written.withColumnRenamed("contents", "w"), [*keys, "path"], "left")
                .withColumn("contents", F.coalesce("w", "contents")).drop("w"))
     created = (written.join(ws.select(*keys, "path"), [*keys, "path"], "left_anti")
                .select(*keys, "path", F.element_at(F.split("path", "/"), -1).alias("name"),
                        F.lit(False).alias("is_dir"), F.lit(False).alias("is_tmpl"),
                        F.lit(False).alias("is_immutable"), F.lit(False).alias("is_hidden"), "contents"))
-    return updated.unionByName(created, allowMissingColumns=True), outcomes
+    after = updated.unionByName(created, allowMissingColumns=True)
+    # a row goes when it, or one of its ancestors, was removed (ancestor equi-join)
+    anc = after.select(*keys, "path", F.explode(F.array_union(ancestors(F.col("path")), F.array(F.col("path"))))
+                       .alias("rm"))
+    dropped = anc.join(removed, [*keys, "rm"], "left_semi").select(*keys, "path").distinct()
+    return after.join(dropped, [*keys, "path"], "left_anti"), outcomes
 
 
 def file_violations(ws: DataFrame, keys: list[str]) -> DataFrame:

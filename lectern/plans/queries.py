@@ -1,4 +1,4 @@
 """All registered queries (importing the modules registers them)."""
 
-from lectern.plans import q_hierarchy, q_push, q_records, q_text, q_validate  # noqa: F401
+from lectern.plans import q_hierarchy, q_push, q_records, q_text, q_validate, q_workspace  # noqa: F401
 from lectern.plans.registry import ORACLE, QUERIES  # noqa: F401

@@ -253,6 +253,64 @@ def course_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_commits.unionByName(repl_commits).unionByName(idx_commits)
 
 
+# --------------------------------------------------------------------------------------
+# workspace stand-ins (one workspace "docs" holding every document as a file)
+
+
+def workspace_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat workspace rows: ``ws, path, name, is_dir, is_tmpl, is_immutable, is_hidden, contents``.
+
+    Files ``<source>/<lang>/<doc_id>.js`` hold the whole document text; toxic documents are
+    hidden files, quality-0 documents immutable; the ``<source>/fr`` folders are hidden."""
+    d = table(spark, sf_dir, "documents")
+    lab = table(spark, sf_dir, "labels")
+    j = d.join(lab, "doc_id", "left")
+    files = j.select(F.lit("docs").alias("ws"),
+                     F.concat_ws("/", "source", "lang", F.concat(_s("doc_id"), F.lit(".js"))).alias("path"),
+                     F.concat(_s("doc_id"), F.lit(".js")).alias("name"),
+                     F.lit(False).alias("is_dir"), F.lit(False).alias("is_tmpl"),
+                     (F.coalesce(F.col("quality"), F.lit(1)) == 0).alias("is_immutable"),
+                     (F.coalesce(F.col("toxic"), F.lit(0)) == 1).alias("is_hidden"),
+                     F.col("text").alias("contents"))
+    src = d.select(F.col("source").alias("path")).distinct().select(
+        F.lit("docs").alias("ws"), "path", F.col("path").alias("name"), F.lit(True).alias("is_dir"),
+        F.lit(False).alias("is_tmpl"), F.lit(False).alias("is_immutable"), F.lit(False).alias("is_hidden"),
+        F.lit(None).cast("string").alias("contents"))
+    lang = d.select("source", "lang").distinct().select(
+        F.lit("docs").alias("ws"), F.concat_ws("/", "source", "lang").alias("path"), F.col("lang").alias("name"),
+        F.lit(True).alias("is_dir"), F.lit(False).alias("is_tmpl"), F.lit(False).alias("is_immutable"),
+        (F.col("lang") == "fr").alias("is_hidden"), F.lit(None).cast("string").alias("contents"))
+    return files.unionByName(src).unionByName(lang)
+
+
+def path_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One lookup per document by doc_id % 4: ``./path``, ``/path``, ``path``, a missing path."""
+    d = table(spark, sf_dir, "documents")
+    p = F.concat_ws("/", "source", "lang", F.concat(_s("doc_id"), F.lit(".js")))
+    k = F.col("doc_id") % 4
+    req = (F.when(k == 0, F.concat(F.lit("./"), p)).when(k == 1, F.concat(F.lit("/"), p))
+           .when(k == 2, p).otherwise(F.concat(p, F.lit(".missing"))))
+    return d.select(F.lit("docs").alias("ws"), F.col("doc_id").alias("request_id"), req.alias("request"))
+
+
+def file_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits by doc_id % 5: 0 rewrite the file, 1 remove it, 2 (Spanish documents) remove
+    the ``<source>/es`` folder, 3 write a new ``.txt`` file beside it."""
+    d = table(spark, sf_dir, "documents")
+    k = F.col("doc_id") % 5
+    base = F.concat_ws("/", "source", "lang", _s("doc_id"))
+    e = d.select("doc_id", F.when(k == 0, F.struct(F.lit("write").alias("op"), F.concat(base, F.lit(".js")).alias("path"),
+                                                   F.concat(F.lit("edited "), _s("doc_id")).alias("contents")))
+                 .when(k == 1, F.struct(F.lit("remove").alias("op"), F.concat(base, F.lit(".js")).alias("path"),
+                                        F.lit(None).cast("string").alias("contents")))
+                 .when((k == 2) & (F.col("lang") == "es"),
+                       F.struct(F.lit("remove").alias("op"), F.concat_ws("/", "source", "lang").alias("path"),
+                                F.lit(None).cast("string").alias("contents")))
+                 .when(k == 3, F.struct(F.lit("write").alias("op"), F.concat(base, F.lit(".txt")).alias("path"),
+                                        F.concat(F.lit("new "), _s("doc_id")).alias("contents"))).alias("e"))
+    return e.filter(F.col("e").isNotNull()).select(F.lit("docs").alias("ws"), F.col("doc_id").alias("seq"), "e.*")
+
+
 # --------------------------------------------------------------------------------------
 # materialisation: the stand-in is written once per session as parquet below the shared
 # checkpoint folder, so every query scans a stored catalogue (as a deployment would)
