@@ -134,16 +134,18 @@ class CourseRecords:
         roles = repl_roles(repls, BLOCK_KEYS)
         ws = attach_files(roles, self.h.files, BLOCK_KEYS)
         wj = workspace_json(ws, BLOCK_KEYS)
-        piv = (wj.groupBy(*BLOCK_KEYS).pivot("role", ["src", "tmpl", "test"]).agg(F.first("workspace_json")))
-        r = repls.join(piv, BLOCK_KEYS, "left")
+        files = wj.groupBy(*BLOCK_KEYS).pivot("role", ["src", "tmpl", "test"]).agg(F.first("files_json"))
+        src_ws = wj.filter(F.col("role") == "src").select(*BLOCK_KEYS, F.col("workspace_json").alias("src_ws"))
+        r = repls.join(files, BLOCK_KEYS, "left").join(src_ws, BLOCK_KEYS, "left")
         expl = F.concat(F.when(F.col("repl.explanation") != "", F.concat(F.col("repl.explanation"), F.lit("\n\n")))
-                        .otherwise(F.lit("")), embed_frame(F.col("src")))
+                        .otherwise(F.lit("")), embed_frame(F.col("src_ws")))
+        tests = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.col("repl.tests")))))
         return r.select(*BLOCK_KEYS, F.struct(
             F.col("repl.api_version").alias("api_version"), F.col("repl.environment").alias("environment"),
             F.coalesce("src", F.lit("null")).alias("src_files"), F.coalesce("tmpl", F.lit("null")).alias("tmpl_files"),
             F.coalesce("test", F.lit("null")).alias("test_files"),
             F.col("repl.grading_strategy").alias("grading_strategy"),
-            F.coalesce(F.to_json(F.col("repl.tests")), F.lit("null")).alias("grading_tests"),
+            F.coalesce(tests, F.lit("null")).alias("grading_tests"),
             expl.alias("explanation")).alias("code"))
 
     # ------------------------------------------------------------------------- records

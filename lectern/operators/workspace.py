@@ -116,7 +116,8 @@ def missing_role_dirs(roles: DataFrame, ws_files: DataFrame, keys: list[str]) ->
 
 # ----------------------------------------------------------------------------- JSON
 
-_JSON_OUT = T.StructType([T.StructField("json", T.StringType()), T.StructField("error", T.StringType())])
+_JSON_OUT = T.StructType([T.StructField("json", T.StringType()), T.StructField("files_json", T.StringType()),
+                          T.StructField("error", T.StringType())])
 
 
 def _go_json(obj) -> str:
@@ -129,7 +130,7 @@ def _go_json(obj) -> str:
 @F.pandas_udf(_JSON_OUT)
 def _nest_workspace(ids: pd.Series, names: pd.Series, envs: pd.Series, paths: pd.Series, dirs: pd.Series,
                     tmpls: pd.Series, immut: pd.Series, hidden: pd.Series, contents: pd.Series) -> pd.DataFrame:
-    out_json, out_err = [], []
+    out_json, out_files, out_err = [], [], []
     for i in range(len(ids)):
         tree: dict = {}
         err = None
@@ -169,8 +170,9 @@ def _nest_workspace(ids: pd.Series, names: pd.Series, envs: pd.Series, paths: pd
             doc["environmentKey"] = envs.iloc[i]
         doc["files"] = order(tree)
         out_json.append(None if err else _go_json(doc))
+        out_files.append(None if err else _go_json(doc["files"]))
         out_err.append(err)
-    return pd.DataFrame({"json": out_json, "error": out_err})
+    return pd.DataFrame({"json": out_json, "files_json": out_files, "error": out_err})
 
 
 def workspace_json(ws_files: DataFrame, keys: list[str], names: DataFrame | None = None,
@@ -191,7 +193,8 @@ def workspace_json(ws_files: DataFrame, keys: list[str], names: DataFrame | None
     j = _nest_workspace(wid, F.coalesce("ws_name", F.lit("")), F.col("environment"),
                         F.col("fs.path"), F.col("fs.is_dir"), F.col("fs.is_tmpl"), F.col("fs.is_immutable"),
                         F.col("fs.is_hidden"), F.col("fs.contents"))
-    return g.select(*keys, "role", "environment", j["json"].alias("workspace_json"), j["error"].alias("json_error"))
+    return g.select(*keys, "role", "environment", j["json"].alias("workspace_json"),
+                    j["files_json"].alias("files_json"), j["error"].alias("json_error"))
 
 
 def embed_frame(src_json: Column) -> Column:

@@ -71,7 +71,9 @@ q AS (
     CASE form WHEN 0 THEN 'MCSA' WHEN 1 THEN 'MCMA' WHEN 2 THEN 'MCSA' WHEN 4 THEN 'WSCQ' END AS question_type,
     CASE WHEN form IN (0, 1, 4) THEN p_name ELSE '' END AS question_text,
     CASE WHEN form = 4 THEN 300 ELSE 60 END AS est_time_sec,
-    CASE WHEN form IN (0, 1, 4) THEN p_brand ELSE '' END AS hint
+    CASE WHEN form IN (0, 1, 4) THEN p_brand ELSE '' END AS hint,
+    CASE WHEN form = 4 AND l_linenumber % 2 = 0 THEN '#!exl::repl(''' || base || '.prob.repl.yaml'')'
+         WHEN form = 4 THEN p_brand END AS answer
   FROM pblk LEFT JOIN nb USING (vert_id)
   WHERE form <> 3 AND (NOT is_exam OR (n_blocks = 1 AND non_problem = 0)))
 """
@@ -176,7 +178,7 @@ res AS (
          is_exam AS exam_only, chapter_id AS ref_unit_id, seq_id AS ref_section_id,
          CASE WHEN is_exam THEN NULL ELSE vert_id END AS ref_card_id,
          CASE WHEN is_exam THEN 'course,unit,section' ELSE 'course,unit,section,card' END AS ref_levels,
-         CASE form WHEN 4 THEN p_brand END AS answer,
+         answer,
          CAST(CASE form WHEN 0 THEN 3 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 0 END AS BIGINT) AS n_choices
   FROM q)
 SELECT * FROM res
@@ -261,3 +263,30 @@ def q_nested_courses(spark, sf_dir):
         F.aggregate(units, F.lit(0), lambda a, u: a + F.aggregate(
             F.coalesce(u["sections"], F.array()), F.lit(0),
             lambda b, s: b + F.coalesce(F.size(s["cards"]), F.lit(0)))).alias("n_cards"))
+
+
+_CODE_SQL = rec_sql(r"""
+cq AS (
+  SELECT pblk.*, CASE WHEN is_exam THEN vert_id ELSE vert_id || '_q_' || CAST(q_rank AS VARCHAR) END AS qid,
+    '{"id":"' || translate(substr(sha256(course_id || '/' || vert_id || '/' || CAST(nn AS VARCHAR) || '/src'), 1, 12),
+                           '0123456789', 'ghijklmnop') ||
+    '","name":"","environmentKey":"python_3_4_free","files":{"solution.py":{"name":"solution.py","isDir":false,' ||
+    '"isTmplFile":false,"isImmutable":false,"contents":"' || p_type || '"}}}' AS ws
+  FROM pblk WHERE form = 4 AND l_linenumber % 2 = 0 AND l_linenumber <> 6)
+SELECT course_id, qid AS id, CAST(1 AS BIGINT) AS api_version, 'python_3_4_free' AS environment,
+       '{"solution.py":{"name":"solution.py","isDir":false,"isTmplFile":false,"isImmutable":false,"contents":"' ||
+       p_type || '"}}' AS src_files, 'null' AS tmpl_files, 'null' AS test_files, 'default' AS grading_strategy,
+       '{"main":["' || p_type || '"]}' AS grading_tests,
+       p_name || chr(10) || chr(10) || '<iframe src="https://exlcode.com/repl?embedded=true&amp;workspace=' ||
+       replace(url_encode(ws), '%20', '+') || '" width="100%" height="500px"></iframe>' AS explanation
+FROM cq
+""")
+
+
+@query("code_questions", _CODE_SQL)
+def q_code_questions(spark, sf_dir):
+    """JOIN-3 + PRJ-7 + PRJ-25: code-question data of string problems answered by a repl."""
+    r = records(spark, sf_dir)
+    cd = r.code_data.join(r.problem_records.select("course_id", "vert_id", "block_idx", "question_id"),
+                          ["course_id", "vert_id", "block_idx"])
+    return cd.select("course_id", F.col("question_id").alias("id"), "code.*")

@@ -17,6 +17,8 @@ Mapping (one course tree per region):
 * block      lineitem file ``<nn>_b`` + ``.prob.md`` (flag R) / ``.md`` (A) / ``.repl.yaml`` (N),
                       nn = position of the line in its order by all its columns
 * repl files lineitem ``<nn>_b.repl/src/main.<ext>`` and ``<nn>_b.repl/test/test_main.<ext>``
+* code       lineitem string-form problems on even lines answer ``=#!exl::repl('<nn>_b.prob.repl.yaml')``;
+                      that file and ``<nn>_b.prob.repl/src/solution.py`` exist except on line 6
 * commits    lineitem two per block file unless quantity > 45; one per repl source file;
                       one per vertical index file
 """
@@ -199,7 +201,11 @@ def course_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("500px").alias("height")).alias("display"),
         F.create_map(F.lit("main"), F.array(F.col("p_type"))).alias("tests"),
     ))
-    content = (F.when(F.col("l_returnflag") == "R",
+    code_q = (F.col("l_returnflag") == "R") & (F.col("p_size") % 5 == 4) & (F.col("l_linenumber") % 2 == 0)
+    code_md = F.concat(F.lit(">>"), F.col("p_name"), F.lit("||"), F.col("p_type"), F.lit("<<\n\n=#!exl::repl('"),
+                       F.col("base"), F.lit(".prob.repl.yaml')\n\n|| "), F.col("p_brand"), F.lit(" ||\n"))
+    content = (F.when(code_q, code_md)
+               .when(F.col("l_returnflag") == "R",
                       problem_markdown(F.col("p_size") % 5, F.col("p_name"), F.col("p_type"),
                                        F.col("p_brand"), F.col("p_retailprice")))
                .when(F.col("l_returnflag") == "A", F.concat(F.col("p_name"), F.lit(" "), F.col("p_type")))
@@ -215,8 +221,21 @@ def course_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                                F.concat(F.lit("assert "), _s("p_size")).alias("content")))).alias("f"))
                   .select("course_id", "f.path", "f.content"))
 
+    # code questions: the repl settings beside the problem (missing on line 6) and its sources
+    cq = bl.filter(code_q)
+    code_repl = F.to_json(F.struct(
+        F.lit(1).alias("api_version"), F.lit("python_3_4_free").alias("environment"),
+        F.concat("base", F.lit(".prob.repl/src")).alias("src_path"), F.col("p_name").alias("explanation"),
+        F.create_map(F.lit("main"), F.array(F.col("p_type"))).alias("tests")))
+    code_files = (cq.filter(F.col("l_linenumber") != 6)
+                  .select("course_id", F.explode(F.array(
+                      F.struct(F.concat_ws("/", "vpath", F.concat("base", F.lit(".prob.repl.yaml"))).alias("path"),
+                               code_repl.alias("content")),
+                      F.struct(F.concat_ws("/", "vpath", F.concat("base", F.lit(".prob.repl/src/solution.py"))).alias("path"),
+                               F.col("p_type").alias("content")))).alias("f"))
+                  .select("course_id", "f.path", "f.content"))
     return (courses.unionByName(ignored).unionByName(appendix).unionByName(chapters).unionByName(seqs)
-            .unionByName(verts).unionByName(blocks).unionByName(repl_files))
+            .unionByName(verts).unionByName(blocks).unionByName(repl_files).unionByName(code_files))
 
 
 def course_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
