@@ -39,13 +39,14 @@ def card_edit_url(repo_url: Column, fs_path: Column) -> Column:
 class Editors:
     """Editor blocks with parsed repl settings and their flat workspaces."""
 
-    def __init__(self, blocks: DataFrame, files: DataFrame):
+    def __init__(self, blocks: DataFrame, files: DataFrame, stage=None):
+        stage = stage or (lambda name, df: df)
         ed = blocks.filter(F.col("block_type") == "exleditor")
-        self.repls = parse_repls(ed)
+        self.repls = stage("editor_repls", parse_repls(ed))
         self.roles = repl_roles(self.repls, BLOCK_KEYS)
-        self.ws = attach_files(self.roles, files, BLOCK_KEYS)
-        self.src_json = workspace_json(self.ws.filter(F.col("role") == "src"), BLOCK_KEYS,
-                                       names=self.repls, name_col="display_name")
+        self.ws = stage("editor_workspace_files", attach_files(self.roles, files, BLOCK_KEYS))
+        self.src_json = stage("editor_src_json", workspace_json(self.ws.filter(F.col("role") == "src"), BLOCK_KEYS,
+                                                                names=self.repls, name_col="display_name"))
         self.src_text = source_text(self.ws, BLOCK_KEYS)
         self.js_code = js_editor_code(self.ws, BLOCK_KEYS)
 

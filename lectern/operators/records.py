@@ -73,15 +73,18 @@ def course_defaults(courses: DataFrame) -> DataFrame:
 
 
 class CourseRecords:
-    def __init__(self, h: Hierarchy, updated: dict[str, DataFrame] | None = None):
+    def __init__(self, h: Hierarchy, updated: dict[str, DataFrame] | None = None, stage=None):
+        """``stage(name, df)`` may persist an intermediate and return the stored copy
+        (see ``lectern.plans.stage``); by default everything stays lazy."""
         self.h = h
         self.updated = updated
+        self.stage = stage or (lambda name, df: df)
 
     # ------------------------------------------------------------------ building blocks
 
     @cached_property
     def editors(self) -> Editors:
-        return Editors(self.h.blocks, self.h.files)
+        return Editors(self.h.blocks, self.h.files, self.stage)
 
     @cached_property
     def course_ids(self) -> DataFrame:
@@ -114,7 +117,7 @@ class CourseRecords:
                .join(self.seqs.select("course_id", "seq_id", "is_exam"), ["course_id", "seq_id"]))
         qid = F.when(F.col("is_exam"), F.col("vert_id")).otherwise(
             F.concat(F.col("vert_id"), F.lit("_q_"), F.col("q_rank").cast("string")))
-        return out.withColumn("question_id", qid)
+        return self.stage("problem_records", out.withColumn("question_id", qid))
 
     @cached_property
     def code_repls(self) -> DataFrame:
@@ -154,9 +157,9 @@ class CourseRecords:
     def contents(self) -> DataFrame:
         """AGG-4 per card (all cards; empty strings where a card has nothing to show)."""
         cc = card_content(self.h.blocks, self.editors, self.h.courses)
-        return (self.cards.select("course_id", "vert_id").join(cc, ["course_id", "vert_id"], "left")
-                .select("course_id", "vert_id", *[F.coalesce(c, F.lit("")).alias(c)
-                                                   for c in ("content", "text", "code", "edit_url")]))
+        return self.stage("card_contents", self.cards.select("course_id", "vert_id").join(cc, ["course_id", "vert_id"], "left")
+                          .select("course_id", "vert_id", *[F.coalesce(c, F.lit("")).alias(c)
+                                                             for c in ("content", "text", "code", "edit_url")]))
 
     @cached_property
     def versioned_contents(self) -> DataFrame:

@@ -24,11 +24,11 @@ from lectern.sinks.export import book_rows, export_tree, export_xml
 from lectern.sinks.upsert import UPSERT_ORDER, upsert_table
 
 
-def hierarchy_from_xml(files: DataFrame) -> Hierarchy:
+def hierarchy_from_xml(files: DataFrame, stage=None) -> Hierarchy:
     """SRC-3 + JOIN-2 + PRJ-27: an XML catalogue as folder-layout level tables. Problems
     keep their Markdown, html blocks are converted to Markdown, editor blocks keep their
     configuration; other block types stay (and are reported by VAL-5)."""
-    x = import_xml(files)
+    x = import_xml(files, stage)
     courses = x.courses.select(
         "course_id", F.lit(True).alias("has_index"), F.lit(None).cast("string").alias("parse_error"), "url_name",
         "display_name", "org", "course_code", "course_image", "language",
@@ -60,18 +60,18 @@ def hierarchy_from_xml(files: DataFrame) -> Hierarchy:
                      folders=None, id_writeback=None, files=empty_files)
 
 
-def read_catalogue(files: DataFrame, fmt: str) -> Hierarchy:
+def read_catalogue(files: DataFrame, fmt: str, stage=None) -> Hierarchy:
     if fmt == "folder":
         return build_hierarchy(files)
     if fmt == "xml":
-        return hierarchy_from_xml(files)
+        return hierarchy_from_xml(files, stage)
     raise ValueError(f"unsupported catalogue format: {fmt}")
 
 
-def convert(files: DataFrame, from_fmt: str, to_fmt: str) -> DataFrame:
+def convert(files: DataFrame, from_fmt: str, to_fmt: str, stage=None) -> DataFrame:
     """JOB-1: catalogue rows in ``from_fmt`` → rows of ``to_fmt`` (``course_id, path, content``
     for layouts; ordered book rows for ``book``)."""
-    h = read_catalogue(files, from_fmt)
+    h = read_catalogue(files, from_fmt, stage)
     if to_fmt == "folder":
         return export_tree(h)
     if to_fmt == "xml":
@@ -89,11 +89,14 @@ def verify(files: DataFrame, fmt: str = "folder") -> DataFrame:
 def load(spark: SparkSession, h: Hierarchy, commits: DataFrame | None, out_base: str,
          force: bool = False) -> DataFrame:
     """JOB-2: record sets of the valid courses (all with ``force``) upserted by id under
-    ``out_base``; returns a per-course report."""
+    ``out_base``; returns a per-course report. Parsed intermediates are staged under
+    ``out_base/_stage`` and the per-course report (one row per course) is checkpointed, so
+    each record set is computed once."""
+    from lectern.plans.stage import Stager
     updated = rollup_updated_at(h, commits) if commits is not None else None
-    r = CourseRecords(h, updated)
+    r = CourseRecords(h, updated, stage=Stager(spark, f"{out_base}/_stage"))
     bad = violations(r).groupBy("course_id").agg(F.count("*").alias("n_errors"))
-    ok = h.courses.select("course_id").join(bad, "course_id", "left").fillna({"n_errors": 0})
+    ok = h.courses.select("course_id").join(bad, "course_id", "left").fillna({"n_errors": 0}).checkpoint(eager=True)
     take = ok if force else ok.filter(F.col("n_errors") == 0)
     keep = take.select("course_id")
     sets = {

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.operators.records import CourseRecords
 from lectern.operators.timestamps import rollup_updated_at
 from lectern.plans.oracle import with_prelude
-from lectern.plans.registry import query, stored_ctx
+from lectern.plans.registry import query, stager, stored_ctx
 
 _RECORDS: dict = {}
 
@@ -17,7 +17,7 @@ def records(spark, sf_dir) -> CourseRecords:
     key = (id(spark), sf_dir)
     if key not in _RECORDS:
         c = stored_ctx(spark, sf_dir)
-        _RECORDS[key] = CourseRecords(c.h, rollup_updated_at(c.h, c.commits))
+        _RECORDS[key] = CourseRecords(c.h, rollup_updated_at(c.h, c.commits), stage=stager(spark, sf_dir, "records"))
     return _RECORDS[key]
 
 

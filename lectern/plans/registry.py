@@ -63,3 +63,20 @@ def stored_ctx(spark: SparkSession, sf_dir: str) -> Ctx:
         base = f"{checkpoint_dir(spark).rstrip('/')}/lectern-hierarchy/{tag}"
         c.stored = store_hierarchy(c.h, base, spark)
     return Ctx(files=c.files, h=c.stored, commits=c.commits)
+
+
+_STAGERS: dict = {}
+
+
+def stager(spark: SparkSession, sf_dir: str, job: str):
+    """A write-once stage folder per (session, input, job) below the checkpoint folder."""
+    import hashlib
+    import os
+
+    from lectern.plans.stage import Stager
+    from lectern.session import checkpoint_dir
+    key = (id(spark), sf_dir, job)
+    if key not in _STAGERS:
+        tag = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
+        _STAGERS[key] = Stager(spark, f"{checkpoint_dir(spark).rstrip('/')}/lectern-stage/{tag}/{job}")
+    return _STAGERS[key]
