@@ -332,10 +332,13 @@ def answers_string(lines: DataFrame, keys: list[str]) -> DataFrame:
 class ParsedProblems:
     """All TXT tables of one docs frame; built lazily from the same parts/lines plans."""
 
-    def __init__(self, docs: DataFrame, keys: list[str]):
+    def __init__(self, docs: DataFrame, keys: list[str], stage=None):
+        """``stage(name, df)`` may persist the parts and classified lines, which every
+        extraction below reads."""
+        stage = stage or (lambda name, df: df)
         self.keys = keys
-        self.parts = split_parts(docs, keys)
-        self.lines = problem_lines(self.parts, keys)
+        self.parts = stage("problem_parts", split_parts(docs, keys))
+        self.lines = stage("problem_lines", problem_lines(self.parts, keys))
         self.labels = question_labels(self.parts, keys)
         self.hints = demand_hints(self.lines, keys)
         self.single = choices_single(self.lines, keys).unionByName(choices_single_multiline(self.parts, keys))

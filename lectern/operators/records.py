@@ -104,7 +104,7 @@ class CourseRecords:
     @cached_property
     def problems(self) -> ParsedProblems:
         docs = self.h.blocks.filter(F.col("block_type") == "problem").select(*BLOCK_KEYS, F.col("content").alias("text"))
-        return ParsedProblems(docs, BLOCK_KEYS)
+        return ParsedProblems(docs, BLOCK_KEYS, self.stage)
 
     @cached_property
     def problem_records(self) -> DataFrame:
