@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.ids import derived_id
+from lectern.operators.ordinal import ordinal
 from lectern.functions.paths import (block_display_name, classify_block, fs_path, in_repl_folder,
                                      is_ignored_path, split_dir_name)
 from lectern.sources.tree import INDEX_NAMES, INDEX_SCHEMA, parse_yaml, with_path_parts
@@ -52,9 +53,9 @@ def _index_pref(name: Column) -> Column:
 
 
 def sibling_index(df: DataFrame, partition: list[str], name_col: str, out: str = "idx") -> DataFrame:
-    """WIN-1 / SRT-1: 0-based position among siblings in byte order of ``name_col``."""
-    w = Window.partitionBy(*partition).orderBy(F.col(name_col))
-    return df.withColumn(out, F.row_number().over(w) - 1)
+    """WIN-1 / SRT-1: 0-based position among siblings in byte order of ``name_col``
+    (names are unique among siblings). Hot parents are split across tasks (``ordinal``)."""
+    return ordinal(df, partition, [name_col], out)
 
 
 def level_folders(files: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ from lectern.functions.paths import repl_ref
 from lectern.functions.text import global_id, headline, question_time, topics_array, topics_csv
 from lectern.operators.content import BLOCK_KEYS, Editors, card_content
 from lectern.operators.hierarchy import Hierarchy
+from lectern.operators.ordinal import ordinal
 from lectern.operators.problems import ParsedProblems, question_choices
 from lectern.operators.workspace import (attach_files, embed_frame, parse_repls, repl_roles, workspace_json)
 
@@ -110,8 +111,7 @@ class CourseRecords:
     def problem_records(self) -> DataFrame:
         """TXT-13 per problem block, with WIN-3 question ids and the exam flag."""
         pb = self.h.blocks.filter(F.col("block_type") == "problem").select(*BLOCK_KEYS, "folder", "seq_id", "chapter_id")
-        rank = F.row_number().over(Window.partitionBy("course_id", "vert_id").orderBy("block_idx")) - 1
-        pb = pb.withColumn("q_rank", rank)
+        pb = ordinal(pb, ["course_id", "vert_id"], ["block_idx"], "q_rank")
         rec = self.problems.records()
         out = (pb.join(rec, BLOCK_KEYS, "left")
                .join(self.seqs.select("course_id", "seq_id", "is_exam"), ["course_id", "seq_id"]))
