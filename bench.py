@@ -3,6 +3,7 @@
 Stages are timed separately and reported honestly:
   catalogue_store   the stand-in catalogue (files + commits) written as parquet
   hierarchy_store   the hierarchy level tables written once (the load job's stage)
+  standin_store     the other stand-in inputs (XML layout, push feed, workspace) written once
   <query>           each registered query, fully executed (noop sink, no pruning)
 
 Prints one JSON line: {"metric", "value", "unit", "queries", "sf", ...}.
@@ -62,6 +63,16 @@ def main() -> None:
     stored_ctx(spark, sf_dir)
     times["hierarchy_store"] = round(time.time() - t0, 3)
 
+    # the other stand-in inputs (XML layout, push feed, workspace) are written once too
+    from lectern.sources import catalogue
+    from lectern.sources.catalogue_xml import xml_files
+    from lectern.sources.push import push_deliveries
+    t0 = time.time()
+    catalogue.stored(spark, sf_dir, "xml_files", xml_files).count()
+    catalogue.stored(spark, sf_dir, "push_deliveries", lambda s, d: push_deliveries(s, d)).count()
+    catalogue.stored(spark, sf_dir, "workspace", catalogue.workspace_files).count()
+    times["standin_store"] = round(time.time() - t0, 3)
+
     failed = []
     for name in sorted(QUERIES):
         if only and name not in only:
@@ -72,7 +83,8 @@ def main() -> None:
             times[name] = round(time.time() - t0, 3)
         except Exception as exc:  # noqa: BLE001 - report and go on
             failed.append(f"{name}: {str(exc).splitlines()[0][:200]}")
-    query_total = round(sum(v for k, v in times.items() if k not in ("catalogue_store", "hierarchy_store")), 3)
+    stages = ("catalogue_store", "hierarchy_store", "standin_store")
+    query_total = round(sum(v for k, v in times.items() if k not in stages), 3)
     out = {"metric": "sum_query_seconds", "value": query_total, "unit": "sec", "queries": times, "sf": sf,
            "cpus": cpus, "stages_total": round(sum(times.values()), 3)}
     if failed:
