@@ -73,6 +73,19 @@ def course_defaults(courses: DataFrame) -> DataFrame:
     )
 
 
+def course_attrs(courses: DataFrame) -> DataFrame:
+    """PRJ-30: the typed course fields as a string map (the attribute set written to other
+    layouts): info_md, description, headline, topics (CSV), primary_topic, repo_url,
+    instructor_timekit (compact JSON, ``null`` when absent), est_minutes, weight."""
+    tk = F.to_json(F.from_json(F.col("instructor_timekit"), TIMEKIT_SCHEMA))
+    return courses.select("course_id", F.create_map(
+        F.lit("info_md"), F.col("info_md"), F.lit("description"), F.col("description"),
+        F.lit("headline"), F.col("headline"), F.lit("topics"), topics_csv(F.col("topics")),
+        F.lit("primary_topic"), F.col("primary_topic"), F.lit("repo_url"), F.col("repo_url"),
+        F.lit("instructor_timekit"), F.coalesce(tk, F.lit("null")),
+        F.lit("est_minutes"), F.col("est_minutes_raw"), F.lit("weight"), F.col("weight_raw")).alias("attrs"))
+
+
 class CourseRecords:
     def __init__(self, h: Hierarchy, updated: dict[str, DataFrame] | None = None, stage=None):
         """``stage(name, df)`` may persist an intermediate and return the stored copy

@@ -290,3 +290,23 @@ def q_code_questions(spark, sf_dir):
     cd = r.code_data.join(r.problem_records.select("course_id", "vert_id", "block_idx", "question_id"),
                           ["course_id", "vert_id", "block_idx"])
     return cd.select("course_id", F.col("question_id").alias("id"), "code.*")
+
+
+@query("course_attrs", """
+SELECT 'R' || r_regionkey AS course_id,
+  'description=All about ' || r_name || ';est_minutes=' || CAST((r_regionkey + 1) * 60 AS VARCHAR) ||
+  ';headline=' || r_name || ' in depth;info_md=;instructor_timekit=' ||
+  CASE WHEN r_regionkey % 2 = 0 THEN '{"intervals":[{"credits":' || CAST(r_regionkey AS VARCHAR) ||
+       ',"project_id":"p' || CAST(r_regionkey AS VARCHAR) || '","duration_seconds":3600}]}' ELSE 'null' END ||
+  ';primary_topic=' || r_name || ';repo_url=' ||
+  CASE WHEN r_regionkey = 0 THEN 'https://gitlab.com/acme/c0' ELSE 'https://github.com/acme/c' || CAST(r_regionkey AS VARCHAR) END ||
+  ';topics=' || r_name || ',all;weight=' || CAST(r_regionkey AS VARCHAR) AS attrs
+FROM region
+""")
+def q_course_attrs(spark, sf_dir):
+    """PRJ-30: typed course fields as the string attribute map other layouts carry."""
+    from lectern.operators.records import course_attrs
+    a = course_attrs(records(spark, sf_dir).h.courses)
+    return a.select("course_id", F.array_join(F.transform(F.array_sort(F.map_entries("attrs")),
+                                                          lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+                    .alias("attrs"))

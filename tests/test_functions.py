@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lectern.functions.escaping import escape_code, unescape_code
 from lectern.functions.paths import classify_block, clean_path, join_dir_name, repl_ref, split_dir_name
 from lectern.functions.security import hmac_sha1_hex
-from lectern.functions.text import (global_id, topics_array, topics_csv, url_path_segment_escape,
+from lectern.functions.text import (global_id, intl, topics_array, topics_csv, url_path_segment_escape,
                                     url_query_escape)
 from lectern.operators.content import card_edit_url
 
@@ -93,3 +93,8 @@ def test_card_edit_url(spark):
     rows = [("https://github.com/acme/c1", "01_A/02_B c/03_#x/00_t.md"), ("https://gitlab.com/acme/c0", "a/b/c/d.md")]
     got = _one(spark, rows, "r string, p string", card_edit_url(F.col("r"), F.col("p")))
     assert got == ["https://github.com/acme/c1/edit/master/01_A/02_B%20c/03_%23x/00_t.md", ""]
+
+
+def test_intl(spark):
+    got = _one(spark, [("Title", "en")], "t string, l string", intl(F.col("t"), F.col("l")))[0]
+    assert [(e.content, e.is_default, e.locale) for e in got] == [("Title", True, "en")]
