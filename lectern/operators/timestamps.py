@@ -43,9 +43,11 @@ def vertical_updated_at(h: Hierarchy, commits: DataFrame) -> DataFrame:
             .drop("ts", "has_block"))
 
 
-def rollup_updated_at(h: Hierarchy, commits: DataFrame) -> dict[str, DataFrame]:
-    """AGG-1: ``{"vertical", "sequential", "chapter", "course"}`` → node rows with ``updated_at``."""
-    v = vertical_updated_at(h, commits)
+def rollup_updated_at(h: Hierarchy, commits: DataFrame, stage=None) -> dict[str, DataFrame]:
+    """AGG-1: ``{"vertical", "sequential", "chapter", "course"}`` → node rows with ``updated_at``.
+
+    ``stage(name, df)`` may persist the per-vertical table, which all four outputs read."""
+    v = (stage or (lambda name, df: df))("vertical_updated_at", vertical_updated_at(h, commits))
     r = (v.rollup("course_id", "chapter_id", "seq_id")
          .agg(F.max("updated_at").alias("updated_at"), F.grouping_id().alias("gid")))
     seq_t = r.filter(F.col("gid") == 0).select("course_id", "seq_id", "updated_at")

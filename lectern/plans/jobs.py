@@ -93,8 +93,9 @@ def load(spark: SparkSession, h: Hierarchy, commits: DataFrame | None, out_base:
     ``out_base/_stage`` and the per-course report (one row per course) is checkpointed, so
     each record set is computed once."""
     from lectern.plans.stage import Stager
-    updated = rollup_updated_at(h, commits) if commits is not None else None
-    r = CourseRecords(h, updated, stage=Stager(spark, f"{out_base}/_stage"))
+    stage = Stager(spark, f"{out_base}/_stage")
+    updated = rollup_updated_at(h, commits, stage) if commits is not None else None
+    r = CourseRecords(h, updated, stage=stage)
     bad = violations(r).groupBy("course_id").agg(F.count("*").alias("n_errors"))
     ok = h.courses.select("course_id").join(bad, "course_id", "left").fillna({"n_errors": 0}).checkpoint(eager=True)
     take = ok if force else ok.filter(F.col("n_errors") == 0)
