@@ -56,11 +56,11 @@ def stored_ctx(spark: SparkSession, sf_dir: str) -> Ctx:
     import os
 
     from lectern.operators.hierarchy import store_hierarchy
-    from lectern.session import checkpoint_dir
+    from lectern.session import run_dir
     c = ctx(spark, sf_dir)
     if c.stored is None:
         tag = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
-        base = f"{checkpoint_dir(spark).rstrip('/')}/lectern-hierarchy/{tag}"
+        base = f"{run_dir(spark)}/lectern-hierarchy/{tag}"
         c.stored = store_hierarchy(c.h, base, spark)
     return Ctx(files=c.files, h=c.stored, commits=c.commits)
 
@@ -74,9 +74,9 @@ def stager(spark: SparkSession, sf_dir: str, job: str):
     import os
 
     from lectern.plans.stage import Stager
-    from lectern.session import checkpoint_dir
+    from lectern.session import run_dir
     key = (id(spark), sf_dir, job)
     if key not in _STAGERS:
         tag = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
-        _STAGERS[key] = Stager(spark, f"{checkpoint_dir(spark).rstrip('/')}/lectern-stage/{tag}/{job}")
+        _STAGERS[key] = Stager(spark, f"{run_dir(spark)}/lectern-stage/{tag}/{job}")
     return _STAGERS[key]

@@ -44,16 +44,28 @@ def get_session(master: str | None = None, partitions: int | None = None,
     return spark
 
 
+_CHOSEN: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this must already be set to a shared (distributed) file system path;
-    only when it is unset (local tests) is a fresh scratch folder created.
-    """
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="lectern-ckpt-")
-    spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    only when it is unset (local tests) is one scratch folder created per application.
+    The value is stable for the application (``setCheckpointDir`` nests a fresh folder
+    each time it is called, so it is called once)."""
+    app = spark.sparkContext.applicationId
+    if app not in _CHOSEN:
+        configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        if not configured:
+            configured = tempfile.mkdtemp(prefix="lectern-ckpt-")
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(configured)
+        _CHOSEN[app] = configured
+    return _CHOSEN[app]
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This application's folder below the shared checkpoint folder: stand-ins, stages and
+    sink tables of concurrent applications never overwrite each other."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/lectern-{spark.sparkContext.applicationId}"

@@ -342,10 +342,10 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     import hashlib
     import os
 
-    from lectern.session import checkpoint_dir
+    from lectern.session import run_dir
 
     tag = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
-    path = f"{checkpoint_dir(spark).rstrip('/')}/lectern-catalogue/{tag}/{name}"
+    path = f"{run_dir(spark)}/lectern-catalogue/{tag}/{name}"
     key = (id(spark), path)
     if key not in _WRITTEN:
         build(spark, sf_dir).write.mode("overwrite").parquet(path)
