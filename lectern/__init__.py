@@ -14,6 +14,16 @@ Sub-packages:
   streaming  Structured Streaming push-event feed
 """
 
-from lectern.session import get_session, checkpoint_dir  # noqa: F401
+import sys as _sys
+
+# Python helpers (vectorised UDFs) are pickled with their code, so executors need no copy
+# of this package on their path (no --py-files, no shared folder).
+try:
+    from pyspark import cloudpickle as _cloudpickle
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001 - older cloudpickle: fall back to shipping the package
+    pass
+
+from lectern.session import get_session, checkpoint_dir  # noqa: F401,E402
 
 __all__ = ["get_session", "checkpoint_dir"]
