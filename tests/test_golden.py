@@ -131,3 +131,15 @@ def test_scan_tree_matches_table(spark, tmp_path, golden):
     assert got == {(c, p, t) for (c, p), t in FILES.items()}
     h = build_hierarchy(scanned)
     assert h.verticals.count() == build_hierarchy(files).verticals.count()
+
+
+def test_load_skips_only_invalid_courses(spark, golden):
+    from lectern.plans.jobs import load
+    from lectern.sinks.upsert import read_table
+    _, h, commits, _ = golden
+    base = tempfile.mkdtemp(prefix="lectern-load-")
+    report = {r.course_id: (r.n_errors > 0, r.loaded) for r in load(spark, h, commits, base).collect()}
+    assert report == {"C1": (True, False), "C2": (False, True)}
+    courses = read_table(spark, f"{base}/course")
+    assert [r.url_name for r in courses.collect()] == ["c2"]
+    assert courses.filter(F.col("updated_at").isNull()).count() == 0
