@@ -176,10 +176,10 @@ def train(docs: DataFrame, learn_from: Column, sample: int = SAMPLE) -> Language
 def predict(docs: DataFrame, model: LanguageModel, *, lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """``docs`` with the predicted language and its score (0 to 1) as two more columns, in one pass
     over the scan and without a shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x functions floats
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # BUCKETS x functions floats
 
     def score(batches):
-        m = shared.value
+        m = LanguageModel(**shared.value)
         for batch in batches:
             got = [m.predict(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -193,10 +193,10 @@ def predict(docs: DataFrame, model: LanguageModel, *, lang_col: str = "lang_pred
 def keep_known(docs: DataFrame, model: LanguageModel, min_score: float = 0.0) -> DataFrame:
     """The rows of ``docs``, columns unchanged, whose language is determined with at least
     ``min_score``; texts without a letter go."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def keep(batches):
-        m = shared.value
+        m = LanguageModel(**shared.value)
         for batch in batches:
             got = [m.predict(t) for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array([g[0] != UNDETERMINED and g[1] >= min_score for g in got], pa.bool_()))

@@ -177,10 +177,10 @@ def _scores(batch: pa.RecordBatch, model: FactorisationMachine, scanner: WordSca
 
 def score(docs: DataFrame, model: FactorisationMachine, *, score_col: str = "score") -> DataFrame:
     """``docs`` with ``score`` (0 to 1, higher: quality 1 likelier) added, in one pass over the scan."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # N_FEATURES x (FACTORS + 1) floats
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # N_FEATURES x (FACTORS + 1) floats
 
     def run(batches):
-        m, scanner = shared.value, WordScanner()
+        m, scanner = FactorisationMachine(**shared.value), WordScanner()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_scores(batch, m, scanner), pa.float64())],
                                              names=[*batch.schema.names, score_col])
@@ -190,10 +190,10 @@ def score(docs: DataFrame, model: FactorisationMachine, *, score_col: str = "sco
 
 def keep_good(docs: DataFrame, model: FactorisationMachine, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, columns unchanged, that score at least ``threshold``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def run(batches):
-        m, scanner = shared.value, WordScanner()
+        m, scanner = FactorisationMachine(**shared.value), WordScanner()
         for batch in batches:
             yield batch.filter(pa.array([s >= threshold for s in _scores(batch, m, scanner)], pa.bool_()))
 
