@@ -10,7 +10,8 @@ At scale: statistics are computed once in a pass over the texts and staged (narr
 concentration step is two map-side combined aggregations on these rows: counts over fixed
 logarithmic distance bins give the support's threshold, exact integer sums (fixed-point vectors,
 decimals) give mean and covariance, so results do not depend on the order of rows or tasks. The
-5 x 5 algebra runs per group in Arrow batches; no group meets in one task.
+5 x 5 algebra runs per group in Arrow batches; rows meet their group's estimate by (group, salt),
+so no group meets in one task.
 
 Groups with fewer than ``MIN_GROUP`` usable rows use their language's estimate, or the one over
 all rows. Null languages and sources form groups of their own. Scatter gets a small ridge, so that
@@ -41,6 +42,8 @@ SCALE = 4096
 #: Least standard deviation of each dimension (log words, word length, three share roots).
 FLOOR = (0.25, 0.5, 0.05, 0.12, 0.15)
 DIMS = len(FLOOR)
+#: A group's rows meet its estimate in so many parts, so that a hot group is not one task's.
+SALTS = 64
 #: Resolution of the distance bins: so many per doubling.
 BINS_PER_OCTAVE = 64
 
@@ -139,14 +142,24 @@ def _distance() -> Column:
     return F.greatest(total, F.lit(0.0))
 
 
+def _salt(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int").alias("salt")
+
+
+def _for_each_salt(estimates: DataFrame) -> DataFrame:
+    """A few numbers a group, once for every salt."""
+    return estimates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def minimum_covariance(rows: DataFrame, keys: list[str], scratch: Scratch, name: str, large: Column,
                        support: float = SUPPORT, steps: int = STEPS) -> DataFrame:
     """MCD estimates per group of ``rows`` (columns ``keys``, not null, and ``z0``…) where ``large``
     (a condition on the keys and the count ``n``) holds."""
     estimates = scratch(f"{name}0", _estimates(_moments(rows, keys).where(large), keys, 1.0))
+    rows = rows.withColumn("salt", _salt(*[f"z{i}" for i in range(DIMS)]))
     bin_of = F.floor(F.log2(F.col("d2") + F.lit(2.0 ** -20)) * BINS_PER_OCTAVE).cast("int")
     for step in range(1, steps + 1):
-        placed = rows.join(estimates, keys).withColumn("d2", _distance()).withColumn("bin", bin_of)
+        placed = rows.join(_for_each_salt(estimates), [*keys, "salt"]).withColumn("d2", _distance()).withColumn("bin", bin_of)
         counts = placed.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
         bins = counts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").alias("total"))
         # the first bin at which the running count reaches the support; a few thousand bins at most
@@ -156,7 +169,7 @@ def minimum_covariance(rows: DataFrame, keys: list[str], scratch: Scratch, name:
         cuts = bins.select(*keys, reach.alias("cut"))
         # with the support's share of a normal cloud, the kept scatter is too small by this factor
         factor = _consistency(support)
-        inside = placed.join(cuts, keys).where(F.col("bin") <= F.col("cut"))
+        inside = placed.join(_for_each_salt(cuts), [*keys, "salt"]).where(F.col("bin") <= F.col("cut"))
         estimates = scratch(f"{name}{step}", _estimates(_moments(inside, keys), keys, factor))
     return estimates
 
@@ -192,6 +205,6 @@ def judge(docs: DataFrame, *, cutoff: float = CUTOFF, min_group: int = MIN_GROUP
         part = fits.where(F.col("level") == k).select(F.col("k1").alias("a"), F.col("k2").alias("b"), F.struct("centre", "inverse").alias(f"fit{k}"))
         groups = groups.join(part, (groups[on[0]] == part["a"]) & (groups[on[1]] == part["b"]), "left").drop("a", "b")
     chosen = scratch("chosen", groups.withColumn("fit", F.coalesce("fit0", "fit1", "fit2")).select("g_lang", "g_source", "fit.*"))
-    judged = stats.join(chosen, ["g_lang", "g_source"], "left").withColumn("d2", F.when(~F.col("base_failed"), _distance()))
+    judged = stats.withColumn("salt", _salt("doc_id")).join(_for_each_salt(chosen), ["g_lang", "g_source", "salt"], "left").withColumn("d2", F.when(~F.col("base_failed"), _distance()))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                          (~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= cutoff)).alias("kept"), F.col("d2").alias("distance"))
