@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import tempfile
 from collections import Counter
 from collections.abc import Iterator
@@ -27,12 +28,11 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
-import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.bpe import IdTable, Merges
-from lectern.llm.common import texts_of
+from lectern.llm.common import Scratch, texts_of
 
 #: Words in the lexicon.
 WORDS = 1 << 15
@@ -268,10 +268,18 @@ def word_counts(docs: DataFrame, special: dict[str, int]) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def build_lexicon(docs: DataFrame, merges: Merges, size: int = WORDS) -> Transducer:
-    """The ``size`` most frequent words of all texts (ties: the smaller bytes), compiled."""
-    top = word_counts(docs, merges.special).orderBy(F.col("n").desc(), F.col("word")).limit(size)
-    words = sorted(bytes(r["word"]) for r in top.select("word").collect())
+def build_lexicon(docs: DataFrame, merges: Merges, size: int = WORDS, scratch: Scratch | None = None) -> Transducer:
+    """The most frequent words of all texts, compiled: all words that occur at least as often as
+    the least count that at most ``size`` words reach. Only those words come to the driver, and of
+    the counts no more than ``size`` different values with how many words have each."""
+    counts = (scratch or Scratch(docs.sparkSession, "lexicon"))("counts", word_counts(docs, merges.special))
+    least, held = None, 0
+    for r in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.col("n").desc()).limit(size).collect():
+        held += r["words"]
+        if held > size:
+            break
+        least = r["n"]
+    words = [] if least is None else sorted(bytes(r["word"]) for r in counts.where(F.col("n") >= least).select("word").collect())
     return Transducer.compile(words, *merges.encode(words))
 
 

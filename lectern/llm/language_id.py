@@ -169,8 +169,12 @@ def train(docs: DataFrame, learn_from: Column, sample: int = SAMPLE) -> Language
                                               "lang": pa.array([k[1] for k in kept], pa.string())})
 
     got = sorted((r["lang"], bytes(r["p"])) for r in picked.mapInArrow(profiles, "p binary, lang string").toLocalIterator())
-    x = np.stack([np.frombuffer(p, dtype=np.float16) for _, p in got]).astype(np.float32) if got else np.zeros((0, BUCKETS), np.float32)
-    return fit(x, [lang for lang, _ in got])
+    x = np.empty((len(got), BUCKETS), dtype=np.float32)
+    for i, (_, p) in enumerate(got):
+        x[i] = np.frombuffer(p, dtype=np.float16)
+    labels = [lang for lang, _ in got]
+    del got
+    return fit(x, labels)
 
 
 def predict(docs: DataFrame, model: LanguageModel, *, lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
