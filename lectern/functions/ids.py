@@ -11,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ID_LENGTH = 12
+#: Hex digits of the digest that make an id: 128 bits, so that ids of different nodes stay apart.
+ID_LENGTH = 32
 
 
 def derived_id(*key_cols) -> Column:
-    """12 lower-case letters from the SHA-256 of the joined key (digits mapped to g..p)."""
+    """32 lower-case letters (128 bits) from the SHA-256 of the joined key (digits mapped to g..p)."""
     key = F.concat_ws("/", *[F.col(c) if isinstance(c, str) else c for c in key_cols])
     return F.translate(F.substring(F.sha2(key, 256), 1, ID_LENGTH), "0123456789", "ghijklmnop")

@@ -181,14 +181,15 @@ def choices_single(lines: DataFrame, keys: list[str]) -> DataFrame:
 def choices_single_multiline(parts: DataFrame, keys: list[str]) -> DataFrame:
     """TXT-5: ``+(x) … -(x)-`` bodies (code and newlines allowed) as single choices."""
     body = _part_body(parts)
-    blocks = body.select(*keys, "part_idx", F.posexplode("mlchoices").alias("pos", "raw"))
+    lines = F.size(F.split(F.col("body"), "\n")).alias("n_lines")  # they come after every single line
+    blocks = body.select(*keys, "part_idx", lines, F.posexplode("mlchoices").alias("pos", "raw"))
     marks = F.regexp_extract(F.col("raw"), r"^\+\((.{0,3})\)", 1)
     inner = F.trim(F.regexp_replace(F.regexp_replace(F.col("raw"), r"^\+\(.{0,3}\)\s*", ""),
                                     r"\s*-\(.{0,3}\)-$", ""))
     h = hint_parts(inner)
-    out = blocks.select(*keys, "part_idx", "pos", marks.alias("marks"), h.alias("h"))
+    out = blocks.select(*keys, "part_idx", (F.col("n_lines") + F.col("pos")).alias("line_no"), marks.alias("marks"), h.alias("h"))
     shuffle = F.max(F.col("marks").contains("!")).over(Window.partitionBy(*keys, "part_idx"))
-    return out.select(*keys, "part_idx", F.lit(-1).cast("bigint").alias("run"), (F.col("pos") + 100000).alias("line_no"),
+    return out.select(*keys, "part_idx", F.lit(-1).cast("bigint").alias("run"), "line_no",
                       F.col("marks").rlike("(?i)x").alias("correct"),
                       F.col("marks").contains("@").alias("fixed"), shuffle.alias("shuffle"),
                       F.col("h.nothint").alias("text"), F.col("h.hint").alias("hint"),

@@ -251,7 +251,7 @@ def repl_violations(repls: DataFrame, keys: list[str]) -> DataFrame:
 
 def normalize_request(p: Column) -> Column:
     """JOIN-7: ``/a/b``, ``./a/b`` and ``a/b`` name the same file."""
-    return F.when(p.startswith("/"), F.substring(p, 2, 1 << 30)).when(p.startswith("./"), F.substring(p, 3, 1 << 30)).otherwise(p)
+    return F.when(p.startswith("/"), F.substr(p, F.lit(2))).when(p.startswith("./"), F.substr(p, F.lit(3))).otherwise(p)
 
 
 def lookup_path(ws: DataFrame, requests: DataFrame, keys: list[str], sudo: bool = False) -> DataFrame:

@@ -18,10 +18,11 @@ from lectern.functions.markup import html_to_markdown
 from lectern.operators.hierarchy import Hierarchy, build_hierarchy
 from lectern.operators.records import CourseRecords
 from lectern.operators.timestamps import rollup_updated_at
-from lectern.operators.validate import violations
+from lectern.operators.validate import MSG_PARSE, violations
 from lectern.operators.xml_import import import_xml
 from lectern.sinks.export import book_rows, export_tree, export_xml
 from lectern.sinks.upsert import UPSERT_ORDER, upsert_table
+from lectern.sources.xml import parse_errors
 
 
 def hierarchy_from_xml(files: DataFrame, stage=None) -> Hierarchy:
@@ -54,10 +55,17 @@ def hierarchy_from_xml(files: DataFrame, stage=None) -> Hierarchy:
     blocks = x.blocks.select("course_id", "chapter_id", "seq_id", "vert_id", F.col("vert_id").alias("folder"),
                              F.col("url_name").alias("path"), F.col("url_name").alias("name"), "block_idx", "block_type",
                              "display_name", F.col("filename").alias("fs_path"), content.alias("content"))
+    # every level as a folder row, so that a missing title is reported (VAL-11)
+    folders = None
+    for depth, level in enumerate((chapters, seqs, verts), 1):
+        part = level.select("course_id", "folder", F.lit(depth).alias("level"), "dir_name", F.lit(True).alias("name_ok"),
+                            F.when(F.col("display_name") != "", F.col("display_name")).alias("display_name"),
+                            F.lit(None).cast("string").alias("parse_error"), F.lit("").alias("index_file"))
+        folders = part if folders is None else folders.unionByName(part)
     empty_files = files.sparkSession.createDataFrame(
         [], "course_id string, path string, parts array<string>, depth int, name string, folder string, content string")
     return Hierarchy(courses=courses, chapters=chapters, sequentials=seqs, verticals=verts, blocks=blocks,
-                     folders=None, id_writeback=None, files=empty_files)
+                     folders=folders, id_writeback=None, files=empty_files)
 
 
 def read_catalogue(files: DataFrame, fmt: str, stage=None) -> Hierarchy:
@@ -73,7 +81,8 @@ def convert(files: DataFrame, from_fmt: str, to_fmt: str, stage=None) -> DataFra
     for layouts; ordered book rows for ``book``)."""
     h = read_catalogue(files, from_fmt, stage)
     if to_fmt == "folder":
-        return export_tree(h)
+        # the editors' source and test files go along (an XML catalogue has none of its own)
+        return export_tree(h, CourseRecords(h, stage=stage).editors if from_fmt == "folder" else None)
     if to_fmt == "xml":
         return export_xml(h)
     if to_fmt == "book":
@@ -81,9 +90,14 @@ def convert(files: DataFrame, from_fmt: str, to_fmt: str, stage=None) -> DataFra
     raise ValueError(f"unsupported target format: {to_fmt}")
 
 
-def verify(files: DataFrame, fmt: str = "folder") -> DataFrame:
-    """JOB-3: every violation of every course."""
-    return violations(CourseRecords(read_catalogue(files, fmt)))
+def verify(files: DataFrame, fmt: str = "folder", stage=None) -> DataFrame:
+    """JOB-3: every violation of every course; XML documents that cannot be parsed are reported as
+    VAL-13 (what hangs below them is not read)."""
+    found = violations(CourseRecords(read_catalogue(files, fmt, stage), stage=stage))
+    if fmt == "xml":
+        bad = parse_errors(files).select("course_id", F.lit("VAL-13").alias("rule"), "path", F.lit(MSG_PARSE).alias("message"))
+        found = found.unionByName(bad)
+    return found
 
 
 def load(spark: SparkSession, h: Hierarchy, commits: DataFrame | None, out_base: str,
@@ -101,7 +115,8 @@ def load(spark: SparkSession, h: Hierarchy, commits: DataFrame | None, out_base:
     take = ok if force else ok.filter(F.col("n_errors") == 0)
     keep = take.select("course_id")
     sets = {
-        "question": r.questions.drop("choices"),
+        "question": r.questions.withColumn("choices", F.to_json("choices"))
+        .join(r.code_data.select("course_id", "vert_id", "block_idx", F.to_json(F.struct("*")).alias("code_data")), ["course_id", "vert_id", "block_idx"], "left"),
         "versioned_content": r.versioned_contents,
         "exam": r.exams,
         "course": r.course_records,
@@ -109,8 +124,8 @@ def load(spark: SparkSession, h: Hierarchy, commits: DataFrame | None, out_base:
     now = F.current_timestamp()
     for name in UPSERT_ORDER:
         df = sets[name].join(keep, "course_id", "left_semi")
-        key = ["url_name"] if name == "course" else ["id"]
+        key = ["course_id", "url_name" if name == "course" else "id"]
         stamp = {"static_data_updated_at": now, "updated_at": now} if name == "course" else None
         upsert_table(spark, f"{out_base}/{name}", df, key, stamp=stamp)
-    upsert_table(spark, f"{out_base}/search_documents", r.search_documents.join(keep, "course_id", "left_semi"), ["id"])
+    upsert_table(spark, f"{out_base}/search_documents", r.search_documents.join(keep, "course_id", "left_semi"), ["course_id", "id"])
     return ok.withColumn("loaded", F.lit(force) | (F.col("n_errors") == 0))

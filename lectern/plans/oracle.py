@@ -36,7 +36,7 @@ vt0 AS (
 vt AS (
   SELECT vt0.*,
          CASE WHEN variant IN (0, 3, 4)
-              THEN translate(substr(sha256(course_id || '/' || vpath), 1, 12), '0123456789', 'ghijklmnop')
+              THEN translate(substr(sha256(course_id || '/' || vpath), 1, 32), '0123456789', 'ghijklmnop')
               ELSE 'O' || o_orderkey END AS vert_id,
          CASE WHEN variant IN (0, 4) THEN o_orderpriority WHEN variant = 2 THEN ''
               ELSE 'Order ' || o_orderkey END AS vert_title

@@ -32,7 +32,7 @@ pieces AS (
          WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN
            '<iframe src="https://exlcode.com/repl?embedded=true&amp;workspace=' ||
            replace(url_encode('{"id":"' ||
-             translate(substr(sha256(course_id || '/' || vert_id || '/' || CAST(nn AS VARCHAR) || '/src'), 1, 12),
+             translate(substr(sha256(course_id || '/' || vert_id || '/' || CAST(nn AS VARCHAR) || '/src'), 1, 32),
                        '0123456789', 'ghijklmnop') ||
              '","name":"' || base || '","environmentKey":"python_3_4_free","files":{"main.py":{"name":"main.py",' ||
              '"isDir":false,"isTmplFile":false,"isImmutable":false,"contents":"' || p_type || ' ' || p_name ||
@@ -269,7 +269,7 @@ def q_nested_courses(spark, sf_dir):
 _CODE_SQL = rec_sql(r"""
 cq AS (
   SELECT pblk.*, CASE WHEN is_exam THEN vert_id ELSE vert_id || '_q_' || CAST(q_rank AS VARCHAR) END AS qid,
-    '{"id":"' || translate(substr(sha256(course_id || '/' || vert_id || '/' || CAST(nn AS VARCHAR) || '/src'), 1, 12),
+    '{"id":"' || translate(substr(sha256(course_id || '/' || vert_id || '/' || CAST(nn AS VARCHAR) || '/src'), 1, 32),
                            '0123456789', 'ghijklmnop') ||
     '","name":"","environmentKey":"python_3_4_free","files":{"solution.py":{"name":"solution.py","isDir":false,' ||
     '"isTmplFile":false,"isImmutable":false,"contents":"' || p_type || '"}}}' AS ws

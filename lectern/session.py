@@ -58,6 +58,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if app not in _CHOSEN:
         configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
         if not configured:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             configured = tempfile.mkdtemp(prefix="lectern-ckpt-")
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(configured)

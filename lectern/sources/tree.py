@@ -82,7 +82,7 @@ def yaml_to_json(texts: pd.Series) -> pd.DataFrame:
             out_err.append(None)
         except Exception as exc:  # noqa: BLE001 - any parse failure is a VAL-13 row
             out_json.append(None)
-            out_err.append(str(exc).splitlines()[0][:500])
+            out_err.append(str(exc) or type(exc).__name__)
     return pd.DataFrame({"json": out_json, "error": out_err})
 
 
@@ -110,20 +110,16 @@ def scan_tree(spark: SparkSession, root: str, course_id_from: str = "folder") ->
     raw = (spark.read.format("binaryFile")
            .option("recursiveFileLookup", "true")
            .load(root))
-    root_norm = root.rstrip("/")
-    rel = F.regexp_replace(F.col("path"), r"^file:", "")
-    rel = F.regexp_replace(rel, "^" + _re_escape(root_norm) + "/", "")
+    # the root as its file system spells it, which is how the scan spells its paths
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    qualified = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toString().rstrip("/")
+    rel = F.substr(F.col("path"), F.lit(len(qualified) + 2))
     return (raw.select(rel.alias("rel"), F.col("content"))
             .select(F.substring_index("rel", "/", 1).alias("course_id"),
                     F.expr("substr(rel, instr(rel, '/') + 1)").alias("path"),
                     F.decode(F.col("content"), "UTF-8").alias("content")))
 
 
-def _re_escape(s: str) -> str:
-    import re
-    return re.escape(s)
-
-
 def read_index(files: DataFrame) -> DataFrame:
     """SRC-2: one index per folder: ``index.yaml`` wins over ``index.yml``.
 

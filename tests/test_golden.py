@@ -74,7 +74,7 @@ def test_index_rules(golden):
     seq = {r.seq_id: r.display_name for r in h.sequentials.collect()}
     assert seq == {"s1": "Sec", "s2": "Exam", "s3": ""}          # empty display name wins over folder name
     v = {r.display_name: r.vert_id for r in h.verticals.collect()}
-    assert len(v["C"]) == 12 and v["C"].isalpha()                # no index: folder name + derived id
+    assert len(v["C"]) == 32 and v["C"].isalpha()                # no index: folder name + derived id
     wb = h.id_writeback.collect()
     assert [(r.folder, r.url_name) for r in wb] == [("2_Early/3_Sec3/1_C", v["C"])]
 
