@@ -78,9 +78,9 @@ def _replace_all(c: Column, pairs) -> Column:
 
 
 def html_to_markdown(html) -> Column:
-    """TXT-10: HTML → Markdown (documented subset)."""
+    """TXT-10: HTML → Markdown (documented subset), without blank space at its ends."""
     c = F.col(html) if isinstance(html, str) else html
-    return F.trim(_chain(_replace_all(_chain(c, HTML_TO_MD), ENTITIES), TIDY))
+    return F.btrim(_chain(_replace_all(_chain(c, HTML_TO_MD), ENTITIES), TIDY), F.lit(" \t\r\n"))
 
 
 def _md_line(line: Column) -> Column:

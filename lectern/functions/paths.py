@@ -66,6 +66,17 @@ def clean_path(p) -> Column:
     return F.when(cleaned == "", F.lit(".")).otherwise(cleaned)
 
 
+def resolve_path(p) -> Column:
+    """``clean_path`` with ``..`` segments resolved (``a/b/../c`` → ``a/c``); a ``..`` that leads
+    above the root stays."""
+    up = F.lit("..")
+    parts = F.split(clean_path(p), "/")
+    out = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, s: F.when(
+        (s == up) & (F.size(acc) > 0) & (F.coalesce(F.try_element_at(acc, F.lit(-1)), up) != up),
+        F.slice(acc, 1, F.size(acc) - 1)).otherwise(F.concat(acc, F.array(s))))
+    return F.array_join(out, "/")
+
+
 def repl_ref(answer) -> Column:
     """PRJ-7: ``#!exl::repl('x')`` → cleaned relative path ``x``; NULL for anything else."""
     a = _c(answer)

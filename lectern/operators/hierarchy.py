@@ -159,9 +159,10 @@ def build_levels(levels: DataFrame, f: DataFrame) -> Hierarchy:
     b = (f.filter(F.col("depth") == 3)
          .withColumn("block_type", classify_block(F.col("name")))
          .filter(F.col("block_type").isNotNull()))
-    b = sibling_index(b, ["course_id", "folder"], "name", out="block_idx")
-    blocks = (b.join(verticals.select("course_id", "folder", "chapter_id", "seq_id", "vert_id"),
-                     ["course_id", "folder"])
+    # numbered and placed by name; contents move once, in the last join
+    place = (sibling_index(b.select("course_id", "folder", "name"), ["course_id", "folder"], "name", out="block_idx")
+             .join(verticals.select("course_id", "folder", "chapter_id", "seq_id", "vert_id"), ["course_id", "folder"]))
+    blocks = (b.join(place, ["course_id", "folder", "name"])
               .select("course_id", "chapter_id", "seq_id", "vert_id", "folder", "path", "name", "block_idx",
                       "block_type", block_display_name(F.col("name")).alias("display_name"),
                       fs_path(F.col("path")).alias("fs_path"), "content"))

@@ -1,51 +1,36 @@
 """Position of rows within their group (``row_number() - 1``) that survives hot groups.
 
 A window partitioned by the group sorts each group inside one task; a group holding a
-third of all rows would be one straggler task. ``ordinal`` first measures group sizes
-with a partial aggregation. Groups up to ``hot_rows`` rows keep the plain window. Rows of
-hot groups are range-partitioned on (group, order) — the range sampler splits a hot group
-across many tasks — and checkpointed so the split is fixed; each task numbers its slice
-locally, the slice sizes (one row per task and hot group) give each slice its offset, and
-the offsets are joined back. The hot-key list is at most ``rows / hot_rows`` keys, which
-bounds its broadcast.
-
-The order columns must order a group totally (e.g. a file name within its folder).
+third of all rows would be one straggler task. ``ordinal`` range-partitions all rows on
+(group, order) instead: the range sampler splits a large group over several tasks. The split
+is checkpointed, so that it stays the same when tasks run again. Each slice numbers its rows of a
+group locally; a group that runs on from earlier slices adds their row counts. Only a group that
+crosses a slice boundary does, so the broadcast list of those counts has fewer rows than there
+are shuffle partitions. Every group takes this one path, whatever its size.
+
+The order columns must order a group totally (e.g. a file name within its folder). Pass narrow
+rows: they are written once to the checkpoint folder.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_HOT_ROWS = 2_000_000
-
-
-def ordinal(df: DataFrame, keys: list[str], order: list[str], out: str = "idx",
-            hot_rows: int | None = None) -> DataFrame:
-    spark = df.sparkSession
-    if hot_rows is None:
-        hot_rows = int(spark.conf.get("lectern.ordinal.hotRows", str(DEFAULT_HOT_ROWS)))
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    hot = sizes.filter(F.col("_n") > hot_rows).select(*keys)
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c) for c in order])
-    plain = (F.row_number().over(w) - 1).cast("bigint")
-    if hot.isEmpty():
-        return df.withColumn(out, plain)
 
+def ordinal(df: DataFrame, keys: list[str], order: list[str], out: str = "idx") -> DataFrame:
     from lectern.session import checkpoint_dir
+    spark = df.sparkSession
     checkpoint_dir(spark)
-    tagged = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
-    cold = tagged.filter(F.col("_hot").isNull()).drop("_hot").withColumn(out, plain)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sliced = (tagged.filter(F.col("_hot")).drop("_hot")
-              .repartitionByRange(n, *[F.col(c) for c in keys + order])
-              .withColumn("_slice", F.spark_partition_id())
-              .checkpoint(eager=True))
-    local = sliced.withColumn(
-        "_lr", F.row_number().over(Window.partitionBy("_slice", *keys).orderBy(*[F.col(c) for c in order])) - 1)
-    sizes_per_slice = sliced.groupBy("_slice", *keys).agg(F.count("*").alias("_c"))
-    offsets = sizes_per_slice.withColumn("_off", F.coalesce(F.sum("_c").over(
-        Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    hot_out = (local.join(F.broadcast(offsets.select("_slice", *keys, "_off")), ["_slice", *keys])
-               .withColumn(out, (F.col("_lr") + F.col("_off")).cast("bigint")).drop("_slice", "_lr", "_off"))
-    return cold.unionByName(hot_out)
+    sliced = (df.repartitionByRange(n, *[F.col(c) for c in keys + order])
+              .withColumn("_slice", F.spark_partition_id()).checkpoint(eager=True))
+    local = F.row_number().over(Window.partitionBy("_slice", *keys).orderBy(*[F.col(c) for c in order])) - 1
+    earlier = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = (sliced.groupBy("_slice", *keys).agg(F.count("*").alias("_n")).withColumn("_off", earlier)
+               .filter(F.col("_off") > 0).select(*[F.col(k).alias(f"_k_{k}") for k in ["_slice", *keys]], "_off"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in ["_slice", *keys]])
+    return (sliced.withColumn("_local", local).join(F.broadcast(offsets), same, "left")
+            .select(*df.columns, (F.col("_local") + F.coalesce("_off", F.lit(0))).cast("bigint").alias(out)))

@@ -33,6 +33,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.escaping import escape_code, unescape_code
+from lectern.functions.markup import html_to_markdown
 from lectern.functions.text import strip_hints
 
 # Line patterns (Java regex), checked in this order.
@@ -90,13 +92,29 @@ def _join_multiline_hints(text: Column) -> Column:
 
 
 def split_parts(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """TXT-0 / TXT-1: CRLF → LF, split at ``---`` lines, drop blank parts.
+    """TXT-0 / TXT-1: CRLF → LF, split at ``---`` lines, drop blank parts, escape code.
 
-    Returns keys + ``part_idx`` (0-based among kept parts) + ``part``.
+    Returns keys + ``part_idx`` (0-based among kept parts) + ``part``. Markup characters inside
+    inline or fenced code are escaped (PRJ-21), so that no form matches there.
     """
     text = F.regexp_replace(F.col("text"), "\r\n", "\n")
     parts = F.filter(F.split(text, RE_PART_SPLIT), lambda p: F.trim(p) != "")
-    return docs.select(*keys, F.posexplode(parts).alias("part_idx", "part"))
+    split = docs.select(*keys, F.posexplode(parts).alias("part_idx", "part"))
+    return split.withColumn("part", F.when(F.col("part").contains("`"), escape_code("part")).otherwise(F.col("part")))
+
+
+def _plain(c) -> Column:
+    """An extracted text with its code unescaped again (the text is bound once)."""
+    return F.transform(F.array(_c(c)), lambda t: F.when(t.contains("`"), unescape_code(t)).otherwise(t))[0]
+
+
+def _unescaped(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: _plain(c) for c in cols})
+
+
+def _choice_markdown(c) -> Column:
+    """Choice text or explanation: HTML → Markdown outside code, then the code unescaped."""
+    return _plain(html_to_markdown(_c(c)))
 
 
 def question_labels(parts: DataFrame, keys: list[str]) -> DataFrame:
@@ -340,13 +358,17 @@ class ParsedProblems:
         self.keys = keys
         self.parts = stage("problem_parts", split_parts(docs, keys))
         self.lines = stage("problem_lines", problem_lines(self.parts, keys))
-        self.labels = question_labels(self.parts, keys)
-        self.hints = demand_hints(self.lines, keys)
-        self.single = choices_single(self.lines, keys).unionByName(choices_single_multiline(self.parts, keys))
-        self.multi = choices_multi(self.lines, keys)
-        self.dropdowns = options_dropdown(self.parts, keys)
+        self.labels = _unescaped(question_labels(self.parts, keys), "label", "description")
+        self.hints = _unescaped(demand_hints(self.lines, keys), "hint")
+        # code stays escaped in these two until their HTML has become Markdown (``records``)
+        self._single = choices_single(self.lines, keys).unionByName(choices_single_multiline(self.parts, keys))
+        self._multi = choices_multi(self.lines, keys)
+        self.single = _unescaped(self._single, "text", "hint", "hint_label")
+        self.multi = _unescaped(self._multi, "text", "hint_selected", "hint_unselected")
+        self.compound = _unescaped(compound_hints(self.lines, keys), "hint")
+        self.dropdowns = _unescaped(options_dropdown(self.parts, keys), "text", "hint", "hint_label")
         self.numeric = answers_numeric(self.lines, keys)
-        self.string = answers_string(self.lines, keys)
+        self.string = _unescaped(answers_string(self.lines, keys), "answer", "hint")
 
     def responses(self) -> DataFrame:
         """One row per response element: keys, part_idx, run, kind."""
@@ -380,13 +402,15 @@ class ParsedProblems:
                               .when(F.array_contains("kinds", "stringresponse"), F.lit("stringresponse"))
                               .alias("kind"))
         hint = self.hints.groupBy(*k).agg(F.max_by("hint", F.struct("part_idx", "line_no")).alias("demand_hint"))
-        sc = (self.single.groupBy(*k)
+        sc = (self._single.groupBy(*k)
               .agg(F.sort_array(F.collect_list(F.struct(
-                  "part_idx", "line_no", "text", "correct", "hint"))).alias("sc")))
-        mc = (self.multi.groupBy(*k)
+                  "part_idx", "line_no", _choice_markdown("text").alias("text"), "correct",
+                  _choice_markdown("hint").alias("hint")))).alias("sc")))
+        mc = (self._multi.groupBy(*k)
               .agg(F.sort_array(F.collect_list(F.struct(
-                  "part_idx", "line_no", "text", "correct",
-                  F.coalesce("hint_selected", "hint_unselected", F.lit("")).alias("hint")))).alias("mc")))
+                  "part_idx", "line_no", _choice_markdown("text").alias("text"), "correct",
+                  _choice_markdown(F.coalesce("hint_selected", "hint_unselected", F.lit(""))).alias("hint"))))
+                   .alias("mc")))
         ans = (self.string.groupBy(*k)
                .agg(F.max_by(F.struct("answer", "match_type"), F.struct("part_idx", "run")).alias("sa")))
         docs = kinds.select(*k).unionByName(self.parts.select(*k)).distinct()
@@ -407,8 +431,8 @@ class ParsedProblems:
 
 
 def question_choices(records: DataFrame, keys: list[str]) -> DataFrame:
-    """TXT-14 + WIN-4: one row per answer choice: seq = (position+1)*10, text without hint
-    markup, explanation = the choice's first hint."""
+    """TXT-14 + WIN-4: one row per answer choice: seq = (position+1)*10, Markdown text without
+    hint markup, explanation = the choice's first hint (both converted by ``records``)."""
     ch = records.select(*keys, F.posexplode("choices").alias("pos", "c"))
     return ch.select(*keys, ((F.col("pos") + 1) * 10).alias("seq"),
                      F.trim(strip_hints(F.col("c.text"))).alias("text"),

@@ -13,12 +13,12 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions.ids import derived_id
-from lectern.functions.paths import clean_path
+from lectern.functions.paths import resolve_path
 from lectern.functions.text import url_query_escape
 from lectern.sources.tree import REPL_SCHEMA, parse_yaml
 
@@ -69,26 +69,25 @@ def repl_roles(repls: DataFrame, keys: list[str]) -> DataFrame:
                                          for role in ROLES])).alias("x"))
     return (r.filter(F.col("x.rel") != "")
             .select(*keys, "environment", F.col("x.role").alias("role"),
-                    clean_path(F.concat_ws("/", F.col("folder"), F.col("x.rel"))).alias("role_dir")))
+                    resolve_path(F.concat_ws("/", F.col("folder"), F.col("x.rel"))).alias("role_dir")))
 
 
-def attach_files(roles: DataFrame, files: DataFrame, keys: list[str], wrapper: list[str] | None = None,
-                 min_level: int = 3) -> DataFrame:
+def attach_files(roles: DataFrame, files: DataFrame, keys: list[str], wrapper: list[str] | None = None) -> DataFrame:
     """JOIN-4 + SRC-6: every file below each role folder, as workspace rows.
 
-    ``files`` needs ``course_id, path, parts, depth, content``. Each file is joined to a
-    role folder through its ancestor folders (an equi-join), the relative path is cut,
-    java workspaces are wrapped below ``src/main/java/exlcode`` and folder rows are made
-    from the distinct ancestors of the relative paths.
+    ``files`` needs ``course_id, path, folder, content``. Role folders are matched to the
+    distinct folders of the files at or below them (an equi-join on exploded ancestors, paths
+    only, at any level); then each matched folder brings in its files, the only step that
+    moves contents. The relative path is cut, java workspaces are wrapped below
+    ``src/main/java/exlcode`` and folder rows are made from the distinct ancestors of the
+    relative paths.
     """
     wrapper = JAVA_WRAPPER if wrapper is None else wrapper
-    # role folders live in (or are) a vertical folder: only ancestors from level 3 down
-    # are candidates, so a block file emits one row and a workspace file one per level
-    anc = (files.filter(F.col("depth") >= min_level)
-           .select("course_id", "path", "content",
-                   F.explode(F.transform(F.sequence(F.lit(min_level), F.col("depth")),
-                                         lambda i: F.array_join(F.slice(F.col("parts"), 1, i), "/"))).alias("anc")))
-    hit = roles.join(anc.withColumnRenamed("anc", "role_dir"), ["course_id", "role_dir"])
+    folders = files.select("course_id", "folder").filter(F.col("folder") != "").distinct()
+    below = folders.select("course_id", "folder", F.explode(F.array_append(ancestors(F.col("folder")), F.col("folder")))
+                           .alias("role_dir"))
+    held = roles.join(below, ["course_id", "role_dir"])
+    hit = held.join(files.select("course_id", "folder", "path", "content"), ["course_id", "folder"])
     rel = F.expr("substring(path, length(role_dir) + 2)")
     java = F.col("environment") == "java_default_free"
     prefix = "/".join(wrapper) + "/"
@@ -265,13 +264,17 @@ def lookup_path(ws: DataFrame, requests: DataFrame, keys: list[str], sudo: bool
     req = requests.withColumn("rel", normalize_request(F.col("request")))
     bad_name = (F.col("request") == "") | (F.col("request") == ".") | F.col("request").contains("..")
     req = req.withColumn("bad_name", bad_name)
-    anc = req.select(*keys, "request_id", "rel", F.explode(ancestors(F.col("rel"))).alias("path"))
+    # judged once per distinct parent folder: requests of one folder share its ancestors
+    parent = F.array_join(F.slice(F.split("rel", "/"), 1, F.size(F.split("rel", "/")) - 1), "/")
+    req = req.withColumn("parent", parent)
+    anc = (req.select(*keys, "parent").distinct().filter(F.col("parent") != "")
+           .select(*keys, "parent", F.explode(F.array_append(ancestors(F.col("parent")), F.col("parent"))).alias("path")))
     blocked = ~F.col("is_dir") | (F.lit(not sudo) & F.col("is_hidden"))
     bad_anc = (anc.join(ws.select(*keys, "path", "is_dir", "is_hidden"), [*keys, "path"], "left")
                .filter(F.col("is_dir").isNull() | blocked)
-               .select(*keys, "request_id").distinct())
+               .select(*keys, "parent").distinct())
     hit = req.join(ws.withColumnRenamed("path", "rel"), [*keys, "rel"], "left")
-    ok = hit.join(bad_anc.withColumn("_bad", F.lit(True)), [*keys, "request_id"], "left")
+    ok = hit.join(bad_anc.withColumn("_bad", F.lit(True)), [*keys, "parent"], "left")
     found = ~F.col("bad_name") & F.col("name").isNotNull() & F.col("_bad").isNull()
     return ok.select(*keys, "request_id", "request", found.alias("found"),
                      F.when(found, F.col("rel")).alias("path"),
@@ -280,44 +283,66 @@ def lookup_path(ws: DataFrame, requests: DataFrame, keys: list[str], sudo: bool
 
 
 def apply_file_edits(ws: DataFrame, edits: DataFrame, keys: list[str], sudo: bool = False) -> tuple[DataFrame, DataFrame]:
-    """JOIN-8: apply a batch of ``write`` / ``remove`` edits; returns (new workspace, edit outcomes).
+    """JOIN-8: apply ``write`` / ``remove`` edits in ``seq`` order; returns (new workspace, one
+    outcome per edit).
 
-    Only the last edit per path counts (``max_by`` on ``seq``). A write needs an existing
-    parent folder (the root always exists) and a target that is not a folder; hidden or
-    immutable targets refuse unless ``sudo``; a remove of a folder drops its subtree.
+    A write makes or replaces a file: it needs an existing parent folder (the root always
+    exists) and a target that is not a folder at that time. A remove needs an existing target
+    and takes a folder's subtree. Hidden or immutable targets refuse unless ``sudo``.
+
+    Edits never make folders, so a folder's life ends at the first remove of it or of an
+    ancestor; that time per folder decides every edit below it, and what remains is the order of
+    the edits of one path. ``seq`` is unique.
     """
-    last = (edits.groupBy(*keys, "path")
-            .agg(F.max_by(F.struct("op", "contents", "seq"), "seq").alias("e"))
-            .select(*keys, "path", "e.op", F.col("e.contents").alias("new_contents"), "e.seq"))
     parent = F.array_join(F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1), "/")
-    t = (last.withColumn("parent", parent)
-         .join(ws.select(*keys, F.col("path").alias("parent"), F.col("is_dir").alias("parent_is_dir")),
-               [*keys, "parent"], "left")
-         .join(ws.select(*keys, "path", F.col("is_dir").alias("t_dir"), F.col("is_hidden").alias("t_hidden"),
-                         F.col("is_immutable").alias("t_immutable")), [*keys, "path"], "left"))
-    guarded = F.lit(not sudo) & (F.coalesce("t_hidden", F.lit(False)) | F.coalesce("t_immutable", F.lit(False)))
-    parent_ok = (F.col("parent") == "") | F.coalesce(F.col("parent_is_dir"), F.lit(False))
-    status = (F.when(guarded, F.lit("refused: protected file"))
-              .when((F.col("op") == "write") & ~parent_ok, F.lit("refused: parent is not a folder"))
-              .when((F.col("op") == "write") & F.coalesce("t_dir", F.lit(False)), F.lit("refused: target is a folder"))
-              .when((F.col("op") == "remove") & F.col("t_dir").isNull(), F.lit("refused: no such file"))
+    protected = F.lit(not sudo) & (F.col("is_hidden") | F.col("is_immutable"))
+    dirs = ws.filter("is_dir").select(*keys, "path", protected.alias("guard"))
+    first_rm = (edits.filter(F.col("op") == "remove").join(dirs.filter(~F.col("guard")), [*keys, "path"], "left_semi")
+                .groupBy(*keys, F.col("path").alias("rm")).agg(F.min("seq").alias("ends")))
+    ends = (dirs.select(*keys, "path", F.explode(F.array_append(ancestors(F.col("path")), F.col("path"))).alias("rm"))
+            .join(first_rm, [*keys, "rm"]).groupBy(*keys, "path").agg(F.min("ends").alias("ends")))
+    folders = dirs.select(*keys, "path").join(ends, [*keys, "path"], "left").withColumn("is_folder", F.lit(True))
+
+    t = (edits.withColumn("parent", parent)
+         .join(folders.select(*keys, F.col("path").alias("parent"), F.col("is_folder").alias("p_dir"),
+                              F.col("ends").alias("p_ends")), [*keys, "parent"], "left")
+         .join(ws.select(*keys, "path", F.col("is_dir").alias("t_dir"), protected.alias("t_guard")), [*keys, "path"], "left")
+         .join(ends.withColumnRenamed("ends", "t_ends"), [*keys, "path"], "left"))
+    parent_ok = (F.col("parent") == "") | (F.coalesce("p_dir", F.lit(False)) & ~F.coalesce(F.col("seq") > F.col("p_ends"), F.lit(False)))
+    # the target as the input has it, if it is still there
+    kept = F.col("t_dir").isNotNull() & parent_ok & ~F.coalesce(F.col("seq") > F.col("t_ends"), F.lit(False))
+    is_folder = kept & F.col("t_dir")
+    guarded = kept & F.col("t_guard")
+    t = t.withColumns({"parent_ok": parent_ok, "kept": kept, "open": parent_ok & ~guarded & ~is_folder,
+                       "guarded": guarded, "is_folder": is_folder})
+    # edits that reach a file path decide, one after the other, whether a file is there
+    before = F.lag("op").over(Window.partitionBy(*keys, "path", "open").orderBy("seq"))
+    there = F.when(before.isNull(), F.col("kept")).otherwise(before == "write")
+    status = (F.when(F.col("guarded"), F.lit("refused: protected file"))
+              .when((F.col("op") == "write") & ~F.col("parent_ok"), F.lit("refused: parent is not a folder"))
+              .when((F.col("op") == "write") & F.col("is_folder"), F.lit("refused: target is a folder"))
+              .when((F.col("op") == "remove") & ~F.col("is_folder") & ~(F.col("open") & there), F.lit("refused: no such file"))
               .otherwise(F.lit("applied")))
-    outcomes = t.select(*keys, "path", "op", "seq", status.alias("status"))
-    applied = t.filter(status == "applied")
-    removed = applied.filter(F.col("op") == "remove").select(*keys, F.col("path").alias("rm"))
-    written = applied.filter(F.col("op") == "write").select(*keys, "path", F.col("new_contents").alias("contents"))
-    updated = (ws.join(written.withColumnRenamed("contents", "w"), [*keys, "path"], "left")
-               .withColumn("contents", F.coalesce("w", "contents")).drop("w"))
-    created = (written.join(ws.select(*keys, "path"), [*keys, "path"], "left_anti")
+    t = t.withColumn("status", status)
+    outcomes = t.select(*keys, "path", "op", "seq", "status")
+
+    # what the last applied edit of a file path left, unless its folder went later
+    last = (t.filter(F.col("open") & (F.col("status") == "applied") & F.col("p_ends").isNull()).groupBy(*keys, "path")
+            .agg(F.max_by(F.struct("op", "contents"), "seq").alias("e"))
+            .select(*keys, "path", F.col("e.op").alias("op"), F.col("e.contents").alias("new_contents")))
+    stay = (ws.withColumn("parent", parent)
+            .join(ends.select(*keys, F.col("path").alias("parent"), F.lit(True).alias("p_gone")), [*keys, "parent"], "left")
+            .join(ends.select(*keys, "path", F.lit(True).alias("t_gone")), [*keys, "path"], "left")
+            .filter(F.col("p_gone").isNull() & F.col("t_gone").isNull()).drop("parent", "p_gone", "t_gone"))
+    updated = (stay.join(last, [*keys, "path"], "left").filter(F.coalesce(F.col("op") != "remove", F.lit(True)))
+               .withColumn("contents", F.when(F.col("op") == "write", F.col("new_contents")).otherwise(F.col("contents")))
+               .drop("op", "new_contents"))
+    created = (last.filter(F.col("op") == "write").join(stay.select(*keys, "path"), [*keys, "path"], "left_anti")
                .select(*keys, "path", F.element_at(F.split("path", "/"), -1).alias("name"),
                        F.lit(False).alias("is_dir"), F.lit(False).alias("is_tmpl"),
-                       F.lit(False).alias("is_immutable"), F.lit(False).alias("is_hidden"), "contents"))
-    after = updated.unionByName(created, allowMissingColumns=True)
-    # a row goes when it, or one of its ancestors, was removed (ancestor equi-join)
-    anc = after.select(*keys, "path", F.explode(F.array_union(ancestors(F.col("path")), F.array(F.col("path"))))
-                       .alias("rm"))
-    dropped = anc.join(removed, [*keys, "rm"], "left_semi").select(*keys, "path").distinct()
-    return after.join(dropped, [*keys, "path"], "left_anti"), outcomes
+                       F.lit(False).alias("is_immutable"), F.lit(False).alias("is_hidden"),
+                       F.col("new_contents").alias("contents")))
+    return updated.unionByName(created, allowMissingColumns=True), outcomes
 
 
 def file_violations(ws: DataFrame, keys: list[str]) -> DataFrame:

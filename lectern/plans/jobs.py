@@ -19,16 +19,18 @@ from lectern.operators.hierarchy import Hierarchy, build_hierarchy
 from lectern.operators.records import CourseRecords
 from lectern.operators.timestamps import rollup_updated_at
 from lectern.operators.validate import MSG_PARSE, violations
-from lectern.operators.xml_import import import_xml
+from lectern.operators.xml_import import editor_files, import_xml
 from lectern.sinks.export import book_rows, export_tree, export_xml
 from lectern.sinks.upsert import UPSERT_ORDER, upsert_table
+from lectern.sources.tree import with_path_parts
 from lectern.sources.xml import parse_errors
 
 
 def hierarchy_from_xml(files: DataFrame, stage=None) -> Hierarchy:
     """SRC-3 + JOIN-2 + PRJ-27: an XML catalogue as folder-layout level tables. Problems
-    keep their Markdown, html blocks are converted to Markdown, editor blocks keep their
-    configuration; other block types stay (and are reported by VAL-5)."""
+    keep their Markdown, html blocks are converted to Markdown, editor blocks become repl
+    settings with their source files (PRJ-26); other block types stay (and are reported by
+    VAL-5)."""
     x = import_xml(files, stage)
     courses = x.courses.select(
         "course_id", F.lit(True).alias("has_index"), F.lit(None).cast("string").alias("parse_error"), "url_name",
@@ -49,12 +51,19 @@ def hierarchy_from_xml(files: DataFrame, stage=None) -> Hierarchy:
                                 "display_name", "graded", "format", F.col("seq_id").alias("dir_name"))
     verts = x.verticals.select("course_id", F.col("vert_id").alias("folder"), "chapter_id", "seq_id", "vert_id",
                                "idx", "display_name", F.col("vert_id").alias("dir_name"))
+    sources = (stage or (lambda name, df: df))("xml_editor_files", editor_files(x.blocks))
+    src = F.concat("url_name", F.lit(".repl/src"))
+    repls = sources.groupBy("course_id", "vert_id", "block_idx", "url_name", "environment", "api_version", "height").agg(
+        F.count("path").alias("n")).select("course_id", "vert_id", "block_idx", F.to_json(F.struct(
+            "api_version", "environment", F.when(F.col("n") > 0, src).otherwise(F.lit("")).alias("src_path"),
+            F.struct("height").alias("display"))).alias("repl"))
     content = (F.when(F.col("block_type") == "problem", F.coalesce("markdown", F.lit("")))
                .when(F.col("block_type") == "html", html_to_markdown(F.coalesce("html", F.lit(""))))
-               .otherwise(F.coalesce(F.col("attrs")["editor_config"], F.lit(""))))
-    blocks = x.blocks.select("course_id", "chapter_id", "seq_id", "vert_id", F.col("vert_id").alias("folder"),
-                             F.col("url_name").alias("path"), F.col("url_name").alias("name"), "block_idx", "block_type",
-                             "display_name", F.col("filename").alias("fs_path"), content.alias("content"))
+               .otherwise(F.coalesce("repl", F.lit(""))))
+    blocks = x.blocks.join(repls, ["course_id", "vert_id", "block_idx"], "left").select(
+        "course_id", "chapter_id", "seq_id", "vert_id", F.col("vert_id").alias("folder"),
+        F.col("url_name").alias("path"), F.col("url_name").alias("name"), "block_idx", "block_type",
+        "display_name", F.coalesce(F.col("attrs")["fs_path"], F.lit("")).alias("fs_path"), content.alias("content"))
     # every level as a folder row, so that a missing title is reported (VAL-11)
     folders = None
     for depth, level in enumerate((chapters, seqs, verts), 1):
@@ -62,10 +71,10 @@ def hierarchy_from_xml(files: DataFrame, stage=None) -> Hierarchy:
                             F.when(F.col("display_name") != "", F.col("display_name")).alias("display_name"),
                             F.lit(None).cast("string").alias("parse_error"), F.lit("").alias("index_file"))
         folders = part if folders is None else folders.unionByName(part)
-    empty_files = files.sparkSession.createDataFrame(
-        [], "course_id string, path string, parts array<string>, depth int, name string, folder string, content string")
+    held = with_path_parts(sources.filter(F.col("path").isNotNull()).select(
+        "course_id", F.concat_ws("/", "vert_id", src, "path").alias("path"), F.col("contents").alias("content")))
     return Hierarchy(courses=courses, chapters=chapters, sequentials=seqs, verticals=verts, blocks=blocks,
-                     folders=folders, id_writeback=None, files=empty_files)
+                     folders=folders, id_writeback=None, files=held)
 
 
 def read_catalogue(files: DataFrame, fmt: str, stage=None) -> Hierarchy:
@@ -81,10 +90,9 @@ def convert(files: DataFrame, from_fmt: str, to_fmt: str, stage=None) -> DataFra
     for layouts; ordered book rows for ``book``)."""
     h = read_catalogue(files, from_fmt, stage)
     if to_fmt == "folder":
-        # the editors' source and test files go along (an XML catalogue has none of its own)
-        return export_tree(h, CourseRecords(h, stage=stage).editors if from_fmt == "folder" else None)
+        return export_tree(h, CourseRecords(h, stage=stage).editors)
     if to_fmt == "xml":
-        return export_xml(h)
+        return export_xml(h, CourseRecords(h, stage=stage).editors)
     if to_fmt == "book":
         return book_rows(h)
     raise ValueError(f"unsupported target format: {to_fmt}")

@@ -14,7 +14,8 @@ from lectern.sources import catalogue
 from lectern.sources.catalogue import table
 from lectern.plans.q_xml import PROBLEM_MD_SQL
 
-_H2M = f"trim({sql_chain(sql_replace_all(sql_chain('html', HTML_TO_MD), ENTITIES), TIDY)})"
+_H2M = (f"trim({sql_chain(sql_replace_all(sql_chain('html', HTML_TO_MD), ENTITIES), TIDY)}, "
+        "' ' || chr(9) || chr(13) || chr(10))")
 
 _INLINE = sql_chain(sql_replace_all("line", ESCAPE_HTML), MD_INLINE)
 _M2H = f"""array_to_string(list_transform(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)),

@@ -49,19 +49,24 @@ def q_lookup_path(spark, sf_dir):
 
 
 _EDIT = WS + """,
-rmf AS (SELECT DISTINCT source || '/es' AS rm FROM d WHERE doc_id % 5 = 2 AND lang = 'es'),
+-- the first remove of each <source>/es folder ends it; later edits below it find no folder
+rmf AS (SELECT source, min(doc_id) AS ends FROM d WHERE doc_id % 5 = 2 AND lang = 'es' GROUP BY source),
+e AS (
+  SELECT doc_id, lang, path AS old_path, CASE WHEN doc_id % 5 IN (0, 3) THEN 'write' ELSE 'remove' END AS op,
+         CASE WHEN doc_id % 5 IN (0, 1) THEN path WHEN doc_id % 5 = 2 THEN source || '/' || lang
+              ELSE source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) || '.txt' END AS path,
+         CASE WHEN lang = 'es' AND doc_id > coalesce(ends, doc_id)
+              THEN CASE WHEN doc_id % 5 IN (0, 3) THEN 'refused: parent is not a folder' ELSE 'refused: no such file' END
+              WHEN doc_id % 5 IN (0, 1) AND (hidden OR immutable) THEN 'refused: protected file'
+              ELSE 'applied' END AS status
+  FROM d LEFT JOIN rmf USING (source) WHERE doc_id % 5 <> 4 AND NOT (doc_id % 5 = 2 AND lang <> 'es')),
+done AS (SELECT * FROM e WHERE status = 'applied'),
 after0 AS (
-  SELECT path, is_dir,
-         CASE WHEN NOT is_dir AND path LIKE '%.js' AND NOT is_hidden AND NOT is_immutable
-                   AND TRY_CAST(regexp_extract(path, '([0-9]+)\\.js$', 1) AS BIGINT) % 5 = 0
-              THEN 'edited ' || regexp_extract(path, '([0-9]+)\\.js$', 1) ELSE contents END AS contents
-  FROM ws
-  WHERE NOT (NOT is_dir AND NOT is_hidden AND NOT is_immutable
-             AND TRY_CAST(regexp_extract(path, '([0-9]+)\\.js$', 1) AS BIGINT) % 5 = 1)
-  UNION ALL SELECT source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) || '.txt', false,
-         'new ' || CAST(doc_id AS VARCHAR) FROM d WHERE doc_id % 5 = 3),
+  SELECT ws.path, is_dir, CASE WHEN done.op = 'write' THEN 'edited ' || CAST(doc_id AS VARCHAR) ELSE contents END AS contents
+  FROM ws LEFT JOIN done ON done.path = ws.path AND NOT is_dir WHERE coalesce(done.op, '') <> 'remove'
+  UNION ALL SELECT path, false, 'new ' || CAST(doc_id AS VARCHAR) FROM done WHERE doc_id % 5 = 3),
 after AS (SELECT * FROM after0 WHERE NOT EXISTS (
-  SELECT 1 FROM rmf WHERE after0.path = rmf.rm OR starts_with(after0.path, rmf.rm || '/')))"""
+  SELECT 1 FROM rmf WHERE after0.path = source || '/es' OR starts_with(after0.path, source || '/es/')))"""
 
 
 @query("apply_file_edits", _EDIT + """
@@ -69,26 +74,16 @@ SELECT path, is_dir, md5(coalesce(contents, '')) AS contents_md5 FROM after
 """)
 def q_apply_file_edits(spark, sf_dir):
     """JOIN-8: the workspace after a batch of writes and removes (protected files refuse;
-    a removed folder takes its subtree)."""
+    a removed folder takes its subtree, and later edits below it are refused)."""
     new, _ = apply_file_edits(_ws(spark, sf_dir), catalogue.file_edits(spark, sf_dir), KEYS)
     return new.select("path", "is_dir", F.md5(F.coalesce("contents", F.lit(""))).alias("contents_md5"))
 
 
-@query("file_edit_outcomes", WS + """,
-e AS (
-  SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'write' WHEN doc_id % 5 = 1 THEN 'remove'
-                      WHEN doc_id % 5 = 2 AND lang = 'es' THEN 'remove' WHEN doc_id % 5 = 3 THEN 'write' END AS op,
-         CASE WHEN doc_id % 5 IN (0, 1) THEN path WHEN doc_id % 5 = 2 THEN source || '/' || lang
-              ELSE source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) || '.txt' END AS path,
-         CASE WHEN doc_id % 5 IN (0, 1) AND (hidden OR immutable) THEN 'refused: protected file'
-              ELSE 'applied' END AS status
-  FROM d WHERE doc_id % 5 <> 4 AND NOT (doc_id % 5 = 2 AND lang <> 'es')),
-last AS (SELECT path, arg_max(op, doc_id) AS op, max(doc_id) AS seq, arg_max(status, doc_id) AS status
-         FROM e GROUP BY path)
-SELECT path, op, seq, status FROM last
+@query("file_edit_outcomes", _EDIT + """
+SELECT path, op, doc_id AS seq, status FROM e
 """)
 def q_file_edit_outcomes(spark, sf_dir):
-    """JOIN-8: outcome of the last edit per path."""
+    """JOIN-8: outcome of every edit, in sequence order."""
     _, out = apply_file_edits(_ws(spark, sf_dir), catalogue.file_edits(spark, sf_dir), KEYS)
     return out.select("path", "op", "seq", "status")
 

@@ -143,3 +143,75 @@ def test_load_skips_only_invalid_courses(spark, golden):
     courses = read_table(spark, f"{base}/course")
     assert [r.url_name for r in courses.collect()] == ["c2"]
     assert courses.filter(F.col("updated_at").isNull()).count() == 0
+
+
+CODE_PROBLEM = """>>Which `a||b`?||d<<
+
+(x) use <b>bold</b> and `x < y | z` {{Yes:: `p|q` <i>it</i>}}
+( ) no
+
++( ) ```
+|| not a hint ||
+if a<b && c>>2:
+``` -( )-
+
+|| real `h|i` hint ||
+"""
+
+
+def test_code_is_not_markup(spark):
+    """Forms inside code are text; choices become Markdown with their code restored."""
+    from lectern.operators.problems import ParsedProblems, question_choices
+    p = ParsedProblems(spark.createDataFrame([(1, CODE_PROBLEM)], "doc_id int, text string"), ["doc_id"])
+    assert [(r.label, r.description) for r in p.labels.collect()] == [("Which `a||b`?", "d")]
+    assert [r.hint for r in p.hints.collect()] == ["real `h|i` hint"]
+    rows = sorted(question_choices(p.records(), ["doc_id"]).collect(), key=lambda r: r.seq)
+    assert [(r.text, r.is_answer, r.explanation) for r in rows] == [
+        ("use **bold** and `x < y | z`", True, "`p|q` *it*"), ("no", False, ""),
+        ("```\n|| not a hint ||\nif a<b && c>>2:\n```", False, "")]
+
+
+def test_edits_take_effect_in_order(spark):
+    """A removed folder refuses later edits below it; a removed file can be written again."""
+    from lectern.operators.workspace import apply_file_edits
+    ws = spark.createDataFrame(
+        [("w", p, p.split("/")[-1], d, False, imm, False, c) for p, d, imm, c in [
+            ("a", True, False, None), ("a/b", True, False, None), ("a/b/x", False, False, "x"), ("a/y", False, False, "y"),
+            ("z", False, True, "z"), ("k", True, False, None)]],
+        "ws string, path string, name string, is_dir boolean, is_tmpl boolean, is_immutable boolean, is_hidden boolean, "
+        "contents string")
+    log = [("write", "a/b/new", "n"), ("remove", "a/b", None), ("write", "a/b/late", "l"), ("remove", "a/b/x", None),
+           ("remove", "a/y", None), ("remove", "a/y", None), ("write", "a/y", "again"), ("write", "z", "no"),
+           ("write", "k", "dir"), ("write", "top", "t"), ("remove", "a/b", None), ("write", "a/b", "file now")]
+    edits = spark.createDataFrame([("w", i, *e) for i, e in enumerate(log)],
+                                  "ws string, seq int, op string, path string, contents string")
+    after, out = apply_file_edits(ws, edits, ["ws"])
+    assert [r.status for r in sorted(out.collect(), key=lambda r: r.seq)] == [
+        "applied", "applied", "refused: parent is not a folder", "refused: no such file", "applied", "refused: no such file",
+        "applied", "refused: protected file", "refused: target is a folder", "applied", "refused: no such file", "applied"]
+    assert {r.path: r.contents for r in after.collect()} == {
+        "a": None, "a/b": "file now", "a/y": "again", "z": "z", "k": None, "top": "t"}
+
+
+def test_shared_sources_above_the_card(spark):
+    """A repl may name a source folder elsewhere in the course (``..`` is resolved)."""
+    from lectern.operators.workspace import attach_files, repl_roles
+    from lectern.sources.tree import with_path_parts
+    repl = spark.sql("""SELECT 'C' AS course_id, 'v' AS vert_id, 0 AS block_idx, '01_a/01_b/01_c' AS folder, struct(
+        'java_default_free' AS environment, '../../common/src' AS src_path, '' AS tmpl_path, '' AS test_path) AS repl""")
+    files = with_path_parts(spark.createDataFrame(
+        [("C", "01_a/common/src/p/A.java", "class A"), ("C", "01_a/common/other", "no")],
+        "course_id string, path string, content string"))
+    keys = ["course_id", "vert_id", "block_idx"]
+    got = {r.path: (r.is_dir, r.is_tmpl, r.contents) for r in attach_files(repl_roles(repl, keys), files, keys).collect()}
+    assert got["src/main/java/exlcode/p/A.java"] == (False, False, "class A")
+    assert got["src/main/java/exlcode"] == (True, True, None) and got["src/main/java/exlcode/p"] == (True, False, None)
+    assert len(got) == 6
+
+
+def test_row_difference_counts_copies(spark):
+    from lectern.operators.changes import changed_rows
+    old = spark.createDataFrame([("p", "a"), ("q", None), ("r", "c")], "path string, content string")
+    new = spark.createDataFrame([("p", "a"), ("p", "a"), ("p", "a"), ("q", "")], "path string, content string")
+    got = sorted((r.side, r.path, r.content) for r in changed_rows(old, new).fillna("NULL").collect())
+    assert got == [("new", "p", "a"), ("new", "p", "a"), ("new", "q", ""), ("old", "q", "NULL"), ("old", "r", "c")]

@@ -15,7 +15,7 @@ def test_hot_path_equals_window(spark):
     df = li.withColumn("g", F.when(F.col("l_orderkey") % 3 == 0, F.lit(-1)).otherwise(F.col("l_orderkey")))
     df = df.withColumn("k", F.monotonically_increasing_id())
     order = ["l_partkey", "l_suppkey", "l_linenumber", "k"]
-    got = ordinal(df, ["g"], order, "pos", hot_rows=50)
+    got = ordinal(df, ["g"], order, "pos")
     w = Window.partitionBy("g").orderBy(*order)
     want = df.withColumn("pos", (F.row_number().over(w) - 1).cast("bigint"))
     a = sorted((r.g, r.k, r.pos) for r in got.select("g", "k", "pos").collect())
