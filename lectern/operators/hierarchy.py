@@ -39,6 +39,7 @@ class Hierarchy:
     folders: DataFrame       # every level folder, valid or not (validation input)
     id_writeback: DataFrame  # (course_id, folder, url_name) for ids that were derived
     files: DataFrame         # the kept files with parts/depth/name/folder
+    deep: DataFrame | None = None  # (course_id, path) of folders below a level that is none (VAL-3)
 
 
 def drop_ignored(files: DataFrame) -> DataFrame:
@@ -174,9 +175,13 @@ def build_levels(levels: DataFrame, f: DataFrame) -> Hierarchy:
 
 def build_hierarchy(files: DataFrame) -> Hierarchy:
     """JOIN-1: the five level tables of every course in ``files``."""
-    f = drop_ignored(with_path_parts(files))
+    every = with_path_parts(files)
+    f = drop_ignored(every)
     h = build_levels(resolve_levels(level_folders(f)), f)
     h.courses = course_index(f)
+    h.deep = (every.filter(~is_ignored_path(F.col("parts"), F.col("depth")) & (F.col("depth") >= 4)
+                           & in_repl_folder(F.slice("parts", 3, 1), F.lit(1)))
+              .select("course_id", F.array_join(F.slice("parts", 1, 4), "/").alias("path")).distinct())
     return h
 
 
@@ -198,4 +203,4 @@ def store_hierarchy(h: Hierarchy, base: str, spark) -> Hierarchy:
         src = h.courses if name == "courses" else getattr(derived, name)
         src.write.mode("overwrite").parquet(path)
         out[name] = spark.read.parquet(path)
-    return Hierarchy(files=h.files, **out)
+    return Hierarchy(files=h.files, deep=h.deep, **out)

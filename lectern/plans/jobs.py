@@ -26,6 +26,9 @@ from lectern.sources.tree import with_path_parts
 from lectern.sources.xml import parse_errors
 
 
+INDEX_BASE = "search_documents"
+
+
 def hierarchy_from_xml(files: DataFrame, stage=None) -> Hierarchy:
     """SRC-3 + JOIN-2 + PRJ-27: an XML catalogue as folder-layout level tables. Problems
     keep their Markdown, html blocks are converted to Markdown, editor blocks become repl
@@ -109,25 +112,27 @@ def verify(files: DataFrame, fmt: str = "folder", stage=None) -> DataFrame:
 
 
 def load(spark: SparkSession, h: Hierarchy, commits: DataFrame | None, out_base: str,
-         force: bool = False) -> DataFrame:
+         force: bool = False, stage_dir: str = "_stage") -> DataFrame:
     """JOB-2: record sets of the valid courses (all with ``force``) upserted by id under
-    ``out_base``; returns a per-course report. Parsed intermediates are staged under
-    ``out_base/_stage`` and the per-course report (one row per course) is checkpointed, so
-    each record set is computed once."""
+    ``out_base``: questions with their choices and code data, contents, exams, courses with their
+    units, sections and cards, and one search index per language. Returns a per-course report.
+    Parsed intermediates are staged under ``out_base/<stage_dir>`` and the report (one row per
+    course) is checkpointed, so each record set is computed once."""
     from lectern.plans.stage import Stager
-    stage = Stager(spark, f"{out_base}/_stage")
+    stage = Stager(spark, f"{out_base}/{stage_dir}")
     updated = rollup_updated_at(h, commits, stage) if commits is not None else None
     r = CourseRecords(h, updated, stage=stage)
     bad = violations(r).groupBy("course_id").agg(F.count("*").alias("n_errors"))
-    ok = h.courses.select("course_id").join(bad, "course_id", "left").fillna({"n_errors": 0}).checkpoint(eager=True)
+    ok = h.courses.select("course_id", "language").join(bad, "course_id", "left").fillna({"n_errors": 0}).checkpoint(eager=True)
     take = ok if force else ok.filter(F.col("n_errors") == 0)
     keep = take.select("course_id")
+    code = r.code_data.select("course_id", "vert_id", "block_idx", F.to_json("code").alias("code_data"))
     sets = {
         "question": r.questions.withColumn("choices", F.to_json("choices"))
-        .join(r.code_data.select("course_id", "vert_id", "block_idx", F.to_json(F.struct("*")).alias("code_data")), ["course_id", "vert_id", "block_idx"], "left"),
+        .join(code, ["course_id", "vert_id", "block_idx"], "left"),
         "versioned_content": r.versioned_contents,
         "exam": r.exams,
-        "course": r.course_records,
+        "course": r.nested_courses,
     }
     now = F.current_timestamp()
     for name in UPSERT_ORDER:
@@ -135,5 +140,9 @@ def load(spark: SparkSession, h: Hierarchy, commits: DataFrame | None, out_base:
         key = ["course_id", "url_name" if name == "course" else "id"]
         stamp = {"static_data_updated_at": now, "updated_at": now} if name == "course" else None
         upsert_table(spark, f"{out_base}/{name}", df, key, stamp=stamp)
-    upsert_table(spark, f"{out_base}/search_documents", r.search_documents.join(keep, "course_id", "left_semi"), ["course_id", "id"])
-    return ok.withColumn("loaded", F.lit(force) | (F.col("n_errors") == 0))
+    # one index per language of the loaded courses
+    docs = r.search_documents.join(keep, "course_id", "left_semi")
+    for row in take.select("language").distinct().collect():
+        upsert_table(spark, f"{out_base}/{INDEX_BASE}_{row.language or ''}",
+                     docs.filter(F.col("language").eqNullSafe(F.lit(row.language))), ["course_id", "id"])
+    return ok.drop("language").withColumn("loaded", F.lit(force) | (F.col("n_errors") == 0))
