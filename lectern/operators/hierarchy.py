@@ -178,7 +178,7 @@ def build_hierarchy(files: DataFrame) -> Hierarchy:
     every = with_path_parts(files)
     f = drop_ignored(every)
     h = build_levels(resolve_levels(level_folders(f)), f)
-    h.courses = course_index(f)
+    h.courses = course_index(every)  # also a course of which no file is kept (VAL-1)
     h.deep = (every.filter(~is_ignored_path(F.col("parts"), F.col("depth")) & (F.col("depth") >= 4)
                            & in_repl_folder(F.slice("parts", 3, 1), F.lit(1)))
               .select("course_id", F.array_join(F.slice("parts", 1, 4), "/").alias("path")).distinct())
