@@ -4,18 +4,24 @@ Per text, base statistics give a transformed vector (log word count, word length
 roots of the symbol, repeated-line and repeated-word shares). Per (language, source) the MCD
 estimate of centre and scatter is found by concentration steps over ALL rows of the group: each
 step keeps the share ``SUPPORT`` of rows with the smallest Mahalanobis distances and re-estimates.
-A row is rejected if its squared distance to its group's estimate passes ``CUTOFF``.
+Steps start from medians and MADs, from the mean and covariance of all rows and from those of
+``HALVES`` halves dealt by a hash of the vector (copies fall in one half); each start runs until it
+settles, and the estimate of least determinant stands. A row is rejected if its squared distance to
+its group's estimate passes ``CUTOFF``.
 
 At scale: statistics are computed once in a pass over the texts and staged (narrow rows). Every
 concentration step is two map-side combined aggregations on these rows: counts over fixed
 logarithmic distance bins give the support's threshold, exact integer sums (fixed-point vectors,
-decimals) give mean and covariance, so results do not depend on the order of rows or tasks. The
-5 x 5 algebra runs per group in Arrow batches; rows meet their group's estimate by (group, salt),
-so no group meets in one task.
+decimals) give mean and covariance (the bin at the threshold counts by the share that is needed of
+it), so results do not depend on the order of rows or tasks. Medians and MADs come from counts over
+logarithmic bins of about one per cent. The 5 x 5 algebra runs per group in Arrow batches; rows meet
+their group's estimates by (group, salt), so no group meets in one task. Rows of groups that have
+settled take no part in further steps.
 
 Groups with fewer than ``MIN_GROUP`` usable rows use their language's estimate, or the one over
-all rows. Null languages and sources form groups of their own. Scatter gets a small ridge, so that
-groups whose statistics are constant still have a distance.
+all rows. Null languages and sources form groups of their own. In units of ``FLOOR`` no direction of
+a scatter counts as narrower than one, so groups whose statistics are constant still have a distance
+and a few copies cannot make a determinant small.
 
 Cases: null or empty text → zero statistics, ``base_failed`` (fewer than 50 words), not kept.
 Repeated rows are judged alike. Empty table → empty result. Extra columns are ignored. Rows that
@@ -31,8 +37,11 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import Scratch, WordScanner, covered, texts_of
 
-SUPPORT = 0.75
-STEPS = 4
+#: Junk may hold up to half of a group.
+SUPPORT = 0.5
+HALVES = 2
+#: A start has settled when a step lowers its objective (log determinant plus mean distance) by less.
+SETTLED = 1e-3
 MIN_GROUP = 200
 #: Squared distance beyond which a row goes. For five independent normal dimensions only about
 #: one row in a billion lies beyond 50; heavier tails of clean texts stay well inside.
@@ -102,33 +111,75 @@ def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), *sums, *products)
 
 
-def _estimates(moments: DataFrame, keys: list[str], factor: float) -> DataFrame:
-    """Per group: the centre and the inverse of the (scaled, ridged) scatter, by 5 x 5 algebra."""
-    fields = moments.select(*keys).schema
-    columns = [f"s{i}" for i in range(DIMS)] + [f"p{i}{j}" for i in range(DIMS) for j in range(i, DIMS)]
-    ridge = np.square(np.array(FLOOR))
+_SUMS = [f"s{i}" for i in range(DIMS)] + [f"p{i}{j}" for i in range(DIMS) for j in range(i, DIMS)]
+_ESTIMATE = "centre array<double>, inverse array<double>, log_det double, objective double"
+
+
+def _kinds(df: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema)
+
 
+def _estimate(mean: np.ndarray, cov: np.ndarray) -> tuple[list, list, float, float]:
+    """Centre, inverse scatter, log determinant and objective, with floors on the scatter: a
+    direction narrower than one in units of the floors counts as that wide."""
+    unit = np.array(FLOOR)
+    width, turn = np.linalg.eigh(cov / np.outer(unit, unit))
+    wide = np.maximum(width, 1.0)
+    inverse = (turn / wide) @ turn.T / np.outer(unit, unit)
+    log_det = float(np.log(wide).sum())
+    return mean.tolist(), inverse.ravel().tolist(), log_det, log_det + float((width / wide).sum())
+
+
+def _estimates(moments: DataFrame, keys: list[str], factor: float) -> DataFrame:
+    """Per group: the centre and the inverse of the (scaled, floored) scatter, by 5 x 5 algebra."""
     def run(batches):
         for batch in batches:
             n = np.array(batch.column("n").to_pylist(), dtype=float)
-            v = {c: np.array([float(x) for x in batch.column(c).to_pylist()]) for c in columns}
-            centre, inverse = [], []
+            v = {c: np.array([float(x) for x in batch.column(c).to_pylist()]) for c in _SUMS}
+            got = []
             for r in range(batch.num_rows):
                 mean = np.array([v[f"s{i}"][r] for i in range(DIMS)]) / n[r]
                 cov = np.zeros((DIMS, DIMS))
                 for i in range(DIMS):
                     for j in range(i, DIMS):
                         cov[i, j] = cov[j, i] = v[f"p{i}{j}"][r] / n[r] - mean[i] * mean[j]
-                # floors: a dimension narrower than its floor counts as that wide
-                cov = factor * cov / SCALE ** 2
-                cov[np.diag_indices(DIMS)] += np.maximum(0.02 * ridge, ridge - np.diag(cov))
-                centre.append((mean / SCALE).tolist())
-                inverse.append(np.linalg.inv(cov).ravel().tolist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(centre, pa.list_(pa.float64())), pa.array(inverse, pa.list_(pa.float64()))],
-                                             names=[*keys, "centre", "inverse"])
+                got.append(_estimate(mean / SCALE, factor * cov / SCALE ** 2))
+            yield _estimate_batch(batch, keys, got)
+
+    return moments.mapInArrow(run, f"{_kinds(moments, keys)}, {_ESTIMATE}")
+
+
+def _estimate_batch(batch: pa.RecordBatch, keys: list[str], got: list[tuple]) -> pa.RecordBatch:
+    lists, number = pa.list_(pa.float64()), pa.float64()
+    return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *(pa.array([g[k] for g in got], kind) for k, kind in enumerate((lists, lists, number, number)))],
+                                      names=[*keys, "centre", "inverse", "log_det", "objective"])
+
+
+def _medians(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group: medians as centre and squared MADs (for a normal cloud) as scatter, from counts
+    over logarithmic bins; some thousands of bins a group at most."""
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), (F.signum(z) * F.floor(F.log2(1 + F.abs(z)) * BINS_PER_OCTAVE)).cast("int").alias("bin"))
+                                for i, z in enumerate(F.col(f"z{i}") for i in range(DIMS))]))
+    counts = rows.select(*keys, cells.alias("c")).groupBy(*keys, "c.dim", "c.bin").agg(F.count("*").alias("n"))
+    packed = counts.groupBy(*keys).agg(F.collect_list(F.struct("dim", "bin", "n")).alias("cells"))
+
+    def middle(x, n):
+        order = np.argsort(x, kind="stable")
+        run = np.cumsum(n[order])
+        return float(x[order][np.searchsorted(run, run[-1] / 2)])
+
+    def run(batches):
+        for batch in batches:
+            got = []
+            for cells in batch.column("cells").to_pylist():
+                dim, bin_, n = (np.array([c[k] for c in cells]) for k in ("dim", "bin", "n"))
+                value = np.sign(bin_) * (np.exp2((np.abs(bin_) + 0.5 * (bin_ != 0)) / BINS_PER_OCTAVE) - 1) / SCALE
+                centre = np.array([middle(value[dim == i], n[dim == i]) for i in range(DIMS)])
+                mads = np.array([middle(np.abs(value[dim == i] - centre[i]), n[dim == i]) for i in range(DIMS)])
+                got.append(_estimate(centre, np.diag(np.square(1.4826 * mads))))
+            yield _estimate_batch(batch, keys, got)
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
-    return moments.mapInArrow(run, f"{kinds}, centre array<double>, inverse array<double>")
+    return packed.mapInArrow(run, f"{_kinds(packed, keys)}, {_ESTIMATE}")
 
 
 def _distance() -> Column:
@@ -152,26 +203,54 @@ def _for_each_salt(estimates: DataFrame) -> DataFrame:
 
 
 def minimum_covariance(rows: DataFrame, keys: list[str], scratch: Scratch, name: str, large: Column,
-                       support: float = SUPPORT, steps: int = STEPS) -> DataFrame:
+                       support: float = SUPPORT) -> DataFrame:
     """MCD estimates per group of ``rows`` (columns ``keys``, not null, and ``z0``…) where ``large``
     (a condition on the keys and the count ``n``) holds."""
-    estimates = scratch(f"{name}0", _estimates(_moments(rows, keys).where(large), keys, 1.0))
-    rows = rows.withColumn("salt", _salt(*[f"z{i}" for i in range(DIMS)]))
+    z, by_start = [f"z{i}" for i in range(DIMS)], [*keys, "start"]
+    # start 0: medians; 1: all rows; from 2 on: halves by a hash of the vector
+    halves = [F.when(F.xxhash64(*z, F.lit(s)) % 2 == 0, F.lit(s)) for s in range(2, 2 + HALVES)]
+    dealt = rows.withColumn("start", F.explode(F.filter(F.array(F.lit(1), *halves), lambda s: s.isNotNull())))
+    moments = scratch(f"{name}-starts", _moments(dealt, by_start))
+    groups = moments.where((F.col("start") == 1) & large).select(*keys)
+    first = _medians(rows, keys).withColumn("start", F.lit(0)).unionByName(_estimates(moments, by_start, 1.0)).join(groups, keys, "left_semi")
+    running = scratch(f"{name}0", first.withColumn("settled", F.lit(False)))
+    rows = rows.withColumn("salt", _salt(*z))
+    # with the support's share of a normal cloud, the kept scatter is too small by this factor
+    factor = _consistency(support)
     bin_of = F.floor(F.log2(F.col("d2") + F.lit(2.0 ** -20)) * BINS_PER_OCTAVE).cast("int")
-    for step in range(1, steps + 1):
-        placed = rows.join(_for_each_salt(estimates), [*keys, "salt"]).withColumn("d2", _distance()).withColumn("bin", bin_of)
-        counts = placed.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
-        bins = counts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").alias("total"))
-        # the first bin at which the running count reaches the support; a few thousand bins at most
-        reach = F.aggregate("bins", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("cut")),
-                            lambda a, b: F.struct((a["seen"] + b["n"]).alias("seen"),
-                                                  F.when(a["cut"].isNotNull(), a["cut"]).when(a["seen"] + b["n"] >= F.col("total") * support, b["bin"]).alias("cut")))["cut"]
-        cuts = bins.select(*keys, reach.alias("cut"))
-        # with the support's share of a normal cloud, the kept scatter is too small by this factor
-        factor = _consistency(support)
-        inside = placed.join(_for_each_salt(cuts), [*keys, "salt"]).where(F.col("bin") <= F.col("cut"))
-        estimates = scratch(f"{name}{step}", _estimates(_moments(inside, keys), keys, factor))
-    return estimates
+    settled, step = None, 0
+    while not running.isEmpty():
+        step += 1
+        counts = _placed(rows, running, keys, []).withColumn("bin", bin_of).groupBy(*by_start, "bin").agg(F.count("*").alias("n"))
+        bins = counts.groupBy(*by_start).agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").alias("total"))
+        # the first bin at which the running count reaches the support, and the share of its rows
+        # that is needed; a few thousand bins at most
+        need = F.col("total") * support
+        reach = F.aggregate("bins", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("cut"), F.lit(None).cast("double").alias("share")),
+                            lambda a, b: F.struct((a["seen"] + b["n"]).alias("seen"), *[
+                                F.when(a["cut"].isNotNull(), a[c]).when(a["seen"] + b["n"] >= need, v).alias(c)
+                                for c, v in (("cut", b["bin"]), ("share", (need - a["seen"]) / b["n"]))]))
+        cuts = scratch(f"{name}{step}-cuts", bins.select(*by_start, reach.alias("r")).select(*by_start, "r.cut", "r.share"))
+        aimed = running.join(cuts, by_start)
+        inside = _placed(rows, aimed, keys, ["cut"]).withColumn("bin", bin_of).where(F.col("bin") <= F.col("cut")).withColumn("edge", F.col("bin") == F.col("cut"))
+        weight = F.when(F.col("edge"), F.col("share")).otherwise(1.0)
+        kept = _moments(inside, [*by_start, "edge"]).join(cuts, by_start).groupBy(*by_start).agg(*[F.sum(F.col(c).cast("double") * weight).alias(c) for c in ["n", *_SUMS]])
+        before = running.select(*by_start, F.col("objective").alias("before"))
+        # the starts themselves are no estimates of a kept share: their objective does not count
+        done = (F.lit(step > 1) & (F.col("before") - F.col("objective") < SETTLED)).alias("settled")
+        stepped = scratch(f"{name}{step}", _estimates(kept, by_start, factor).join(before, by_start).select(*by_start, "centre", "inverse", "log_det", "objective", done))
+        found, running = stepped.where("settled"), stepped.where("NOT settled")
+        settled = found if settled is None else settled.unionByName(found)
+    fits = running if settled is None else settled
+    best = F.min_by(F.struct("centre", "inverse"), F.struct("log_det", "start"))
+    return scratch(f"{name}-best", fits.groupBy(*keys).agg(best.alias("fit")).select(*keys, "fit.*"))
+
+
+def _placed(rows: DataFrame, estimates: DataFrame, keys: list[str], extra: list[str]) -> DataFrame:
+    """Each row once for every estimate of its group, with its squared distance to it."""
+    packed = estimates.groupBy(*keys).agg(F.collect_list(F.struct("start", "centre", "inverse", *extra)).alias("fits"))
+    met = rows.join(_for_each_salt(packed), [*keys, "salt"])
+    return met.withColumn("fit", F.explode("fits")).select(*keys, *[f"z{i}" for i in range(DIMS)], "fit.*").withColumn("d2", _distance())
 
 
 def _consistency(support: float) -> float:

@@ -216,6 +216,24 @@ def test_mcd_ignores_contamination(spark):
     assert np.allclose(spread, [1, 2, 0.5, 0.5, 0.5], rtol=0.3)
 
 
+@pytest.mark.parametrize("share", [0.2, 1 / 3])
+@pytest.mark.parametrize("kind", ["copies", "near", "spread"])
+def test_mcd_is_not_masked(spark, share, kind):
+    """Junk that holds a fifth or a third of a group is rejected, copies of one text too; the rest stays."""
+    rng = np.random.default_rng(6)
+    n = 1500
+    bad = round(n * share)
+    good = np.stack([rng.normal(5.6, 0.8, n - bad), rng.normal(5.1, 0.3, n - bad), rng.choice([0, 0, 0.05], n - bad), np.zeros(n - bad), rng.choice([0, 0, 0.1], n - bad)], 1)
+    junk = np.array([5.2, 7.2, 0.6, 0.0, 0.1]) + {"copies": 0.0, "near": 0.02, "spread": np.array([0.8, 0.3, 0.05, 0.0, 0.1])}[kind] * rng.normal(0, 1, (bad, 5))
+    rows = [(k, *(int(v * robust_rules.SCALE) for v in r)) for k, part in ((0, np.concatenate([good, junk])), (1, good)) for r in part]
+    df = spark.createDataFrame(rows, "k int, " + ", ".join(f"z{i} long" for i in range(5)))
+    fits = {r["k"]: r for r in robust_rules.minimum_covariance(df, ["k"], Scratch(spark, "mcd"), "m", F.lit(True)).collect()}
+    for k, part, kept in ((0, good, True), (0, junk, False), (1, good, True)):
+        d = part - np.array(fits[k]["centre"])
+        d2 = np.einsum("ij,jk,ik->i", d, np.array(fits[k]["inverse"]).reshape(5, 5), d)
+        assert ((d2 <= robust_rules.CUTOFF) == kept).all()
+
+
 # 7
 def _brute_cut(rows, window):
     first = {}
