@@ -4,11 +4,12 @@ Components become floor(256 x). Queries and candidates meet in cells of bounded
 candidates lie in vertical layout, dimension blocks one after the other; a query adds up its inner
 products block by block and, after each block, drops the candidates whose partial sum plus what the
 remaining dimensions can add at most (norms of the rest, Cauchy-Schwarz) stays below the k-th best
-score already proven. Survivors are compacted before the next block, and their sums are exact
-integers at the end.
+score already proven, counted over distinct ids. Survivors are compacted before the next block, and
+their sums are exact integers at the end.
 
-At scale: rows are dealt to cells by hash, ``CANDIDATES`` x ``QUERIES`` rows each at most in
-expectation, so a task's memory is bounded whatever the input; every cell passes on k rows a query.
+At scale: rows are dealt to cells by a hash of id and vector, ``CANDIDATES`` x ``QUERIES`` rows each
+at most in expectation, so a task's memory is bounded whatever the input, also where one id holds
+very many vectors; every cell passes on k ids a query row.
 
 Cases: vectors that are null, or hold a null or non-finite component, and rows without an id take no
 part; vectors only meet those of their own length; an empty vector scores 0; rows that repeat an
@@ -40,8 +41,8 @@ def quantised(vectors: DataFrame) -> DataFrame:
 
 
 def best_in_cell(query: np.ndarray, ids: np.ndarray, columns: np.ndarray, own: int, k: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores of the (at least) k best candidates for one query. ``columns``: dimensions x
-    rows. The arithmetic is exact: doubles below 2^53, else integers."""
+    """The k best ids for one query (all, if there are fewer), each once with its best score.
+    ``columns``: dimensions x rows. The arithmetic is exact: doubles below 2^53, else integers."""
     dims, n = columns.shape
     alive = np.flatnonzero(ids != own)
     k = min(k, len(alive))
@@ -58,15 +59,37 @@ def best_in_cell(query: np.ndarray, ids: np.ndarray, columns: np.ndarray, own: i
         # the remaining mass of each candidate; a hair wider, for rounding
         rest = _rest(columns, cuts[b + 1])[alive]
         bound = partial.astype(float) + rest * rest_q[b + 1] * (1 + 1e-9) + 1e-6
-        if floor is None:  # the k most promising candidates, scored in full, prove a floor
-            seeds = alive[np.argpartition(-bound, k - 1)[:k]]
+        if floor is None:  # the most promising candidate of each of k ids, scored in full, prove a floor
+            seeds = alive[_promising(ids[alive], bound, k)]
             floor = min((query @ columns[:, seeds]).tolist())
         keep = bound >= float(floor)
         alive, partial = alive[keep], partial[keep]
-    order = np.lexsort((ids[alive], -partial if partial.dtype != object else [-p for p in partial]))[:k]
+    order = np.lexsort((ids[alive], -partial if partial.dtype != object else [-p for p in partial]))
+    order = _first_of_ids(ids[alive], order, k)
     return ids[alive[order]], partial[order]
 
 
+def _promising(ids: np.ndarray, bound: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the highest bound of each of the first ``k`` ids (of all, if there are fewer)."""
+    n, m = len(bound), min(len(bound), 4 * k)
+    while True:
+        top = np.argpartition(-bound, m - 1)[:m]
+        got = _first_of_ids(ids, top[np.argsort(-bound[top])], k)
+        if len(got) == k or m == n:
+            return got
+        m = min(n, 16 * m)
+
+
+def _first_of_ids(ids: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
+    """The positions in ``order`` at which an id comes for the first time, up to ``k`` of them."""
+    m = min(len(order), 4 * k)
+    while True:
+        at = np.sort(np.unique(ids[order[:m]], return_index=True)[1])[:k]
+        if len(at) == k or m == len(order):
+            return order[at]
+        m = min(len(order), 16 * m)
+
+
 _RESTS: dict = {}
 
 
@@ -112,7 +135,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = TOP) -> DataFrame:
     rows = quantised(vectors).withColumn("dims", F.size("v"))
     size = rows.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
     c_blocks, q_blocks = max(1, -(-size["n"] // CANDIDATES)), max(1, -(-size["q"] // QUERIES))
-    c_block, q_block = F.pmod(F.xxhash64("vec_id", F.lit("c")), F.lit(c_blocks)), F.pmod(F.xxhash64("vec_id", F.lit("q")), F.lit(q_blocks))
+    c_block, q_block = (F.pmod(F.xxhash64("vec_id", "v", F.lit(side)), F.lit(n)) for side, n in (("c", c_blocks), ("q", q_blocks)))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     queries = rows.where(is_query).select("vec_id", "v", "dims", q_block.alias("qb"), every(c_blocks).alias("cb"))
     candidates = rows.select("vec_id", "v", "dims", c_block.alias("cb"), every(q_blocks).alias("qb"))

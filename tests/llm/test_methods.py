@@ -352,6 +352,26 @@ def test_top_k_cells(spark, monkeypatch):
         assert [got[q, k + 1] for k in range(5)] == [(i, -s) for s, i in best]
 
 
+@pytest.mark.parametrize("cell", [8192, 40])
+def test_top_k_repeated_ids(spark, monkeypatch, cell):
+    """Different vectors under one id take one place of a query's five; against the SQL."""
+    import duckdb
+    monkeypatch.setattr(vector_topk, "CANDIDATES", cell)
+    monkeypatch.setattr(vector_topk, "QUERIES", max(3, cell // 4))
+    rng = np.random.default_rng(19)
+    few = [(0, [1.0])] + [(i, [float(s)]) for i, s in ((7, 100), (7, 99), (9, 90), (10, 80), (11, 70), (12, 60))]
+    many = [(int(i), rng.normal(0, 1, 37).round(3).tolist()) for i in [*rng.integers(1, 130, 260), *[77] * 200, *[50] * 3]]
+    many += [(77, (3 * np.sign(v) + rng.normal(0, 0.1, 37)).round(3).tolist()) for i, v in many if i % 50 == 0 for _ in range(8)]
+    rows = few + many
+    got = vector_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    assert got == sorted(con.execute(queries.ORACLE["op9_vector_topk"]).fetchall())
+    assert [r[2] for r in got if r[0] == 0] == [7, 9, 10, 11, 12]
+
+
 # 10
 def test_transducer():
     words = sorted({w.encode() for w in "tap taps top tops stop stops a an and tapping topping".split()})
