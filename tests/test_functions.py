@@ -98,3 +98,13 @@ def test_card_edit_url(spark):
 def test_intl(spark):
     got = _one(spark, [("Title", "en")], "t string, l string", intl(F.col("t"), F.col("l")))[0]
     assert [(e.content, e.is_default, e.locale) for e in got] == [("Title", True, "en")]
+
+
+def test_changed_rows_sees_microseconds(spark):
+    from lectern.operators.changes import changed_rows
+    sql = "SELECT 1 AS id, TIMESTAMP '{0}' AS t, TIMESTAMP_NTZ '{1}' AS w, CAST(NULL AS INT) AS n"
+    old = spark.sql(sql.format("2024-05-06 07:08:09.123001", "2024-05-06 07:08:09.123001"))
+    for a, b in (("123999", "123001"), ("123001", "123999")):
+        new = spark.sql(sql.format(f"2024-05-06 07:08:09.{a}", f"2024-05-06 07:08:09.{b}"))
+        assert sorted(r.side for r in changed_rows(old, new).collect()) == ["new", "old"]
+    assert changed_rows(old, old).count() == 0
