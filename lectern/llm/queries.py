@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import (bestfit_packing, bpe_lexicon, language_id, quality_fm, robust_rules, simhash_pivot, substring_cover, url_templates,
-                         vector_sharding, vector_topk)
+from lectern.llm import (bestfit_packing, bpe_lexicon, language_id, quality_fm, robust_rules, secret_scan, simhash_pivot, substring_cover,
+                         url_templates, vector_sharding, vector_topk)
 from lectern.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,9 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5"""
 def op10_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and their decoding of every document, with the lexicon of its corpus."""
     return bpe_lexicon.encode_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: keyword prefilter, anchored patterns, checksums."""
+    return secret_scan.digest_report(read_table(spark, sf_dir, "documents"))
