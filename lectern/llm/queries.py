@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import (bestfit_packing, bpe_lexicon, language_id, quality_fm, robust_rules, secret_scan, simhash_pivot, substring_cover,
+from lectern.llm import (bestfit_packing, bpe_lexicon, language_id, phrase_mining, quality_fm, robust_rules, secret_scan, simhash_pivot, substring_cover,
                          url_templates, vector_sharding, vector_topk)
 from lectern.llm.common import read_table
 
@@ -114,6 +114,15 @@ def op10_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_lexicon.encode_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op11_toivonen_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest collocations of each language."""
+    return phrase_mining.collocations(phrase_mining.frequent_phrases(read_table(spark, sf_dir, "documents")))
+
+
+ORACLE["op11_toivonen_phrases"] = phrase_mining.oracle_sql()
+
+
 @query
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: keyword prefilter, anchored patterns, checksums."""

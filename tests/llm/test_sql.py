@@ -10,7 +10,7 @@ from lectern.llm.queries import ORACLE, QUERIES
 def test_oracle(spark, name):
     sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
-    for table in ("pages", "embeddings"):
+    for table in ("pages", "embeddings", "documents"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     want = con.execute(ORACLE[name]).df()
     got = QUERIES[name](spark, sf).toPandas()
