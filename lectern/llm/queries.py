@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import (bestfit_packing, bpe_lexicon, language_id, phrase_mining, quality_fm, robust_rules, secret_scan, simhash_pivot, substring_cover,
-                         url_templates, vector_sharding, vector_topk)
+from lectern.llm import (bestfit_packing, bpe_lexicon, hard_negatives, language_id, phrase_mining, quality_fm, robust_rules, secret_scan,
+                         simhash_pivot, substring_cover, url_templates, vector_sharding, vector_topk)
 from lectern.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,24 @@ ORACLE["op11_toivonen_phrases"] = phrase_mining.oracle_sql()
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: keyword prefilter, anchored patterns, checksums."""
     return secret_scan.digest_report(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three negatives for each of the five best positives of every fiftieth vector."""
+    label = F.col("label").cast("long")
+    return hard_negatives.mine(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+
+
+ORACLE["op13_hard_negatives"] = """WITH v AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+r AS (SELECT *, row_number() OVER () AS id FROM v),
+s AS (SELECT a.id, a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM r a JOIN r c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id AND len(a.v) = len(c.v)),
+p AS (SELECT id, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY id ORDER BY score DESC, vec_id) AS place
+  FROM s WHERE same QUALIFY place <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.id, place ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.id = p.id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score QUALIFY rank <= 3)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n"""
