@@ -6,16 +6,14 @@ segments twice as long. Over a segment of d components two vectors with means m,
 s, s' have an inner product between d (m m' - s s') and d (m m' + s s') (Cauchy-Schwarz on what is
 left after the means), and the sum over segments bounds the score. An anchor's candidates go through
 the levels from one segment a vector to the finest; after each, those that can't matter are dropped
-before the next level looks at the rest. Survivors are scored exactly, those with the highest bounds
-first, until no bound reaches what is proven.
+before the next level looks at the rest. Survivors are scored exactly.
 
 Two searches in cells of bounded size, merged over the cells:
 
   positives  anchors meet the rows of their own label; dropped when the upper bound lies below the
-             k-th best score proven so far
+             scores of the k most promising ones, which are scored first
   negatives  anchors meet all rows; rows of their own label go at once. An anchor's positives give bands
-             ``low`` % to ``high`` % of their scores; dropped when the bounds miss all bands, or lie below
-             the n-th best proven in every band they reach
+             ``low`` % to ``high`` % of their scores; dropped when the bounds miss all bands
 
 Every anchor meets every row in exactly one cell; bounds only decide what is scored, so the result is
 exact. Rows are dealt to cells by their number: a label that holds most rows, or a vector that many
@@ -31,6 +29,8 @@ ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -44,7 +44,9 @@ LOW, HIGH = 50, 95
 SEGMENT = 4
 CANDIDATES = 8192
 ANCHORS = 2048
-_CHUNK = 256
+#: Anchors that go through the levels together, and the share of pairs below which they part.
+_TOGETHER = 32
+_SPARSE = 0.1
 _LONG = (1 << 63) - 1
 
 
@@ -95,11 +97,12 @@ class Block:
         self.levels.reverse()
 
 
-def _summary(sums: np.ndarray, squares: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """sqrt(d) x mean and sqrt(d) x deviation of each segment: sum / sqrt(d), sqrt(squares - sum^2 / d)."""
+def _summary(sums: np.ndarray, squares: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """sqrt(d) x mean and sqrt(d) x deviation of each segment: sum / sqrt(d), sqrt(squares - sum^2 / d);
+    and the vector's norm, for what rounding can amount to."""
     d = np.maximum(lengths, 1)
     spread = np.maximum(d * squares - sums * sums, 0)  # exact integers
-    return sums.astype(float) / np.sqrt(d), np.sqrt(spread.astype(float) / d)
+    return sums.astype(float) / np.sqrt(d), np.sqrt(spread.astype(float) / d), np.sqrt(squares.sum(axis=1).astype(float))
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -110,81 +113,108 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 
 class Pair:
-    """Anchors against candidates of one cell: bounds by level, and exact scores."""
+    """Anchors against candidates of one cell: bounds by level, and exact scores.
+
+    ``survivors`` takes a few anchors through the levels together: as long as many pairs are left a
+    level is two matrix products, then each anchor's candidates are compacted and refined alone."""
 
     def __init__(self, anchors: Block, candidates: Block):
         self.a, self.c = anchors, candidates
+        self.depth = len(anchors.levels)
         peak = max(1, anchors.v.shape[1]) * anchors.peak * candidates.peak
         self.kind = np.float64 if peak < 2 ** 52 else np.int64 if peak < 2 ** 62 else object
         self.av, self.cv = anchors.v.astype(self.kind), candidates.v.astype(self.kind)
 
-    def bounds(self, i: int, level: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bound of anchor ``i``'s scores with the candidates ``at``, a hair wider."""
-        (am, ad), (cm, cd) = self.a.levels[level], self.c.levels[level]
-        middle, reach = cm[at] @ am[i], cd[at] @ ad[i]
-        reach = reach + 1e-9 * (reach + np.abs(cm[at]) @ np.abs(am[i])) + 1e-6
+    def bounds(self, i: np.ndarray, level: int, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of the anchors ``i`` with the candidates ``at`` (all), a hair wider for rounding."""
+        (am, ad, an), (cm, cd, cn) = ([x[i] for x in self.a.levels[level]], self.c.levels[level])
+        if at is not None:
+            cm, cd, cn = cm[at], cd[at], cn[at]
+        middle, reach = am @ cm.T, ad @ cd.T
+        reach += 1e-9 * np.multiply.outer(an, cn) + 1e-6
         return middle - reach, middle + reach
 
     def scores(self, i: int, at: np.ndarray) -> np.ndarray:
-        return np.array([max(-_LONG - 1, min(_LONG, int(s))) for s in self.cv[at] @ self.av[i]], dtype=object) if self.kind is object else (self.cv[at] @ self.av[i]).astype(np.int64)
-
-    @property
-    def depth(self) -> int:
-        return len(self.a.levels)
-
-
-def best_rows(pair: Pair, i: int, at: np.ndarray, k: int) -> list[tuple[int, int]]:
-    """(score, position) of the ``k`` best of the candidates ``at``, ties to the smaller id."""
-    floor = None
-    upper = None
-    for level in range(pair.depth):
-        _, upper = pair.bounds(i, level, at)
-        if len(at) <= k:
-            break
-        if floor is None or level == pair.depth - 1:  # scores of the most promising prove a floor
-            seeds = np.argpartition(-upper, k - 1)[:k]
-            least = min(pair.scores(i, at[seeds]).tolist())
-            floor = least if floor is None else max(floor, least)
-        keep = upper >= float(floor) * (1 - 1e-12 * np.sign(floor)) - 1e-6
-        at, upper = at[keep], upper[keep]
-    found: list[tuple[int, int, int]] = []
-    order = np.argsort(-upper, kind="stable")
-    for start in range(0, len(order), _CHUNK):
-        part = order[start:start + _CHUNK]
-        if len(found) == k and upper[part[0]] < float(-found[-1][0]):
-            break
-        scores = pair.scores(i, at[part]).tolist()
-        found = sorted(found + [(-s, int(pair.c.ids[p]), int(p)) for s, p in zip(scores, at[part])])[:k]
-    return [(-s, p) for s, _, p in found]
-
-
-def best_in_bands(pair: Pair, i: int, at: np.ndarray, bands: list[tuple[int, int]], n: int) -> list[list[tuple[int, int]]]:
-    """For each band (low, high) the ``n`` best (score, position) of the candidates ``at`` whose score
-    lies in it, ties to the smaller id."""
-    found: list[list[tuple[int, int, int]]] = [[] for _ in bands]
-    live = [b for b in range(len(bands)) if bands[b][0] <= bands[b][1]]
-    upper = np.zeros(len(at))
-    if not live:
-        return found
-    least, most = (edge([float(bands[b][side]) for b in live]) for edge, side in ((min, 0), (max, 1)))
-    for level in range(pair.depth):
-        lower, upper = pair.bounds(i, level, at)
-        keep = (upper >= least) & (lower <= most)
-        at, upper = at[keep], upper[keep]
-    order = np.argsort(-upper, kind="stable")
-    for start in range(0, len(order), _CHUNK):
-        part = order[start:start + _CHUNK]
-        # the least score that could still count in some band
-        needed = min(float(-found[b][-1][0] if len(found[b]) == n else bands[b][0]) for b in live)
-        if upper[part[0]] < needed:
-            break
-        scores = pair.scores(i, at[part])
-        for b in live:
-            low, high = bands[b]
-            inside = np.flatnonzero((scores >= low) & (scores <= high))
-            if len(inside):
-                found[b] = sorted(found[b] + [(-int(scores[j]), int(pair.c.ids[at[part[j]]]), int(at[part[j]])) for j in inside])[:n]
-    return [[(-s, p) for s, _, p in f] for f in found]
+        return self._long(self.cv[at] @ self.av[i])
+
+    def _long(self, products: np.ndarray) -> np.ndarray:
+        if self.kind is object:
+            return np.array([max(-_LONG - 1, min(_LONG, int(s))) for s in products.ravel()], dtype=np.int64).reshape(products.shape)
+        return products.astype(np.int64)
+
+    def survivors(self, anchors: np.ndarray, open_: np.ndarray, needed: np.ndarray, most: np.ndarray, k: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(anchor, candidates, their scores) for each of ``anchors``: those of ``open_`` (anchors x
+        candidates) whose score can lie between ``needed`` and ``most``; with ``k`` the k best scores
+        proven on the way raise what is needed."""
+        for level in range(self.depth):
+            lower, upper = self.bounds(anchors, level)
+            if k and level in (0, self.depth - 1):
+                needed = self._raise(anchors, np.where(open_, upper, -np.inf), needed, k)
+            open_ = open_ & (upper >= needed[:, None]) & (lower <= most[:, None])
+            if open_.mean() < _SPARSE:
+                break
+        else:
+            scores = self._long(self.av[anchors] @ self.cv.T)
+            for j, i in enumerate(anchors):
+                at = np.flatnonzero(open_[j])
+                yield int(i), at, scores[j, at]
+            return
+        for j, i in enumerate(anchors):
+            at = np.flatnonzero(open_[j])
+            for finer in range(level + 1, self.depth):
+                lower, upper = (x[0] for x in self.bounds(np.array([i]), finer, at))
+                at = at[(upper >= needed[j]) & (lower <= most[j])]
+            yield int(i), at, self.scores(int(i), at)
+
+    def _raise(self, anchors: np.ndarray, upper: np.ndarray, needed: np.ndarray, k: int) -> np.ndarray:
+        """The least exact score of each anchor's ``k`` most promising candidates, where it has as many."""
+        if upper.shape[1] < k:
+            return needed
+        seeds = np.argpartition(-upper, k - 1, axis=1)[:, :k]
+        floors = [min(self.scores(int(i), s).tolist()) if np.isfinite(upper[j, s]).all() else needed[j] for j, (i, s) in enumerate(zip(anchors, seeds))]
+        return np.maximum(needed, _below(np.array(floors, dtype=float)))
+
+
+def _below(x: np.ndarray) -> np.ndarray:
+    """At most ``x``, also where ``x`` was rounded to a double."""
+    return np.where(np.isfinite(x), x - 1e-12 * np.abs(np.nan_to_num(x)), x)
+
+
+def first_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the ``k`` highest scores, ties to the smaller id."""
+    if len(scores) > k:
+        at = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+    else:
+        at = np.arange(len(scores))
+    return at[np.lexsort((ids[at], -scores[at].astype(object) if len(at) and scores[at].min() == -_LONG - 1 else -scores[at]))][:k]
+
+
+def _groups(n: int) -> Iterator[np.ndarray]:
+    return (np.arange(s, min(n, s + _TOGETHER)) for s in range(0, n, _TOGETHER))
+
+
+def best_rows(pair: Pair, k: int) -> Iterator[tuple[int, int, int]]:
+    """(anchor, score, candidate) of each anchor's ``k`` best candidates under another id."""
+    for some in _groups(len(pair.a.ids)):
+        open_ = pair.c.ids[None, :] != pair.a.ids[some][:, None]
+        for i, at, scores in pair.survivors(some, open_, np.full(len(some), -np.inf), np.full(len(some), np.inf), k):
+            for p in first_of(scores, pair.c.ids[at], k):
+                yield i, int(scores[p]), int(at[p])
+
+
+def best_in_bands(pair: Pair, bands: list[list[tuple[int, int]]], n: int) -> Iterator[tuple[int, int, int, int]]:
+    """(anchor, band, score, candidate): for each band (low, high) of an anchor its ``n`` best
+    candidates of other labels, under another id, whose score lies in the band."""
+    ends = lambda i, side, edge, none: edge([float(b[side]) for b in bands[i] if b[0] <= b[1]], default=none)
+    for some in _groups(len(pair.a.ids)):
+        needed = _below(np.array([ends(i, 0, min, np.inf) for i in some]))
+        most = -_below(-np.array([ends(i, 1, max, -np.inf) for i in some]))
+        open_ = (pair.c.ids[None, :] != pair.a.ids[some][:, None]) & (pair.c.labels[None, :] != pair.a.labels[some][:, None])
+        for i, at, scores in pair.survivors(some, open_, needed, most):
+            for b, (low, high) in enumerate(bands[i]):
+                inside = np.flatnonzero((scores >= low) & (scores <= high))
+                for p in inside[first_of(scores[inside], pair.c.ids[at[inside]], n)]:
+                    yield i, b, int(scores[p]), int(at[p])
 
 
 def band(score: int, low: int = LOW, high: int = HIGH) -> tuple[int, int]:
@@ -194,37 +224,31 @@ def band(score: int, low: int = LOW, high: int = HIGH) -> tuple[int, int]:
 
 def _positives(k: int):
     def run(anchors: pa.Table, candidates: pa.Table) -> pa.Table:
-        out = {"row": [], "positive_id": [], "positive_score": []}
+        found = []
         if anchors.num_rows and candidates.num_rows:
-            pair = Pair(Block(anchors), Block(candidates))
-            for i, row in enumerate(anchors["row"].to_pylist()):
-                for score, p in best_rows(pair, i, np.flatnonzero(pair.c.ids != pair.a.ids[i]), k):
-                    out["row"].append(row)
-                    out["positive_id"].append(int(pair.c.ids[p]))
-                    out["positive_score"].append(int(score))
-        return pa.table({n: pa.array(v, pa.int64()) for n, v in out.items()})
+            pair, rows = Pair(Block(anchors), Block(candidates)), anchors["row"].to_pylist()
+            found = [(rows[i], int(pair.c.ids[p]), score) for i, score, p in best_rows(pair, k)]
+        return _table(found, ["row", "positive_id", "positive_score"])
 
     return run
 
 
 def _negatives(n: int, low: int, high: int):
     def run(anchors: pa.Table, candidates: pa.Table) -> pa.Table:
-        out = {"row": [], "place": [], "negative_id": [], "negative_score": []}
+        found = []
         if anchors.num_rows and candidates.num_rows:
-            pair = Pair(Block(anchors), Block(candidates))
-            for i, (row, scores) in enumerate(zip(anchors["row"].to_pylist(), anchors["scores"].to_pylist())):
-                at = np.flatnonzero((pair.c.ids != pair.a.ids[i]) & (pair.c.labels != pair.a.labels[i]))
-                for place, best in enumerate(best_in_bands(pair, i, at, [band(s, low, high) for s in scores], n)):
-                    for score, p in best:
-                        out["row"].append(row)
-                        out["place"].append(place)
-                        out["negative_id"].append(int(pair.c.ids[p]))
-                        out["negative_score"].append(int(score))
-        return pa.table({name: pa.array(v, pa.int64()) for name, v in out.items()})
+            pair, rows = Pair(Block(anchors), Block(candidates)), anchors["row"].to_pylist()
+            bands = [[band(s, low, high) for s in scores] for scores in anchors["scores"].to_pylist()]
+            found = [(rows[i], place, int(pair.c.ids[p]), score) for i, place, score, p in best_in_bands(pair, bands, n)]
+        return _table(found, ["row", "place", "negative_id", "negative_score"])
 
     return run
 
 
+def _table(rows: list[tuple], names: list[str]) -> pa.Table:
+    return pa.table({name: pa.array([r[j] for r in rows], pa.int64()) for j, name in enumerate(names)})
+
+
 def _cells(anchors: DataFrame, candidates: DataFrame, sizes: DataFrame, on: list[str], solve, schema: str) -> DataFrame:
     """Anchors and candidates that agree in ``on`` meet in cells of about ``ANCHORS`` x ``CANDIDATES``
     rows. ``sizes``: on, n (candidates), q (anchors)."""

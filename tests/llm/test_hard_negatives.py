@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.llm import hard_negatives
-from lectern.llm.hard_negatives import SEGMENT, Block, Pair, band, best_in_bands, best_rows
+from lectern.llm.hard_negatives import SEGMENT, Block, Pair, band, best_in_bands, best_rows, first_of
 
 
 def table(ids, labels, v):
@@ -29,7 +29,7 @@ def test_bounds_and_searches(dims, size):
     centre = [rng.randint(-size, size) for _ in range(dims)]
     v = [[max(-size, min(size, c + rng.randint(-size // 2, size // 2))) for c in centre] for _ in range(n)]
     v[7] = v[8] = v[9]
-    block = Block(table(list(range(n)), [0] * n, v))
+    block = Block(table(list(range(n)), [i % 2 for i in range(n)], v))
     pair = Pair(block, block)
     want = [[max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(x, y)))) for y in v] for x in v]
     at = np.arange(n)
@@ -37,30 +37,26 @@ def test_bounds_and_searches(dims, size):
         assert pair.scores(i, at).tolist() == want[i]
         exact = np.array([float(sum(a * b for a, b in zip(v[i], y))) for y in v])
         for level in range(pair.depth):
-            low, high = pair.bounds(i, level, at)
-            assert (low <= exact * (1 - 1e-15 * np.sign(exact)) + 1e-6).all() and (high >= exact * (1 + -1e-15 * np.sign(exact)) - 1e-6).all()
-        others = at[at != i]
-        ranked = sorted((-want[i][j], j) for j in others)
-        assert best_rows(pair, i, others, 5) == [(-s, j) for s, j in ranked[:5]]
-        bands = [band(want[i][j]) for j in rng.sample(range(n), 5)] + [(5, 4)]
-        got = best_in_bands(pair, i, others, bands, 3)
-        for (low, high), found in zip(bands, got):
-            assert found == [(-s, j) for s, j in ranked if low <= -s <= high][:3]
+            low, high = (x[0] for x in pair.bounds(np.array([i]), level))
+            assert (low <= exact + 1e-15 * np.abs(exact)).all() and (high >= exact - 1e-15 * np.abs(exact)).all()
+    ranked = [sorted((-want[i][j], j) for j in range(n) if j != i) for i in range(n)]
+    found = list(best_rows(pair, 5))
+    assert found == [(i, -s, j) for i in range(n) for s, j in ranked[i][:5]]
+    bands = [[band(want[i][j]) for j in rng.sample(range(n), 3)] + [(5, 4)] for i in range(n)]
+    got = list(best_in_bands(pair, bands, 3))
+    assert got == [(i, b, -s, j) for i in range(n) for b, (low, high) in enumerate(bands[i]) for s, j in [x for x in ranked[i] if low <= -x[0] <= high and x[1] % 2 != i % 2][:3]]
 
 
 def test_pruning():
-    """Where segments differ, summaries leave few rows to score."""
+    """Where segments differ, summaries leave few rows to score, and coarse levels already drop most."""
     rng = np.random.default_rng(3)
     blocks = np.repeat(rng.normal(size=(4000, 8)) * 200, 8, axis=1) + rng.normal(size=(4000, 64)) * 5
-    v = np.floor(blocks).astype(int).tolist()
-    block = Block(table(list(range(4000)), [0] * 4000, v))
+    block = Block(table(list(range(4000)), [0] * 4000, np.floor(blocks).astype(int).tolist()))
     pair = Pair(block, block)
-    scored = []
-    exact = pair.scores
-    pair.scores = lambda i, at: scored.append(len(at)) or exact(i, at)
-    for i in range(10):
-        best_rows(pair, i, np.flatnonzero(block.ids != i), 5)
-    assert sum(scored) < 10 * 600
+    some = np.arange(10)
+    left = list(pair.survivors(some, np.ones((10, 4000), dtype=bool), np.full(10, -np.inf), np.full(10, np.inf), 5))
+    assert sum(len(at) for _, at, _ in left) < 10 * 600
+    assert all(set(at[first_of(s, at, 5)]) == set(np.argsort(-pair.scores(i, np.arange(4000)), kind="stable")[:5]) for i, at, s in left)
 
 
 def plain(rows, k=5, n=3):
