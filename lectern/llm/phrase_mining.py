@@ -3,18 +3,23 @@
 A sample of the documents proposes the frequent phrases; one full pass counts, exactly, the proposed
 phrases together with their negative border (the phrases that were not proposed although what is left
 of them without their first or their last word was). A border phrase that turns out frequent is a
-failure: it joins the known phrases, and a further full pass counts the border that this adds. The
+failure: it joins the known phrases, and a further full pass counts what that adds to the border. The
 passes end when no failure is left; by induction over the length every frequent phrase has then been
-counted (phrases of length m are counted at the latest in pass m, so there are at most ``longest``
-passes). The sample only decides what is counted early, never the result.
+counted. The sample only decides what is counted early, never the result.
 
-The known phrases travel as a Bloom filter of fixed size (``FILTER_BITS``, 8 MB, whatever the corpus);
-a false positive adds a phrase to what is counted and changes no count. A phrase counts as known if
-the filter says so and both its parts without an end word are known: this is what every pass and the
-search for failures go by, so a phrase is counted in exactly one pass. The sample is mined by the same
-loop, starting from an empty filter, at a lower threshold.
+A pass counts a phrase if both its parts without an end word are known. To spare passes a failure
+brings its longer phrases along: one that contains a failure and whose pairs of words are all known
+counts as known itself, frequent or not. What an earlier pass counted is left out, so a phrase is
+counted in exactly one pass. Words fail after the first pass, their pairs after the second, and with
+them come all longer phrases: there are at most three passes. An expansion pass looks only at the
+words around the newest failures: nothing else can be new.
 
-Each task numbers the words of a slice of ``SLICE`` bytes exactly (a dictionary, no hashing), numbers
+The known phrases travel as Bloom filters, one for each pass that had failures, of 32 bits a phrase up
+to ``FILTER_BITS`` (8 MB, whatever the corpus); a false positive adds a phrase to what is counted and
+changes no count, since every pass and the search for failures go by the same filters. The sample is
+mined by the same loop, with nothing known at the start, at a lower threshold.
+
+Each task numbers the words of a slice of about ``SLICE`` bytes exactly (a dictionary, no hashing), numbers
 the phrases of length m by (number of the first m - 1 words, last word), and passes on every distinct
 phrase of the slice with its count: counts are added before the shuffle, once in the slice and once more
 in Spark's partial aggregation, so a very common phrase or a hot language reaches no task whole.
@@ -23,7 +28,7 @@ Texts: A-Z lower-cased, split at ``[.,;:!?\\x0A-\\x0D]`` into pieces and those i
 ``[^\\x20\\x09]+``; phrases lie within a piece. Scores are exact (decimals of 38 digits).
 
 Cases: null or empty texts have no words; a null language counts as ``und``; documents are counted
-however often they repeat; a text of any length is counted whole, in slices that overlap by
+however often they repeat; a text of any length is counted whole, in parts that overlap by
 ``longest`` - 1 words; ties in the score of a cut go to the shortest first part, ties in rank to the higher count and
 then to the phrase that comes first in byte order; an empty table gives an empty result; columns
 besides text and lang (doc_id, if there, spreads the sample) are ignored.
@@ -34,6 +39,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -45,10 +51,10 @@ from lectern.llm.common import Scratch, mix64, texts_of
 LONGEST = 5
 MIN_COUNT = 100
 TOP = 2000
-#: One document of so many is in the sample; its threshold lies two deviations below the expected count.
+#: One document of so many is in the sample; its threshold lies a deviation below the expected count.
 SAMPLE = 8
 FILTER_BITS = 1 << 26
-SLICE = 12_000_000
+SLICE = 6_000_000
 
 #: What ends a piece, and what separates words besides the space.
 _ENDS, _TAB = b".,;:!?\n\x0b\x0c\r", b"\t"
@@ -58,26 +64,35 @@ _SALTS = 64
 
 
 class Filter:
-    """A Bloom filter over phrase hashes: three positions each, among ``FILTER_BITS``."""
+    """A Bloom filter over phrase hashes: three positions each among a power of two of bits."""
 
-    def __init__(self, words: np.ndarray | None = None):
-        self.words = np.zeros(FILTER_BITS >> 6, dtype=np.uint64) if words is None else words
+    def __init__(self, words: np.ndarray):
+        self.words = words
 
     @staticmethod
-    def positions(h: np.ndarray) -> list[np.ndarray]:
-        mask = np.uint64(FILTER_BITS - 1)
+    def positions(h: np.ndarray, bits: int) -> list[np.ndarray]:
+        mask = np.uint64(bits - 1)
         return [h & mask, (h >> np.uint64(32)) & mask, mix64(h + _STEP) & mask]
 
     def has(self, h: np.ndarray) -> np.ndarray:
         found = np.ones(len(h), dtype=bool)
-        for at in self.positions(h):
+        for at in self.positions(h, len(self.words) << 6):
             found &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
         return found
 
-    def with_bits(self, bits: pa.Table) -> Filter:
-        words = self.words.copy()
-        words[bits["page"].to_numpy()] |= bits["mask"].to_numpy().view(np.uint64)
-        return Filter(words)
+
+class Known:
+    """What is known: in any of some filters, of which the first ``proposed`` came from the sample and
+    the others hold failures."""
+
+    def __init__(self, filters: list[np.ndarray] | None = None, proposed: int = 0):
+        self.filters, self.proposed = filters or [], proposed
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(h), dtype=bool)
+        for words in self.filters:
+            found |= Filter(words).has(h)
+        return found
 
 
 def _word_hash(lang: str, words: list[bytes]) -> np.ndarray:
@@ -90,95 +105,173 @@ def _chain(h: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix64(h * _STEP + word)
 
 
-class _Numbers(dict):
-    """Numbers words in order of appearance; 0 is the end of a piece."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
-def tokens_of(text: bytes) -> list[bytes]:
-    """The words of a text, with ``.`` at the ends of pieces."""
-    return text.lower().translate(_TABLE).replace(b".", b" . ").split()
+def _rolling(tokens: np.ndarray, hashes: np.ndarray, longest: int) -> Iterator[np.ndarray]:
+    """For each length from 1 the hash of the phrase at every place."""
+    h = hashes[tokens]
+    for m in range(1, longest + 1):
+        yield h
+        h = _chain(h[:-1], hashes[tokens[m:]]) if len(h) > 1 else h[:0]
+
+
+def _walk(tokens: np.ndarray, hashes: np.ndarray, longest: int, now: _Status) -> Iterator[tuple]:
+    """For each length from 2: the length, the places of the phrases that can matter, the number of the
+    phrase at each, a place of each number, which places are countable, and the hash of each number.
+    Then ``now`` goes on to that length."""
+    phrase, h = tokens, hashes  # the number of the phrase at each place, and the hash of each number
+    for m in range(2, min(longest, len(tokens)) + 1):
+        countable = now.countable()
+        at = np.flatnonzero(now.reach() if now.failed.filters else countable)
+        numbers, distinct = pd.factorize(phrase[at] * len(hashes) + tokens[at + m - 1])
+        first = np.empty(len(distinct), dtype=np.int64)
+        first[numbers[::-1]] = np.arange(len(at))[::-1]
+        where = at[first]
+        h = _chain(h[phrase[where]], hashes[tokens[where + m - 1]])
+        yield m, at, numbers, where, countable, h
+        if m < longest:
+            now.lengthen(countable, at, numbers, h)
+            phrase = np.zeros(len(countable), dtype=np.int64)
+            phrase[at] = numbers
+
+
+def plain_text(text: bytes) -> bytes:
+    """Lower-cased, with `` . `` at the ends of pieces and words separated by spaces."""
+    return text.lower().translate(_TABLE).replace(b".", b" . ")
+
+
+class _Status:
+    """What one state of knowledge says about the phrases of the length at hand, by their first place:
+    ``known``, ``holds`` (contains a failure) and ``pairs`` (all its pairs of words are known)."""
+
+    def __init__(self, known: Known, words: np.ndarray, hashes: np.ndarray, tokens: np.ndarray):
+        self.all, self.failed = known, Known(known.filters[known.proposed:])
+        word = words & known.has(hashes)
+        self.known, self.holds = word[tokens], (word & self.failed.has(hashes))[tokens]
+        self.pairs = None
+
+    def countable(self) -> np.ndarray:
+        """The phrases one word longer that this state counts."""
+        both = self.known[:-1] & self.known[1:]
+        return both if self.pairs is None else both | self.brought()
+
+    def brought(self) -> np.ndarray:
+        """The phrases one word longer that a failure brings along."""
+        return self.reach() & (self.holds[:-1] | self.holds[1:])
+
+    def reach(self) -> np.ndarray:
+        """The phrases one word longer whose pairs of words are all known."""
+        return self.known[:-1] & self.known[1:] if self.pairs is None else self.pairs[:-1] & self.pairs[1:]
+
+    def lengthen(self, countable: np.ndarray, at: np.ndarray, phrase: np.ndarray, h: np.ndarray) -> None:
+        """Go on to the next length. ``h``: the hash of each phrase, ``phrase``: which one lies at each of ``at``."""
+        known, failed = np.zeros(len(countable), dtype=bool), np.zeros(len(countable), dtype=bool)
+        known[at] = countable[at] & self.all.has(h)[phrase]
+        failed[at] = self.failed.has(h)[phrase]
+        if self.pairs is not None:
+            known |= self.brought()
+        self.pairs = known if self.pairs is None else self.reach()
+        self.holds = self.holds[:-1] | self.holds[1:] | known & failed
+        self.known = known
 
 
 class _Counter:
-    """Counts the phrases of one language in slices of tokens."""
+    """Counts the phrases of one language in slices of text."""
 
-    def __init__(self, lang: str, known: Filter, before: Filter | None, longest: int):
+    def __init__(self, lang: str, known: Known, before: Known | None, longest: int):
         self.lang, self.known, self.before, self.longest = lang, known, before, longest
-        self.numbers = _Numbers()
-        self.numbers[b"."] = 0
-        self.parts: list[np.ndarray] = []
-        self.size = 0
+        self.parts: list[bytes] = []
 
     def add(self, text: bytes) -> None:
-        tokens = tokens_of(text)
-        self.parts += [np.fromiter(map(self.numbers.__getitem__, tokens), dtype=np.int64, count=len(tokens)), np.zeros(1, dtype=np.int64)]
-        self.size += len(text)
+        self.parts.append(plain_text(text))
+
+    def _coded(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """The slice as numbers of its words; which numbers are words; their hashes; the words."""
+        text = pa.array([b" . ".join(self.parts)], pa.large_binary()).cast(pa.large_string())
+        coded = pc.split_pattern(text, " ").flatten().dictionary_encode()
+        words = coded.dictionary
+        tokens = coded.indices.to_numpy().astype(np.int64)
+        blank, end = (pc.index(words, w).as_py() for w in ("", "."))
+        tokens = tokens[tokens != blank] if blank >= 0 else tokens
+        is_word = np.ones(len(words), dtype=bool)
+        is_word[[i for i in (blank, end) if i >= 0]] = False
+        return tokens, is_word, _word_hash(self.lang, words.cast(pa.large_binary()).to_pylist()), words
 
     def counts(self) -> Iterator[pa.RecordBatch]:
-        """Batches of (lang, m, phrase, f), each phrase once a slice."""
-        vocabulary = list(self.numbers)
-        hashes = _word_hash(self.lang, vocabulary)
-        words = pa.array(vocabulary, pa.binary()).cast(pa.string())
-        tokens = np.concatenate(self.parts)
-        step = SLICE // 4  # tokens; a text that is longer than a slice is counted in several
+        """Batches of (key, f), each phrase once for each part of the slice."""
+        tokens, is_word, hashes, words = self._coded()
+        step = max(1, SLICE // 4)  # words; a text that is longer than a slice is counted in several
         for start in range(0, len(tokens), step):
-            yield from self._slice(tokens[start:start + step + self.longest - 1], min(step, len(tokens) - start), hashes, words)
+            yield from self._part(tokens[start:start + step + self.longest - 1], min(step, len(tokens) - start), is_word, hashes, words)
 
-    def _slice(self, tokens: np.ndarray, own: int, hashes: np.ndarray, words: pa.Array) -> Iterator[pa.RecordBatch]:
+    def _part(self, tokens: np.ndarray, own: int, is_word: np.ndarray, hashes: np.ndarray, words: pa.Array) -> Iterator[pa.RecordBatch]:
         """Phrases that begin at one of the first ``own`` tokens."""
-        one = tokens != 0
+        place = None
         if self.before is None:
-            f = np.bincount(tokens[:own], minlength=len(words))
-            f[0] = 0
+            f = np.where(is_word, np.bincount(tokens[:own], minlength=len(words)), 0)
             seen = np.flatnonzero(f)
-            yield self._batch(1, [words.take(pa.array(seen))], f[seen])
-        in_known = self.known.has(hashes)
-        now = one & in_known[tokens]
-        old = one & self.before.has(hashes)[tokens] if self.before is not None else None
-        phrase, h = tokens, hashes  # the number of the phrase at each place, and the hash of each number
-        for m in range(2, self.longest + 1):
-            at = np.flatnonzero(now[:-1] & now[1:])
-            if not len(at):
+            yield self._batch([words.take(pa.array(seen))], f[seen])
+        else:
+            place = self._near(tokens, hashes)
+            if not len(place):
                 return
-            _, first, inverse = np.unique(phrase[at] * len(words) + tokens[at + m - 1], return_index=True, return_inverse=True)
-            where = at[first]
-            own_counts = np.bincount(inverse[at < own], minlength=len(first))
-            counted = old[where] & old[where + 1] if old is not None else np.zeros(len(first), dtype=bool)
-            out = np.flatnonzero((own_counts > 0) & ~counted)
+            # places that were not neighbours stay apart
+            gap = np.flatnonzero(np.diff(place) > 1) + 1
+            tokens, place = np.insert(tokens[place], gap, len(words)), np.insert(place, gap, own)
+            is_word, hashes = np.append(is_word, False), np.append(hashes, np.uint64(0))
+        now = _Status(self.known, is_word, hashes, tokens)
+        old = _Status(self.before, is_word, hashes, tokens) if self.before is not None else None
+        for m, at, numbers, where, countable, h in _walk(tokens, hashes, self.longest, now):
+            counted = old.countable() if old is not None else None
+            mine = at < own if place is None else place[at] < own
+            f = np.bincount(numbers[mine], minlength=len(where))
+            new = countable[where] if counted is None else countable[where] & ~counted[where]
+            out = np.flatnonzero((f > 0) & new)
             if len(out):
-                yield self._batch(m, [words.take(pa.array(tokens[where[out] + j])) for j in range(m)], own_counts[out])
-            if m == self.longest:
-                return
-            h = _chain(h[phrase[where]], hashes[tokens[where + m - 1]])
-            new_now = np.zeros(len(tokens) - m + 1, dtype=bool)
-            new_now[at] = self.known.has(h)[inverse]
+                yield self._batch([words.take(pa.array(tokens[where[out] + j])) for j in range(m)], f[out])
             if old is not None:
-                new_old = np.zeros(len(new_now), dtype=bool)
-                new_old[at] = (counted & self.before.has(h))[inverse]
-                old = new_old
-            phrase = np.zeros(len(new_now), dtype=np.int64)
-            phrase[at] = inverse
-            now = new_now
-
-    def _batch(self, m: int, words: list[pa.Array], f: np.ndarray) -> pa.RecordBatch:
-        phrase = pc.binary_join_element_wise(*words, " ") if m > 1 else words[0]
-        n = len(f)
-        return pa.RecordBatch.from_pydict({"lang": pa.array([self.lang] * n, pa.string()), "m": pa.array(np.full(n, m, dtype=np.int32)), "phrase": phrase,
-                                           "f": pa.array(f.astype(np.int64))})
-
-
-def count_pass(docs: DataFrame, known: Filter, before: Filter | None, longest: int) -> DataFrame:
-    """(lang, m, phrase, f): exact counts over ``docs`` (lang, text) of all words (only if ``before``
-    is None) and of the phrases whose parts without an end word are known and were not known before."""
-    pair = docs.sparkSession.sparkContext.broadcast((known.words, None if before is None else before.words))
+                old.lengthen(counted, at, numbers, h)
+
+    def unknown(self, lengths: list[int]) -> np.ndarray:
+        """The hashes of the texts added, phrases of these numbers of words, that are not known."""
+        tokens, is_word, hashes, _ = self._coded()
+        now = _Status(self.known, is_word, hashes, tokens)
+        lengths = np.array(lengths)
+        start = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
+        known, found = np.zeros(len(lengths), dtype=bool), np.zeros(len(lengths), dtype=np.uint64)
+        longest = int(lengths.max())
+        for m, h in enumerate(_rolling(tokens, hashes, longest), 1):
+            found[lengths == m] = h[start[lengths == m]]
+        known[lengths == 1] = now.known[start[lengths == 1]]
+        for m, *_ in _walk(tokens, hashes, longest + 1, now):
+            if m > 2:  # the walk has gone on to length m - 1 by now
+                known[lengths == m - 1] = now.known[start[lengths == m - 1]]
+        return found[~known]
+
+    def _near(self, tokens: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The places of words that a phrase with one of the newest failures in it can reach."""
+        newest = Filter(self.known.filters[-1])
+        hit = newest.has(hashes)[tokens]
+        for h in list(_rolling(tokens, hashes, self.longest - 1))[1:]:
+            hit[:len(h)] |= newest.has(h)
+        near = hit.copy()
+        for shift in range(1, self.longest):
+            near[shift:] |= hit[:-shift]
+            near[:-shift] |= hit[shift:]
+        return np.flatnonzero(near)
+
+    def _batch(self, words: list[pa.Array], f: np.ndarray) -> pa.RecordBatch:
+        lang, space, line = (pa.scalar(x, pa.large_string()) for x in (self.lang, " ", "\n"))
+        phrase = pc.binary_join_element_wise(*words, space) if len(words) > 1 else words[0]
+        key = pc.binary_join_element_wise(lang, phrase, line)
+        return pa.RecordBatch.from_pydict({"key": key.cast(pa.string()), "f": pa.array(f.astype(np.int64))})
+
+
+def count_pass(docs: DataFrame, known: Known, before: Known | None, longest: int) -> DataFrame:
+    """(lang, m, phrase, f): exact counts over ``docs`` (lang, text) of what ``known`` makes countable:
+    of all words and phrases if ``before`` is None, else of the phrases that ``before`` did not."""
+    now, old = (known.filters, known.proposed), None if before is None else (before.filters, before.proposed)
 
     def run(batches):
-        now, old = pair.value
-        now, old = Filter(now), None if old is None else Filter(old)
+        known, before = Known(*now), None if old is None else Known(*old)
         held: dict[str, _Counter] = {}
 
         def flush():
@@ -192,7 +285,7 @@ def count_pass(docs: DataFrame, known: Filter, before: Filter | None, longest: i
                 if not text:
                     continue
                 if lang not in held:
-                    held[lang] = _Counter(lang, now, old, longest)
+                    held[lang] = _Counter(lang, known, before, longest)
                 held[lang].add(text)
                 size += len(text)
                 if size >= SLICE:
@@ -200,53 +293,78 @@ def count_pass(docs: DataFrame, known: Filter, before: Filter | None, longest: i
                     size = 0
         yield from flush()
 
-    return docs.mapInArrow(run, "lang string, m int, phrase string, f long").groupBy("lang", "m", "phrase").agg(F.sum("f").alias("f"))
+    # one string as the key: no phrase holds a line feed
+    sums = docs.mapInArrow(run, "key string, f long").groupBy("key").agg(F.sum("f").alias("f"))
+    phrase = F.substring_index("key", "\n", -1)
+    m = (F.length(phrase) - F.length(F.replace(phrase, F.lit(" "), F.lit(""))) + 1).cast("int")
+    return sums.select(F.expr("left(key, length(key) - length(substring_index(key, '\n', -1)) - 1)").alias("lang"), m.alias("m"), phrase.alias("phrase"), "f")
 
 
-def _failures(frequent: DataFrame, known: Filter, longest: int) -> pa.Table:
-    """The filter bits (page, mask) of the frequent phrases that are not known: at most one row a page."""
-    shared = frequent.sparkSession.sparkContext.broadcast(known.words)
+def _unknown(phrases: DataFrame, known: Known) -> DataFrame:
+    """(h): the hashes of those of ``phrases`` (lang, m, phrase) that are not known."""
+    state = known.filters, known.proposed
 
     def run(batches):
-        known = Filter(shared.value)
+        known = Known(*state)
+        for batch in batches:
+            by_lang: dict[str, tuple[_Counter, list[int]]] = {}
+            for lang, m, phrase in zip(batch.column("lang").to_pylist(), batch.column("m").to_pylist(), texts_of(batch.column("phrase"))):
+                counter, lengths = by_lang.setdefault(lang, (_Counter(lang, known, None, 0), []))
+                counter.add(phrase)
+                lengths.append(m)
+            for counter, lengths in by_lang.values():
+                yield pa.RecordBatch.from_pydict({"h": counter.unknown(lengths).view(np.int64)})
+
+    return phrases.select("lang", "m", "phrase").mapInArrow(run, "h long")
+
+
+def _filter_of(hashes: DataFrame) -> np.ndarray | None:
+    """A filter that holds the stored hashes; None if there are none."""
+    n = hashes.count()
+    if not n:
+        return None
+    size = min(FILTER_BITS, 1 << max(10, (32 * n - 1).bit_length()))
+
+    def bits(batches):
         for batch in batches:
-            hashes = np.zeros(batch.num_rows, dtype=np.uint64)
-            for i, (lang, phrase) in enumerate(zip(batch.column("lang").to_pylist(), texts_of(batch.column("phrase")))):
-                first, *rest = _word_hash(lang, phrase.split(b" "))
-                h = np.array([first])
-                for word in rest:
-                    h = _chain(h, np.array([word]))
-                hashes[i] = h[0]
-            at = np.concatenate(Filter.positions(hashes[~known.has(hashes)]))
+            at = np.concatenate(Filter.positions(batch.column("h").to_numpy().view(np.uint64), size))
             yield pa.RecordBatch.from_pydict({"page": (at >> np.uint64(6)).astype(np.int64), "mask": (np.uint64(1) << (at & np.uint64(63))).view(np.int64)})
 
-    bits = frequent.where(F.col("m") < longest).select("lang", "phrase").mapInArrow(run, "page long, mask long")
-    return bits.groupBy("page").agg(F.bit_or("mask").alias("mask")).toArrow()
+    # at most one row for each word of the filter reaches the driver
+    pages = hashes.mapInArrow(bits, "page long, mask long").groupBy("page").agg(F.bit_or("mask").alias("mask")).toArrow()
+    words = np.zeros(size >> 6, dtype=np.uint64)
+    words[pages["page"].to_numpy()] = pages["mask"].to_numpy().view(np.uint64)
+    return words
 
 
-def closed_counts(docs: DataFrame, min_count: int, longest: int, scratch: Scratch, known: Filter) -> tuple[DataFrame, Filter, int]:
+def closed_counts(docs: DataFrame, min_count: int, longest: int, scratch: Scratch, proposed: np.ndarray | None = None) -> tuple[DataFrame, int]:
     """Passes over ``docs`` until no border phrase fails: (lang, m, phrase, f) of every phrase with
-    f >= ``min_count`` and, as m = 0, the number of words of each language; what is known then; and
-    the number of passes."""
-    before, tables = None, []
+    f >= ``min_count`` and, as m = 0, the number of words of each language; and the number of passes."""
+    known, before, tables = Known([] if proposed is None else [proposed], 0 if proposed is None else 1), None, []
     while True:
         f = count_pass(docs, known, before, longest)
         if before is None:  # the words of all counts: their total, besides the frequent ones
-            f = scratch(f"counted{len(tables)}", f.where((F.col("f") >= min_count) | (F.col("m") == 1)))
+            f = scratch("counted0", f.where((F.col("f") >= min_count) | (F.col("m") == 1)))
             total = f.where(F.col("m") == 1).groupBy("lang").agg(F.sum("f").alias("f"))
             tables.append(total.select("lang", F.lit(0).alias("m"), F.lit("").alias("phrase"), "f"))
             f = f.where(F.col("f") >= min_count)
         else:
             f = scratch(f"counted{len(tables)}", f.where(F.col("f") >= min_count))
         tables.append(f)
-        bits = _failures(f, known, longest)
-        if not bits.num_rows:
+        failed = _filter_of(scratch(f"failed{len(tables)}", _unknown(f.where(F.col("m") < longest), known)))
+        if failed is None:
             break
-        before, known = known, known.with_bits(bits)
+        before, known = known, Known(known.filters + [failed], known.proposed)
     counts = tables[0]
     for t in tables[1:]:
         counts = counts.unionByName(t)
-    return counts, known, len(tables) - 1
+    return counts, len(tables) - 1
+
+
+def propose(docs: DataFrame, min_count: int, longest: int, scratch: Scratch) -> np.ndarray | None:
+    """A filter of the phrases with f >= ``min_count`` in ``docs``."""
+    counts, _ = closed_counts(docs, min_count, longest, scratch)
+    return _filter_of(scratch("proposed", _unknown(counts.where((F.col("m") > 0) & (F.col("m") < longest)), Known())))
 
 
 def frequent_phrases(docs: DataFrame, *, min_count: int = MIN_COUNT, longest: int = LONGEST, sample: int = SAMPLE, scratch: Scratch | None = None) -> DataFrame:
@@ -256,7 +374,7 @@ def frequent_phrases(docs: DataFrame, *, min_count: int = MIN_COUNT, longest: in
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string"), spread.alias("spread"))
     some = scratch("sample", docs.where(F.pmod("spread", F.lit(sample)) == 0).select("lang", "text"))
     expected = min_count / sample
-    _, proposed, _ = closed_counts(some, max(2, int(np.ceil(expected - 2 * expected ** 0.5))), longest, Scratch(scratch.spark, "phrases-sample"), Filter())
+    proposed = propose(some, max(2, int(np.ceil(expected - expected ** 0.5))), longest, Scratch(scratch.spark, "phrases-sample"))
     return closed_counts(docs.select("lang", "text"), min_count, longest, scratch, proposed)[0]
 
 

@@ -10,7 +10,7 @@ import pytest
 
 from lectern.llm import phrase_mining
 from lectern.llm.common import Scratch
-from lectern.llm.phrase_mining import Filter, _Counter
+from lectern.llm.phrase_mining import Filter, Known, _Counter
 
 UPPER = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 
@@ -67,21 +67,22 @@ def test_against_windows(spark, seed, sample):
 
 
 def test_passes(spark):
-    """From an empty filter each pass reaches one word further, and all counts come out exact, once."""
+    """From nothing known three passes reach every length; all counts come out exact, once."""
     rows = [("en", "alpha beta gamma delta epsilon zeta")] * 7
     docs = spark.createDataFrame(rows, "lang string, text string")
-    counts, known, passes = phrase_mining.closed_counts(docs, 7, 5, Scratch(spark, "test-passes"), Filter())
+    counts, passes = phrase_mining.closed_counts(docs, 7, 5, Scratch(spark, "test-passes"))
     got = {(r["m"], r["phrase"]): r["f"] for r in counts.collect()}
-    assert passes == 5 and len(got) == counts.count() == 1 + 6 + 5 + 4 + 3 + 2 and set(got.values()) == {7, 42}
-    # with what is known now, one pass is enough
-    again, _, passes = phrase_mining.closed_counts(docs, 7, 5, Scratch(spark, "test-passes"), known)
+    assert passes == 3 and len(got) == counts.count() == 1 + 6 + 5 + 4 + 3 + 2 and set(got.values()) == {7, 42}
+    # with all of them proposed, one pass is enough
+    proposed = phrase_mining.propose(docs, 7, 5, Scratch(spark, "test-passes"))
+    again, passes = phrase_mining.closed_counts(docs, 7, 5, Scratch(spark, "test-passes"), proposed)
     assert passes == 1 and {(r["m"], r["phrase"]): r["f"] for r in again.collect()} == got
 
 
 def test_slices(monkeypatch):
     """A text longer than a slice is counted whole, windows across the seams once."""
     monkeypatch.setattr(phrase_mining, "SLICE", 40)
-    full = Filter(np.full(phrase_mining.FILTER_BITS >> 6, ~np.uint64(0)))
+    full = Known([np.full(16, ~np.uint64(0))], 1)
     text = corpus(9, 30)
     counter = _Counter("en", full, None, 5)
     for _, t in text:
@@ -89,10 +90,41 @@ def test_slices(monkeypatch):
     got = Counter()
     for batch in counter.counts():
         for r in batch.to_pylist():
-            got[("en", r["phrase"])] += r["f"]
+            got[tuple(r["key"].split("\n"))] += r["f"]
     assert got == windows([("en", t) for _, t in text])[0]
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_each_phrase_in_one_pass(seed, monkeypatch):
+    """Whatever the filters hold, the passes count disjoint sets of phrases, each with its whole count."""
+    rng = random.Random(seed)
+    rows = [("en", t) for _, t in corpus(20 + seed, 40)]
+    want = windows(rows)[0]
+    phrases = [p for _, p in want]
+    made = [np.zeros(64, dtype=np.uint64) for _ in range(4)]
+    for k, words in enumerate(made):
+        for phrase in rng.sample(phrases, 25) + (list({w for p in phrases for w in p.split(" ")}) if not k else []):
+            first, *rest = phrase_mining._word_hash("en", phrase.encode().split(b" "))
+            h = np.array([first])
+            for w in rest:
+                h = phrase_mining._chain(h, np.array([w]))
+            for at in Filter.positions(h, 64 * 64):
+                words[int(at[0]) >> 6] |= np.uint64(1) << (at[0] & np.uint64(63))
+    monkeypatch.setattr(phrase_mining, "SLICE", 400)
+    seen = {}
+    for t in range(1, 5):
+        now, old = Known(made[:t], 1), None if t == 1 else Known(made[:t - 1], 1)
+        got, counter = Counter(), _Counter("en", now, old, 5)
+        for _, text in rows:
+            counter.add((text or "").encode())
+        for batch in counter.counts():
+            for r in batch.to_pylist():
+                got[r["key"].split("\n")[1]] += r["f"]
+        assert all(want[("en", p)] == f for p, f in got.items()) and not set(got) & set(seen)
+        seen.update(got)
+    assert len(seen) > 100
+
+
 def test_exact_scores(spark):
     """Products beyond 64 bits; ties between cuts go to the shorter first part."""
     big = 3 * 10 ** 12 + 7
