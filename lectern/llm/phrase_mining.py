@@ -43,24 +43,24 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import Scratch, mix64, texts_of
+from lectern.operators.ordinal import ordinal
 
 LONGEST = 5
 MIN_COUNT = 100
 TOP = 2000
-#: One document of so many is in the sample; its threshold lies a deviation below the expected count.
-SAMPLE = 8
+#: One document of so many is in the sample; its threshold is the count expected there.
+SAMPLE = 16
 FILTER_BITS = 1 << 26
-SLICE = 6_000_000
+SLICE = 5_000_000
 
 #: What ends a piece, and what separates words besides the space.
 _ENDS, _TAB = b".,;:!?\n\x0b\x0c\r", b"\t"
 _TABLE = bytes.maketrans(_ENDS + _TAB, b"." * len(_ENDS) + b" ")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_SALTS = 64
 
 
 class Filter:
@@ -209,6 +209,7 @@ class _Counter:
             f = np.where(is_word, np.bincount(tokens[:own], minlength=len(words)), 0)
             seen = np.flatnonzero(f)
             yield self._batch([words.take(pa.array(seen))], f[seen])
+            yield self._batch([pa.array([""], pa.large_string())], f.sum(keepdims=True))
         else:
             place = self._near(tokens, hashes)
             if not len(place):
@@ -226,6 +227,7 @@ class _Counter:
             new = countable[where] if counted is None else countable[where] & ~counted[where]
             out = np.flatnonzero((f > 0) & new)
             if len(out):
+                out = out[np.argsort(tokens[where[out]], kind="stable")]  # rows alike lie together and compress
                 yield self._batch([words.take(pa.array(tokens[where[out] + j])) for j in range(m)], f[out])
             if old is not None:
                 old.lengthen(counted, at, numbers, h)
@@ -265,9 +267,18 @@ class _Counter:
         return pa.RecordBatch.from_pydict({"key": key.cast(pa.string()), "f": pa.array(f.astype(np.int64))})
 
 
+def _rows(batches: Iterator[pa.RecordBatch], at_once: int = 256) -> Iterator[tuple[str, bytes | None]]:
+    """(lang, text) of every row, a few rows of a batch at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, at_once):
+            part = batch.slice(start, at_once)
+            yield from zip(part.column("lang").to_pylist(), texts_of(part.column("text")))
+
+
 def count_pass(docs: DataFrame, known: Known, before: Known | None, longest: int) -> DataFrame:
     """(lang, m, phrase, f): exact counts over ``docs`` (lang, text) of what ``known`` makes countable:
-    of all words and phrases if ``before`` is None, else of the phrases that ``before`` did not."""
+    of all words (m = 0: of any word) and phrases if ``before`` is None, else of the phrases that
+    ``before`` did not."""
     now, old = (known.filters, known.proposed), None if before is None else (before.filters, before.proposed)
 
     def run(batches):
@@ -280,23 +291,22 @@ def count_pass(docs: DataFrame, known: Known, before: Known | None, longest: int
             held.clear()
 
         size = 0
-        for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), texts_of(batch.column("text"))):
-                if not text:
-                    continue
-                if lang not in held:
-                    held[lang] = _Counter(lang, known, before, longest)
-                held[lang].add(text)
-                size += len(text)
-                if size >= SLICE:
-                    yield from flush()
-                    size = 0
+        for lang, text in _rows(batches):
+            if not text:
+                continue
+            if lang not in held:
+                held[lang] = _Counter(lang, known, before, longest)
+            held[lang].add(text)
+            size += len(text)
+            if size >= SLICE:
+                yield from flush()
+                size = 0
         yield from flush()
 
     # one string as the key: no phrase holds a line feed
     sums = docs.mapInArrow(run, "key string, f long").groupBy("key").agg(F.sum("f").alias("f"))
     phrase = F.substring_index("key", "\n", -1)
-    m = (F.length(phrase) - F.length(F.replace(phrase, F.lit(" "), F.lit(""))) + 1).cast("int")
+    m = F.when(phrase == "", 0).otherwise(F.length(phrase) - F.length(F.replace(phrase, F.lit(" "), F.lit(""))) + 1).cast("int")
     return sums.select(F.expr("left(key, length(key) - length(substring_index(key, '\n', -1)) - 1)").alias("lang"), m.alias("m"), phrase.alias("phrase"), "f")
 
 
@@ -343,22 +353,16 @@ def closed_counts(docs: DataFrame, min_count: int, longest: int, scratch: Scratc
     known, before, tables = Known([] if proposed is None else [proposed], 0 if proposed is None else 1), None, []
     while True:
         f = count_pass(docs, known, before, longest)
-        if before is None:  # the words of all counts: their total, besides the frequent ones
-            f = scratch("counted0", f.where((F.col("f") >= min_count) | (F.col("m") == 1)))
-            total = f.where(F.col("m") == 1).groupBy("lang").agg(F.sum("f").alias("f"))
-            tables.append(total.select("lang", F.lit(0).alias("m"), F.lit("").alias("phrase"), "f"))
-            f = f.where(F.col("f") >= min_count)
-        else:
-            f = scratch(f"counted{len(tables)}", f.where(F.col("f") >= min_count))
+        f = scratch(f"counted{len(tables)}", f.where((F.col("f") >= min_count) | (F.col("m") == 0)))
         tables.append(f)
-        failed = _filter_of(scratch(f"failed{len(tables)}", _unknown(f.where(F.col("m") < longest), known)))
+        failed = _filter_of(scratch(f"failed{len(tables)}", _unknown(f.where((F.col("m") > 0) & (F.col("m") < longest)), known)))
         if failed is None:
             break
         before, known = known, Known(known.filters + [failed], known.proposed)
     counts = tables[0]
     for t in tables[1:]:
         counts = counts.unionByName(t)
-    return counts, len(tables) - 1
+    return counts, len(tables)
 
 
 def propose(docs: DataFrame, min_count: int, longest: int, scratch: Scratch) -> np.ndarray | None:
@@ -373,8 +377,7 @@ def frequent_phrases(docs: DataFrame, *, min_count: int = MIN_COUNT, longest: in
     spread = F.xxhash64(*([F.col("doc_id").cast("string")] if "doc_id" in docs.columns else []), F.col("text").cast("string"), F.lit("sample"))
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string"), spread.alias("spread"))
     some = scratch("sample", docs.where(F.pmod("spread", F.lit(sample)) == 0).select("lang", "text"))
-    expected = min_count / sample
-    proposed = propose(some, max(2, int(np.ceil(expected - expected ** 0.5))), longest, Scratch(scratch.spark, "phrases-sample"))
+    proposed = propose(some, max(2, -(-min_count // sample)), longest, Scratch(scratch.spark, "phrases-sample"))
     return closed_counts(docs.select("lang", "text"), min_count, longest, scratch, proposed)[0]
 
 
@@ -403,12 +406,9 @@ def collocations(counts: DataFrame, *, longest: int = LONGEST, top: int = TOP, s
     scored = scored.join(total, ["lang", "salt"]).withColumn("above", (exact("a") * exact("n") * F.lit(1000).cast("decimal(4,0)")).cast("decimal(38,0)"))
     scored = scored.withColumn("score", F.expr("above div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))").cast("long"))
     weakest = scored.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "l", "r", "n", "a")).alias("c")).select("lang", "phrase", "c.*")
-    # the best of each salt first, so that no task ranks a whole language
-    order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    salt = F.pmod(F.xxhash64("phrase"), F.lit(_SALTS))
-    some = weakest.withColumn("salt", salt).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
-    best = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
-    return best.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    # ranked over range partitions, so that no task holds a whole language
+    ranked = ordinal(weakest.withColumn("below", -F.col("score")).withColumn("fewer", -F.col("a")).drop("k"), ["lang"], ["below", "fewer", "phrase"], "place")
+    return ranked.where(F.col("place") < top).select("lang", (F.col("place") + 1).alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 def oracle_sql(min_count: int = MIN_COUNT, longest: int = LONGEST, top: int = TOP) -> str:
