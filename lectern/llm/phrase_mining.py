@@ -11,9 +11,14 @@ A pass counts a phrase if both its parts without an end word are known. To spare
 brings its longer phrases along: one that contains a failure and whose pairs of words are all known
 counts as known itself, frequent or not. What an earlier pass counted is left out, so a phrase is
 counted in exactly one pass. Words fail after the first pass, their pairs after the second, and with
-them come all longer phrases: there are at most three passes. An expansion pass looks only at the
+them come all longer phrases: there are at most four passes, three as a rule. An expansion pass looks only at the
 words around the newest failures: nothing else can be new.
 
+The first full pass, whose border is by far the largest, goes by 64-bit hashes: their counts bound the
+phrases' from above, so all but the phrases of frequent hashes are out, and hashes not proposed that
+reach the threshold are the failures. The second pass counts the phrases of frequent hashes by their
+text, exactly, together with what the failures add.
+
 The known phrases travel as Bloom filters, one for each pass that had failures, of 32 bits a phrase up
 to ``FILTER_BITS`` (8 MB, whatever the corpus); a false positive adds a phrase to what is counted and
 changes no count, since every pass and the search for failures go by the same filters. The sample is
@@ -36,7 +41,7 @@ besides text and lang (doc_id, if there, spreads the sample) are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -55,7 +60,7 @@ TOP = 2000
 #: One document of so many is in the sample; its threshold is the count expected there.
 SAMPLE = 16
 FILTER_BITS = 1 << 26
-SLICE = 5_000_000
+SLICE = 3_000_000
 
 #: What ends a piece, and what separates words besides the space.
 _ENDS, _TAB = b".,;:!?\n\x0b\x0c\r", b"\t"
@@ -176,8 +181,8 @@ class _Status:
 class _Counter:
     """Counts the phrases of one language in slices of text."""
 
-    def __init__(self, lang: str, known: Known, before: Known | None, longest: int):
-        self.lang, self.known, self.before, self.longest = lang, known, before, longest
+    def __init__(self, lang: str, known: Known, before: Known | None, longest: int, heavy: Filter | None = None, by_hash: bool = False):
+        self.lang, self.known, self.before, self.longest, self.heavy, self.by_hash = lang, known, before, longest, heavy, by_hash
         self.parts: list[bytes] = []
 
     def add(self, text: bytes) -> None:
@@ -196,7 +201,8 @@ class _Counter:
         return tokens, is_word, _word_hash(self.lang, words.cast(pa.large_binary()).to_pylist()), words
 
     def counts(self) -> Iterator[pa.RecordBatch]:
-        """Batches of (key, f), each phrase once for each part of the slice."""
+        """Batches of (key, f), each phrase once for each part of the slice. The key is language and
+        phrase, or (``by_hash``) the phrase's hash."""
         tokens, is_word, hashes, words = self._coded()
         step = max(1, SLICE // 4)  # words; a text that is longer than a slice is counted in several
         for start in range(0, len(tokens), step):
@@ -205,11 +211,12 @@ class _Counter:
     def _part(self, tokens: np.ndarray, own: int, is_word: np.ndarray, hashes: np.ndarray, words: pa.Array) -> Iterator[pa.RecordBatch]:
         """Phrases that begin at one of the first ``own`` tokens."""
         place = None
-        if self.before is None:
+        if self.before is None or self.heavy is not None:
             f = np.where(is_word, np.bincount(tokens[:own], minlength=len(words)), 0)
-            seen = np.flatnonzero(f)
-            yield self._batch([words.take(pa.array(seen))], f[seen])
-            yield self._batch([pa.array([""], pa.large_string())], f.sum(keepdims=True))
+            seen = np.flatnonzero((f > 0) & self._heavy(hashes))
+            yield self._batch(lambda: [words.take(pa.array(seen))], hashes[seen], f[seen])
+            if not self.by_hash:
+                yield self._batch(lambda: [pa.array([""], pa.large_string())], hashes[:0], f.sum(keepdims=True))
         else:
             place = self._near(tokens, hashes)
             if not len(place):
@@ -221,17 +228,20 @@ class _Counter:
         now = _Status(self.known, is_word, hashes, tokens)
         old = _Status(self.before, is_word, hashes, tokens) if self.before is not None else None
         for m, at, numbers, where, countable, h in _walk(tokens, hashes, self.longest, now):
-            counted = old.countable() if old is not None else None
+            counted = old.countable() if old is not None else np.zeros(len(countable), dtype=bool)
             mine = at < own if place is None else place[at] < own
             f = np.bincount(numbers[mine], minlength=len(where))
-            new = countable[where] if counted is None else countable[where] & ~counted[where]
-            out = np.flatnonzero((f > 0) & new)
+            due = countable[where] & (~counted[where] if self.heavy is None else ~counted[where] | self._heavy(h))
+            out = np.flatnonzero((f > 0) & due)
             if len(out):
                 out = out[np.argsort(tokens[where[out]], kind="stable")]  # rows alike lie together and compress
-                yield self._batch([words.take(pa.array(tokens[where[out] + j])) for j in range(m)], f[out])
+                yield self._batch(lambda: [words.take(pa.array(tokens[where[out] + j])) for j in range(m)], h[out], f[out])
             if old is not None:
                 old.lengthen(counted, at, numbers, h)
 
+    def _heavy(self, h: np.ndarray) -> np.ndarray:
+        return np.ones(len(h), dtype=bool) if self.heavy is None else self.heavy.has(h)
+
     def unknown(self, lengths: list[int]) -> np.ndarray:
         """The hashes of the texts added, phrases of these numbers of words, that are not known."""
         tokens, is_word, hashes, _ = self._coded()
@@ -260,9 +270,12 @@ class _Counter:
             near[:-shift] |= hit[shift:]
         return np.flatnonzero(near)
 
-    def _batch(self, words: list[pa.Array], f: np.ndarray) -> pa.RecordBatch:
+    def _batch(self, words: Callable[[], list[pa.Array]], h: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+        if self.by_hash:
+            return pa.RecordBatch.from_pydict({"key": h.view(np.int64), "f": f.astype(np.int64)})
         lang, space, line = (pa.scalar(x, pa.large_string()) for x in (self.lang, " ", "\n"))
-        phrase = pc.binary_join_element_wise(*words, space) if len(words) > 1 else words[0]
+        columns = words()
+        phrase = pc.binary_join_element_wise(*columns, space) if len(columns) > 1 else columns[0]
         key = pc.binary_join_element_wise(lang, phrase, line)
         return pa.RecordBatch.from_pydict({"key": key.cast(pa.string()), "f": pa.array(f.astype(np.int64))})
 
@@ -275,14 +288,12 @@ def _rows(batches: Iterator[pa.RecordBatch], at_once: int = 256) -> Iterator[tup
             yield from zip(part.column("lang").to_pylist(), texts_of(part.column("text")))
 
 
-def count_pass(docs: DataFrame, known: Known, before: Known | None, longest: int) -> DataFrame:
-    """(lang, m, phrase, f): exact counts over ``docs`` (lang, text) of what ``known`` makes countable:
-    of all words (m = 0: of any word) and phrases if ``before`` is None, else of the phrases that
-    ``before`` did not."""
+def _sums(docs: DataFrame, known: Known, before: Known | None, longest: int, heavy: np.ndarray | None, by_hash: bool) -> DataFrame:
+    """(key, f) over ``docs`` (lang, text)."""
     now, old = (known.filters, known.proposed), None if before is None else (before.filters, before.proposed)
 
     def run(batches):
-        known, before = Known(*now), None if old is None else Known(*old)
+        known, before, weighty = Known(*now), None if old is None else Known(*old), None if heavy is None else Filter(heavy)
         held: dict[str, _Counter] = {}
 
         def flush():
@@ -295,7 +306,7 @@ def count_pass(docs: DataFrame, known: Known, before: Known | None, longest: int
             if not text:
                 continue
             if lang not in held:
-                held[lang] = _Counter(lang, known, before, longest)
+                held[lang] = _Counter(lang, known, before, longest, weighty, by_hash)
             held[lang].add(text)
             size += len(text)
             if size >= SLICE:
@@ -303,9 +314,20 @@ def count_pass(docs: DataFrame, known: Known, before: Known | None, longest: int
                 size = 0
         yield from flush()
 
-    # one string as the key: no phrase holds a line feed
-    sums = docs.mapInArrow(run, "key string, f long").groupBy("key").agg(F.sum("f").alias("f"))
-    phrase = F.substring_index("key", "\n", -1)
+    return docs.mapInArrow(run, f"key {'long' if by_hash else 'string'}, f long").groupBy("key").agg(F.sum("f").alias("f"))
+
+
+def hash_pass(docs: DataFrame, known: Known, longest: int) -> DataFrame:
+    """(h, f): how often phrases of each hash occur, of all words and of the phrases that ``known`` makes countable."""
+    return _sums(docs, known, None, longest, None, True).withColumnRenamed("key", "h")
+
+
+def count_pass(docs: DataFrame, known: Known, before: Known | None, longest: int, heavy: np.ndarray | None = None) -> DataFrame:
+    """(lang, m, phrase, f): exact counts of what ``known`` makes countable: of all words (m = 0: of
+    any word) and phrases if ``before`` is None, else of the phrases that ``before`` did not; those
+    in the filter ``heavy`` besides."""
+    sums = _sums(docs, known, before, longest, heavy, False)
+    phrase = F.substring_index("key", "\n", -1)  # no phrase holds a line feed
     m = F.when(phrase == "", 0).otherwise(F.length(phrase) - F.length(F.replace(phrase, F.lit(" "), F.lit(""))) + 1).cast("int")
     return sums.select(F.expr("left(key, length(key) - length(substring_index(key, '\n', -1)) - 1)").alias("lang"), m.alias("m"), phrase.alias("phrase"), "f")
 
@@ -347,22 +369,39 @@ def _filter_of(hashes: DataFrame) -> np.ndarray | None:
     return words
 
 
-def closed_counts(docs: DataFrame, min_count: int, longest: int, scratch: Scratch, proposed: np.ndarray | None = None) -> tuple[DataFrame, int]:
+def _not_in(hashes: DataFrame, proposed: np.ndarray | None) -> DataFrame:
+    """Those of the hashes (h) that the filter does not hold."""
+    def run(batches):
+        for batch in batches:
+            h = batch.column("h").to_numpy().view(np.uint64)
+            yield pa.RecordBatch.from_pydict({"h": (h if proposed is None else h[~Filter(proposed).has(h)]).view(np.int64)})
+
+    return hashes.select("h").mapInArrow(run, "h long")
+
+
+def closed_counts(docs: DataFrame, min_count: int, longest: int, scratch: Scratch, proposed: np.ndarray | None = None, *, by_hash: bool = False) -> tuple[DataFrame, int]:
     """Passes over ``docs`` until no border phrase fails: (lang, m, phrase, f) of every phrase with
-    f >= ``min_count`` and, as m = 0, the number of words of each language; and the number of passes."""
-    known, before, tables = Known([] if proposed is None else [proposed], 0 if proposed is None else 1), None, []
+    f >= ``min_count`` and, as m = 0, the number of words of each language; and the number of passes.
+    ``by_hash``: the first pass counts hashes."""
+    known, before, heavy, tables, passes = Known([] if proposed is None else [proposed], 0 if proposed is None else 1), None, None, [], 1
+    if by_hash:
+        hashes = scratch("hashes", hash_pass(docs, known, longest).where(F.col("f") >= min_count))
+        heavy = _filter_of(hashes)
+        failed = _filter_of(scratch("failed0", _not_in(hashes, proposed)))
+        heavy = np.zeros(16, dtype=np.uint64) if heavy is None else heavy
+        before, known, passes = known, Known(known.filters + ([failed] if failed is not None else []), known.proposed), 2
     while True:
-        f = count_pass(docs, known, before, longest)
-        f = scratch(f"counted{len(tables)}", f.where((F.col("f") >= min_count) | (F.col("m") == 0)))
+        f = count_pass(docs, known, before, longest, heavy)
+        f = scratch(f"counted{passes}", f.where((F.col("f") >= min_count) | (F.col("m") == 0)))
         tables.append(f)
-        failed = _filter_of(scratch(f"failed{len(tables)}", _unknown(f.where((F.col("m") > 0) & (F.col("m") < longest)), known)))
+        failed = _filter_of(scratch(f"failed{passes}", _unknown(f.where((F.col("m") > 0) & (F.col("m") < longest)), known)))
         if failed is None:
             break
-        before, known = known, Known(known.filters + [failed], known.proposed)
+        before, known, heavy, passes = known, Known(known.filters + [failed], known.proposed), None, passes + 1
     counts = tables[0]
     for t in tables[1:]:
         counts = counts.unionByName(t)
-    return counts, len(tables)
+    return counts, passes
 
 
 def propose(docs: DataFrame, min_count: int, longest: int, scratch: Scratch) -> np.ndarray | None:
@@ -378,7 +417,7 @@ def frequent_phrases(docs: DataFrame, *, min_count: int = MIN_COUNT, longest: in
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string"), spread.alias("spread"))
     some = scratch("sample", docs.where(F.pmod("spread", F.lit(sample)) == 0).select("lang", "text"))
     proposed = propose(some, max(2, -(-min_count // sample)), longest, Scratch(scratch.spark, "phrases-sample"))
-    return closed_counts(docs.select("lang", "text"), min_count, longest, scratch, proposed)[0]
+    return closed_counts(docs.select("lang", "text"), min_count, longest, scratch, proposed, by_hash=True)[0]
 
 
 def collocations(counts: DataFrame, *, longest: int = LONGEST, top: int = TOP, scratch: Scratch | None = None) -> DataFrame:

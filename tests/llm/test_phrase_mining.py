@@ -73,6 +73,9 @@ def test_passes(spark):
     counts, passes = phrase_mining.closed_counts(docs, 7, 5, Scratch(spark, "test-passes"))
     got = {(r["m"], r["phrase"]): r["f"] for r in counts.collect()}
     assert passes == 3 and len(got) == counts.count() == 1 + 6 + 5 + 4 + 3 + 2 and set(got.values()) == {7, 42}
+    # by hashes first: words fail, then pairs of words
+    hashed, passes = phrase_mining.closed_counts(docs, 7, 5, Scratch(spark, "test-passes"), by_hash=True)
+    assert passes == 3 and {(r["m"], r["phrase"]): r["f"] for r in hashed.collect()} == got
     # with all of them proposed, one pass is enough
     proposed = phrase_mining.propose(docs, 7, 5, Scratch(spark, "test-passes"))
     again, passes = phrase_mining.closed_counts(docs, 7, 5, Scratch(spark, "test-passes"), proposed)
