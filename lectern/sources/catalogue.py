@@ -19,6 +19,7 @@ Mapping (one course tree per region):
 * repl files lineitem ``<nn>_b.repl/src/main.<ext>`` and ``<nn>_b.repl/test/test_main.<ext>``
 * code       lineitem string-form problems on even lines answer ``=#!exl::repl('<nn>_b.prob.repl.yaml')``;
                       that file and ``<nn>_b.prob.repl/src/solution.py`` exist except on line 6
+* files      documents also as real files, with binary, ignored and undecodable ones (``document_tree``)
 * commits    lineitem two per block file unless quantity > 45; one per repl source file;
                       one per vertical index file
 """
@@ -330,6 +331,54 @@ def file_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.filter(F.col("e").isNotNull()).select(F.lit("docs").alias("ws"), F.col("doc_id").alias("seq"), "e.*")
 
 
+def document_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Course trees for real files, as ``(course_id, path, content)`` with bytes: one course per
+    source, ``<lang>`` chapter, doc_id % 4 sequential, doc_id % 16 vertical, a ``.md`` block per document.
+    Toxic documents begin with a byte that UTF-8 never has; documents of quality 0 have a picture
+    below ``assets``, every tenth an object below ``.git`` and a draft (none of which is to be read),
+    every fiftieth a ``__init__.py`` in a repl folder, document 3 and every 97th after it a file in a folder
+    below a level that is none (VAL-3). Courses whose name ends in 7 have no index (VAL-1), ``src3``'s is not text."""
+    d = table(spark, sf_dir, "documents").join(
+        table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id", "left")
+    i = F.col("doc_id")
+    chapter, id_ = F.concat(F.lit("1_"), F.col("lang")), _s("doc_id")
+    seq = F.concat_ws("/", chapter, F.concat((i % 4).cast("string"), F.lit("_part")))
+    vert = F.concat_ws("/", seq, F.concat((i % 16).cast("string"), F.lit("_card")))
+    text, bad, noise = F.col("text").cast("binary"), F.unhex(F.lit("FF")), F.unhex(F.lit("89504E470D0A1A0AFFFE"))
+    file = lambda when, path, content: F.when(when, F.struct(path.alias("path"), content.alias("content")))
+    files = F.array(
+        file(F.lit(True), F.concat(vert, F.lit("/"), id_, F.lit("_doc.md")), F.when(F.coalesce("toxic", F.lit(0)) == 1, F.concat(bad, text)).otherwise(text)),
+        file(F.coalesce("quality", F.lit(1)) == 0, F.concat(chapter, F.lit("/assets/"), id_, F.lit(".png")), noise),
+        file(i % 10 == 0, F.concat(F.lit(".git/objects/"), id_), noise),
+        file(i % 10 == 0, F.concat(seq, F.lit("/drafts/"), id_, F.lit("_x/"), id_, F.lit(".md")), text),
+        file(i % 50 == 0, F.concat(vert, F.lit("/"), id_, F.lit("_doc.repl/src/__init__.py")), F.concat(F.lit("n = "), id_).cast("binary")),
+        file(i % 97 == 3, F.concat(seq, F.lit("/"), id_, F.lit("_x.repl/inner/"), id_, F.lit(".md")), text))
+    rows = d.select(F.col("source").alias("course_id"), F.explode(F.filter(files, lambda f: f.isNotNull())).alias("f")).select("course_id", "f.*")
+    index = d.select("source").distinct().where(~F.col("source").endswith("7")).select(
+        F.col("source").alias("course_id"), F.lit("index.yaml").alias("path"),
+        F.when(F.col("source") == "src3", F.concat(bad, F.lit("x").cast("binary")))
+        .otherwise(F.concat(F.lit("url_name: "), "source", F.lit("\ndisplay_name: "), "source", F.lit("\n")).cast("binary")).alias("content"))
+    return rows.unionByName(index)
+
+
+_TREES: dict[tuple[int, str], str] = {}
+
+
+def stored_document_tree(spark: SparkSession, sf_dir: str) -> str:
+    """The folder below which the document tree lies as real files (written once a session)."""
+    import hashlib
+    import os
+
+    from lectern.session import run_dir
+    from lectern.sinks.export import write_files
+
+    root = f"{run_dir(spark)}/lectern-tree/{hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:12]}"
+    if (id(spark), root) not in _TREES:
+        write_files(document_tree(spark, sf_dir), root)
+        _TREES[(id(spark), root)] = root
+    return root
+
+
 # --------------------------------------------------------------------------------------
 # materialisation: the stand-in is written once per session as parquet below the shared
 # checkpoint folder, so every query scans a stored catalogue (as a deployment would)

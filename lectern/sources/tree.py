@@ -1,19 +1,27 @@
 """SRC-1 / SRC-2: course trees as a ``files`` table and their YAML index files.
 
 ``files`` has one row per file: ``course_id, path, content`` where ``path`` is relative
-to the course root (``01_Ch/02_Sec/03_Card/00_text.md``). It can come from a
-``binaryFile`` scan of course folders or from any table with those columns.
+to the course root (``01_Ch/02_Sec/03_Card/00_text.md``). It can come from a scan of course
+folders (``scan_tree``, which adds ``length`` and ``error``) or from any table with those columns.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.operators.prefix import running_total
+
+#: Bytes of content that a reading task passes on at a time.
+READ_BATCH = 16 << 20
+MSG_NOT_TEXT = "not UTF-8 text"
+
 # Index file names in order of preference.
 INDEX_NAMES = ["index.yaml", "index.yml"]
 
@@ -102,38 +110,114 @@ def with_path_parts(files: DataFrame) -> DataFrame:
             .withColumn("folder", F.array_join(F.slice("parts", 1, F.greatest(F.col("depth"), F.lit(0))), "/")))
 
 
-def scan_tree(spark: SparkSession, root: str, course_id_from: str = "folder") -> DataFrame:
-    """SRC-1: every file below ``root/<course>/…`` as ``(course_id, path, content)``.
+def file_system(root: str):
+    """The Arrow file system of ``root`` and the root's path there. Local and mounted folders,
+    ``file:``, ``hdfs://``, ``s3://`` and ``gs://``: executors list and read through it themselves."""
+    from pyarrow import fs
+    if root.startswith("file:/") and not root.startswith("file://"):
+        root = "file://" + root[len("file:"):]
+    system, path = fs.FileSystem.from_uri(root)
+    return system, path.rstrip("/")
+
+
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """The files below ``root/<course>/…`` as ``(course_id, path, length, error)``; no content is read.
 
-    The first folder below ``root`` is the course id. ``content`` is decoded as UTF-8.
+    Folders are listed level by level as a distributed frontier: every folder is one row, listed by
+    one task, so a course that holds most files spreads like any other. Ignored folders (at the
+    levels where they are ignored, and as a course) are dropped before they are listed: nothing
+    below them is seen. Files directly below the root belong to no course and are left out. A folder
+    that cannot be listed becomes a row with its ``error`` and no length.
     """
-    raw = (spark.read.format("binaryFile")
-           .option("recursiveFileLookup", "true")
-           .load(root))
-    # the root as its file system spells it, which is how the scan spells its paths
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    qualified = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toString().rstrip("/")
-    rel = F.substr(F.col("path"), F.lit(len(qualified) + 2))
-    return (raw.select(rel.alias("rel"), F.col("content"))
-            .select(F.substring_index("rel", "/", 1).alias("course_id"),
-                    F.expr("substr(rel, instr(rel, '/') + 1)").alias("path"),
-                    F.decode(F.col("content"), "UTF-8").alias("content")))
-
-
-def read_index(files: DataFrame) -> DataFrame:
-    """SRC-2: one index per folder: ``index.yaml`` wins over ``index.yml``.
-
-    Returns ``course_id, folder, index_file, doc (INDEX_SCHEMA), parse_error``. The
-    preference is a partial aggregate (``min_by``), so a folder with many index
-    candidates never needs a sort of its group.
+    from lectern.functions.paths import IGNORED_DIRS
+    from lectern.session import run_dir
+    base = f"{run_dir(spark)}/lectern-scan/{uuid.uuid4().hex}"
+    ignored = frozenset(IGNORED_DIRS)
+
+    def listed(batches):
+        from pyarrow import fs
+        system, top = file_system(root)
+        for batch in batches:
+            out = {"rel": [], "is_dir": [], "length": [], "error": []}
+            for rel in batch.column("rel").to_pylist():
+                try:
+                    found = system.get_file_info(fs.FileSelector(f"{top}/{rel}" if rel else top, recursive=False))
+                except OSError as exc:
+                    found = []
+                    for name, value in (("rel", rel), ("is_dir", False), ("length", None), ("error", f"unreadable folder: {type(exc).__name__}")):
+                        out[name].append(value)
+                level = rel.count("/") + 1 if rel else 0  # of what lies in the folder: 0 is a course
+                for info in found:
+                    is_dir = info.type == fs.FileType.Directory
+                    if (level == 0 and not is_dir) or (is_dir and level <= 3 and info.base_name in ignored):
+                        continue
+                    out["rel"].append(f"{rel}/{info.base_name}" if rel else info.base_name)
+                    out["is_dir"].append(is_dir)
+                    out["length"].append(None if is_dir else info.size)
+                    out["error"].append(None)
+            yield pa.RecordBatch.from_pydict({"rel": pa.array(out["rel"], pa.string()), "is_dir": pa.array(out["is_dir"], pa.bool_()),
+                                              "length": pa.array(out["length"], pa.int64()), "error": pa.array(out["error"], pa.string())})
+
+    schema = "rel string, is_dir boolean, length long, error string"
+    frontier, levels = spark.createDataFrame([("",)], "rel string"), []
+    while True:
+        path = f"{base}/level{len(levels)}"
+        frontier.repartition(F.col("rel")).mapInArrow(listed, schema).write.parquet(path)
+        levels.append(path)
+        found = spark.read.schema(schema).parquet(path)
+        frontier = found.where("is_dir").select("rel")
+        if frontier.isEmpty():
+            break
+    files = spark.read.schema(schema).parquet(*levels).where(~F.col("is_dir") & (F.col("rel") != ""))
+    return files.select(F.substring_index("rel", "/", 1).alias("course_id"),
+                        F.when(F.col("rel").contains("/"), F.expr("substr(rel, instr(rel, '/') + 1)")).otherwise("").alias("path"), "length", "error")
+
+
+def read_files(spark: SparkSession, root: str, listed: DataFrame, partition_bytes: int = 64 << 20) -> DataFrame:
+    """``listed`` files with their text: ``(course_id, path, length, content, error)``.
+
+    The listing is cut into runs of about ``partition_bytes`` along the path order (a two-level
+    prefix sum of the lengths), one task each; a file larger than that is a run of its own. A file
+    that cannot be read or is not UTF-8 has no content and says why in ``error``.
     """
-    f = with_path_parts(files) if "name" not in files.columns else files
-    pref = F.when(F.col("name") == INDEX_NAMES[0], 0).otherwise(1)
-    chosen = (f.filter(F.col("name").isin(*INDEX_NAMES))
-              .groupBy("course_id", "folder")
-              .agg(F.min_by(F.struct(F.col("name"), F.col("content")), pref).alias("ix")))
-    parsed = parse_yaml(F.col("ix.content"), INDEX_SCHEMA)
-    return (chosen.select("course_id", "folder", F.col("ix.name").alias("index_file"),
-                          parsed.alias("p"))
-            .select("course_id", "folder", "index_file", F.col("p.doc").alias("doc"),
-                    F.col("p.error").alias("parse_error")))
+    planned = running_total(listed, ["course_id", "path"], "length").withColumn("run", F.floor(F.col("start") / partition_bytes))
+    runs = (planned.agg(F.max("run")).first()[0] or 0) + 1
+
+    def read(batches):
+        system, top = file_system(root)
+        for batch in batches:
+            rows, held = [], 0
+            for course, path, length, error in zip(*(batch.column(c).to_pylist() for c in ("course_id", "path", "length", "error"))):
+                content = None
+                if error is None:
+                    try:
+                        with system.open_input_stream(f"{top}/{course}/{path}") as stream:
+                            content = stream.read()
+                        content.decode()
+                    except UnicodeDecodeError as exc:
+                        content, error = None, f"{MSG_NOT_TEXT} at byte {exc.start}"
+                    except OSError as exc:
+                        content, error = None, f"unreadable file: {type(exc).__name__}"
+                rows.append((course, path, length, content, error))
+                held += len(content or b"")
+                if held >= READ_BATCH:
+                    yield _file_batch(rows)
+                    rows, held = [], 0
+            yield _file_batch(rows)
+
+    dealt = planned.repartitionByRange(runs, "run") if runs > 1 else planned.coalesce(1)
+    return dealt.select("course_id", "path", "length", "error").mapInArrow(read, "course_id string, path string, length long, content string, error string")
+
+
+def _file_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()]
+    columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+    columns[3] = columns[3].cast(pa.string())
+    return pa.RecordBatch.from_arrays(columns, names=["course_id", "path", "length", "content", "error"])
+
+
+def scan_tree(spark: SparkSession, root: str, partition_bytes: int = 64 << 20) -> DataFrame:
+    """SRC-1: every file below ``root/<course>/…`` that is not ignored, as ``(course_id, path,
+    length, content, error)``: listed first (``list_tree``), then read in runs of equal bytes
+    (``read_files``). The first folder below ``root`` is the course id."""
+    return read_files(spark, root, list_tree(spark, root), partition_bytes)
