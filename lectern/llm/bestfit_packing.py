@@ -154,7 +154,7 @@ class OpenBins:
             f = length + (fits & -fits).bit_length() - 1
             number = self._take(f)
         else:
-            if self.open == self.limit:  # the fullest closes
+            if self.open == self.limit and length < self.capacity:  # one more stays open: the fullest closes
                 self._take((self.free & -self.free).bit_length() - 1)
             f, number = self.capacity, self.made
             self.made += 1
@@ -192,4 +192,6 @@ def pack(rows: DataFrame, *, capacity: int = CAPACITY, open_bins: int = OPEN_BIN
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, end_id: int = END_ID, scratch: Scratch | None = None) -> DataFrame:
     scratch = scratch or Scratch(docs.sparkSession, "packing")
-    return pack(scratch("pieces", pieces(docs, tokenizer_path, capacity=capacity, end_id=end_id)), capacity=capacity)
+    # numbered where they are staged, so that pieces alike in everything spread over the tasks
+    staged = scratch("pieces", pieces(docs, tokenizer_path, capacity=capacity, end_id=end_id).withColumn("row", F.monotonically_increasing_id()))
+    return pack(staged, capacity=capacity).drop("row")

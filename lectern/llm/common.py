@@ -41,6 +41,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def own_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def texts_of(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of each row of an Arrow string column (null: None)."""
     return column.cast(pa.large_binary()).to_pylist()

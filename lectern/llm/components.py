@@ -6,6 +6,8 @@ which cuts the lineage; the number of rounds is logarithmic in the number of ver
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,19 +31,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return links.where("a > b").distinct()
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``edges`` has long columns a, b. Returns (v, root): each vertex of a link and the least
-    vertex of its component. Loops and repeated or two-way edges are fine."""
+    vertex of its component. Loops and repeated or two-way edges are fine. Rounds go on for as long
+    as one changes the edges; every change lowers a vertex's least neighbour, so they end."""
     now = scratch("edges0", edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = _sign(now)
-    for k in range(1, max_rounds + 1):
+    for k in count(1):
         now = scratch(f"edges{k}", _star(_star(now, True), False))
         sign = _sign(now)
         if sign == seen:
             break
         seen = sign
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     # settled: every edge leads from a member to its root
     return now.select(F.col("a").alias("v"), F.col("b").alias("root")).union(now.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct())
 

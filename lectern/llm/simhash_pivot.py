@@ -33,8 +33,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Scratch, texts_of
+from lectern.llm.common import Scratch, own_name, texts_of
 from lectern.llm.components import connected_components
+from lectern.operators.changes import ROW_JSON
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -67,14 +68,18 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fingerprint (64 bits as a signed long), in one pass over the scan."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, mark: Column | None = None) -> DataFrame:
+    """doc_id and fingerprint (64 bits as a signed long), in one pass over the scan; with ``mark`` (a
+    string) as a third column, if given."""
+    names = ["doc_id", "fp"] + ["mark"] * (mark is not None)
+
     def run(batches):
         for batch in batches:
             fps = np.array([fingerprint(t, shingle) for t in texts_of(batch.column("text"))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64)), *batch.columns[2:]], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")] + ([mark.alias("mark")] if mark is not None else [])
+    return docs.select(*columns).mapInArrow(run, "doc_id long, fp long" + ", mark string" * (len(names) - 2))
 
 
 def pivots(count: int = PIVOTS) -> list[int]:
@@ -268,14 +273,19 @@ def near_links(table: DataFrame, scratch: Scratch, *, k: int = MAX_BITS, blocks:
     return links
 
 
+def _roots(prints: DataFrame, scratch: Scratch, k: int, limit: int) -> DataFrame:
+    """(v, root) of every fingerprint that has a link: the least fingerprint of its component."""
+    distinct = scratch("distinct", pivot_table(prints.select("fp").distinct()))
+    return connected_components(near_links(distinct, scratch, k=k, limit=limit), scratch)
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, k: int = MAX_BITS, limit: int = LIST_LIMIT,
                     scratch: Scratch | None = None) -> DataFrame:
     """doc_id, fp (signed long) and component_id (the least doc_id reachable over links of ``k`` or
     fewer differing bits) of every row of ``docs``."""
     scratch = scratch or Scratch(docs.sparkSession, "simhash")
     prints = scratch("fingerprints", fingerprints(docs, shingle))
-    distinct = scratch("distinct", pivot_table(prints.groupBy("fp").agg(F.min("doc_id").alias("first")).select("fp")))
-    roots = connected_components(near_links(distinct, scratch, k=k, limit=limit), scratch)
+    roots = _roots(prints, scratch, k, limit)
     # the least id of each fingerprint, then of each component; fingerprints without links stand alone
     firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     member = firsts.join(roots.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
@@ -290,11 +300,20 @@ def hex_of(fp: str) -> Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-def drop_near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, k: int = MAX_BITS, scratch: Scratch | None = None) -> DataFrame:
-    """``docs``, columns unchanged, with one row of each component: the one with the least id. Of
-    rows that repeat this id one stays. Rows without an id all stay: nothing can name them."""
+def drop_near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, k: int = MAX_BITS, limit: int = LIST_LIMIT,
+                         scratch: Scratch | None = None) -> DataFrame:
+    """``docs``, columns unchanged, with one row of each component: the one of the least id (rows
+    without an id come last), of equal ids the one whose row has the least hash. Components are those
+    of rows, so an id that names several texts can stay several times, and copies without an id go."""
     scratch = scratch or Scratch(docs.sparkSession, "simhash-drop")
-    named = near_duplicates(docs.where(F.col("doc_id").isNotNull()), shingle=shingle, k=k, scratch=scratch)
-    kept = scratch("kept", named.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct())
-    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.union(docs.where(F.col("doc_id").isNull())).select(docs.columns)
+    mark = F.sha2(F.to_json(F.struct(*docs.columns), ROW_JSON), 256)
+    prints = scratch("fingerprints", fingerprints(docs, shingle, mark))
+    # the first row of each fingerprint, then of each component
+    first = lambda order: F.min(order).alias("row")
+    firsts = scratch("firsts", prints.groupBy("fp").agg(first(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark"))))
+    rooted = firsts.join(_roots(prints, scratch, k, limit).withColumnRenamed("v", "fp"), "fp", "left")
+    kept = scratch("kept", rooted.groupBy(F.coalesce("root", "fp").alias("root")).agg(first(F.col("row"))).select("row.mark"))
+    name = own_name(docs, "mark")
+    # rows that are equal in all columns share a mark: one of them stays
+    marked = docs.withColumn(name, mark).join(kept.withColumnRenamed("mark", name), name, "left_semi")
+    return marked.dropDuplicates([name]).select(*docs.columns)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Scratch, WordScanner, covered, mix64, texts_of
+from lectern.llm.common import Scratch, WordScanner, covered, mix64, own_name, texts_of
 
 WINDOW = 50
 #: Perfect difference covers, by period.
@@ -261,14 +261,16 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, scratch: Scratch |
     by one space (``n_chars``, if there, follows); other rows stay as they are."""
     base, cut = removals(docs, window=window, scratch=scratch)
     copies = base.where(F.col("copy") & (F.col("n_words") >= window)).select("doc_id", "th", F.lit("").alias("kept"))
-    changed = cut.select("doc_id", "th", "kept").union(copies.distinct()).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("kept").alias("_kept"))
-    out = docs.join(changed, (docs["doc_id"].cast("long") == changed["_id"]) & (F.xxhash64(docs["text"].cast("string")) == changed["_th"]), "left")
+    # columns of their own beside whatever the documents have
+    id_, hash_, kept = (own_name(docs, name) for name in ("_id", "_th", "_kept"))
+    changed = cut.select("doc_id", "th", "kept").union(copies.distinct()).toDF(id_, hash_, kept)
+    out = docs.join(changed, (docs["doc_id"].cast("long") == changed[id_]) & (F.xxhash64(docs["text"].cast("string")) == changed[hash_]), "left")
     columns = []
     for c in docs.columns:
         if c == "text":
-            columns.append(F.coalesce("_kept", docs[c]).alias(c))
+            columns.append(F.coalesce(changed[kept], docs[c]).alias(c))
         elif c == "n_chars":
-            columns.append(F.when(F.col("_kept").isNotNull(), F.length("_kept").cast(docs.schema[c].dataType)).otherwise(docs[c]).alias(c))
+            columns.append(F.when(changed[kept].isNotNull(), F.length(changed[kept]).cast(docs.schema[c].dataType)).otherwise(docs[c]).alias(c))
         else:
             columns.append(docs[c])
     return out.select(*columns)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.llm import (bestfit_packing, bpe_lexicon, language_id, quality_fm, robust_rules, simhash_pivot, substring_cover, url_templates,
                          vector_sharding, vector_topk)
 
+CLASHES = ["_kept", "_id", "_th", "mark", "_mark", "row", "fp", "root"]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, fp long, size long, th long, route long, z0 long, shard int, length long, unit string"
 LONG = " ".join(f"word{i % 977} and{i % 13}" for i in range(60_000))
 
@@ -75,12 +76,22 @@ def test_stages_keep_columns(docs, empty):
         assert got.count() <= len(ROWS)
         assert stage(empty).count() == 0
     named = [r["doc_id"] for r in simhash_pivot.drop_near_duplicates(docs).collect()]
-    # 2, 3, 4 are wordless and link; 5 and 6 are copies; rows without an id all stay
-    assert sorted(x for x in named if x is not None) == [1, 2, 5, 7, 8, 9, 10, 11] and named.count(None) == 2
+    # 2, 3, 4 and the row without id and text are wordless and link; 5 and 6 are copies
+    assert sorted(x for x in named if x is not None) == [1, 2, 5, 7, 8, 9, 10, 11] and named.count(None) == 1
     known = {r["doc_id"] for r in language_id.keep_known(docs.where("doc_id is not null"), model).collect()}
     assert known == {1, 5, 6, 8, 9, 10, 11}
 
 
+def test_stages_with_clashing_columns(docs):
+    wide = docs.select("doc_id", "text", "n_chars", *[F.lit(i).alias(c) for i, c in enumerate(CLASHES)])
+    plain = docs.select("doc_id", "text", "n_chars")
+    for stage in (simhash_pivot.drop_near_duplicates, substring_cover.remove_repeats):
+        got = stage(wide)
+        assert got.columns == wide.columns and {tuple(r)[3:] for r in got.collect()} == {tuple(range(len(CLASHES)))}
+        rows = lambda d: sorted(((r["doc_id"], r["text"]) for r in d.collect()), key=str)
+        assert rows(got) == rows(stage(plain))
+
+
 def test_language_cases(docs, spark):
     got = {(r["doc_id"], r["text"]): r for r in language_id.predict(docs.select("doc_id", "text"), language_id.train(docs, F.lit(True))).collect()}
     for text in (None, "", "123 456 !!!"):

@@ -130,6 +130,31 @@ def test_simhash_query(spark):
     assert {i: r["component_id"] for i, r in got.items()} == _brute_components(prints)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_drop_keeps_one_row_a_component(spark, seed):
+    """Repeated ids with different texts, rows without an id, equal rows: each component of rows
+    keeps one row, of the least id, and nothing disappears that no kept row is linked to."""
+    rng = random.Random(seed)
+    base = [" ".join(f"w{rng.randrange(400)}" for _ in range(90)) for _ in range(6)] + ["", None, "a b"]
+    rows = []
+    for i in range(90):
+        words = (rng.choice(base) or "").split()
+        if len(words) > 3 and rng.random() < 0.5:
+            words[rng.randrange(len(words))] = f"w{rng.randrange(400)}"
+        rows.append((rng.choice([None, *range(12)]), " ".join(words) if rng.random() < 0.9 else None, rng.choice(["x", "y"])))
+    rows += rows[:10]
+    kept = [tuple(r) for r in simhash_pivot.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, fp string")).collect()]
+    root = _brute_components(dict(enumerate(_brute_print(t) for _, t, _ in rows)))
+    groups = {}
+    for i, row in enumerate(rows):
+        groups.setdefault(root[i], []).append(row)
+    assert len(kept) == len(groups)
+    for members in groups.values():
+        mine = [r for r in kept if r in members]
+        least = min((r[0] is None, r[0] or 0) for r in members)
+        assert any((r[0] is None, r[0] or 0) == least for r in mine)
+
+
 @pytest.mark.parametrize("limit", [4096, 8])
 def test_dense_fingerprints(spark, limit):
     """Clouds of fingerprints a few bits apart, also when lists are cut at a few members."""
@@ -336,6 +361,15 @@ def test_open_bins():
         load[b] = at + n
         assert bins.open <= 16 and load[b] <= 4096
     assert bins.made <= 1.03 * sum(lengths) / 4096
+    full = bestfit_packing.OpenBins(10, 2)
+    assert [full.put(n)[0] for n in (8, 7, 10, 3, 2)] == [0, 1, 2, 1, 0]  # the full bin closes no other
+
+
+def test_equal_pieces_spread(spark):
+    """Rows that are equal in all columns go to all tasks."""
+    rows = spark.createDataFrame([(None, 0, 0, 1, 5)] * 600, "doc_id long, piece long, start long, length long, ids_crc32 long").withColumn("row", F.monotonically_increasing_id())
+    packed = bestfit_packing.pack(rows, capacity=16, pieces_a_task=100)
+    assert packed.select((F.col("sequence_id") / (1 << 40)).cast("int").alias("task")).distinct().count() >= 5
 
 
 # 9
