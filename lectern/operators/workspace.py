@@ -11,8 +11,10 @@ folders, never ``startswith`` join conditions (those plan as nested loops).
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import pandas as pd
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -282,69 +284,120 @@ def lookup_path(ws: DataFrame, requests: DataFrame, keys: list[str], sudo: bool
                      F.when(found, F.col("contents")).alias("contents"))
 
 
-def apply_file_edits(ws: DataFrame, edits: DataFrame, keys: list[str], sudo: bool = False) -> tuple[DataFrame, DataFrame]:
-    """JOIN-8: apply ``write`` / ``remove`` edits in ``seq`` order; returns (new workspace, one
-    outcome per edit).
+def _parent(path: Column) -> Column:
+    parts = F.split(path, "/")
+    return F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")
 
-    A write makes or replaces a file: it needs an existing parent folder (the root always
-    exists) and a target that is not a folder at that time. A remove needs an existing target
-    and takes a folder's subtree. Hidden or immutable targets refuse unless ``sudo``.
 
-    Edits never make folders, so a folder's life ends at the first remove of it or of an
-    ancestor; that time per folder decides every edit below it, and what remains is the order of
-    the edits of one path. ``seq`` is unique.
+def apply_file_edits(ws: DataFrame, edits: DataFrame, keys: list[str], sudo: bool = False) -> tuple[DataFrame, DataFrame]:
+    """JOIN-8: apply ``write`` / ``mkdir`` / ``remove`` edits in ``seq`` order (unique); returns (new
+    workspace, one outcome per edit).
+
+    A write makes or replaces a file, a mkdir makes a folder (or finds it there): both need a parent
+    that is a folder at that time (the root always is) and a target that is not of the other kind.
+    A remove needs an existing target and takes a folder's subtree; what it took can be made anew.
+    Hidden or immutable files and folders of the input refuse unless ``sudo``, for as long as they are there.
+
+    Folders live in intervals. Going down one depth at a time, a folder's intervals (``starts`` and
+    ``ends``) say for each edit below it whether the parent is there and how many times everything
+    below was taken before; between two such times the edits of one path decide in order: what is
+    there is what the first write or mkdir since the last remove made. Of these edits follow the
+    intervals of the folders one depth further down. Each depth is checkpointed.
     """
-    parent = F.array_join(F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1), "/")
-    protected = F.lit(not sudo) & (F.col("is_hidden") | F.col("is_immutable"))
-    dirs = ws.filter("is_dir").select(*keys, "path", protected.alias("guard"))
-    first_rm = (edits.filter(F.col("op") == "remove").join(dirs.filter(~F.col("guard")), [*keys, "path"], "left_semi")
-                .groupBy(*keys, F.col("path").alias("rm")).agg(F.min("seq").alias("ends")))
-    ends = (dirs.select(*keys, "path", F.explode(F.array_append(ancestors(F.col("path")), F.col("path"))).alias("rm"))
-            .join(first_rm, [*keys, "rm"]).groupBy(*keys, "path").agg(F.min("ends").alias("ends")))
-    folders = dirs.select(*keys, "path").join(ends, [*keys, "path"], "left").withColumn("is_folder", F.lit(True))
-
-    t = (edits.withColumn("parent", parent)
-         .join(folders.select(*keys, F.col("path").alias("parent"), F.col("is_folder").alias("p_dir"),
-                              F.col("ends").alias("p_ends")), [*keys, "parent"], "left")
-         .join(ws.select(*keys, "path", F.col("is_dir").alias("t_dir"), protected.alias("t_guard")), [*keys, "path"], "left")
-         .join(ends.withColumnRenamed("ends", "t_ends"), [*keys, "path"], "left"))
-    parent_ok = (F.col("parent") == "") | (F.coalesce("p_dir", F.lit(False)) & ~F.coalesce(F.col("seq") > F.col("p_ends"), F.lit(False)))
-    # the target as the input has it, if it is still there
-    kept = F.col("t_dir").isNotNull() & parent_ok & ~F.coalesce(F.col("seq") > F.col("t_ends"), F.lit(False))
-    is_folder = kept & F.col("t_dir")
-    guarded = kept & F.col("t_guard")
-    t = t.withColumns({"parent_ok": parent_ok, "kept": kept, "open": parent_ok & ~guarded & ~is_folder,
-                       "guarded": guarded, "is_folder": is_folder})
-    # edits that reach a file path decide, one after the other, whether a file is there
-    before = F.lag("op").over(Window.partitionBy(*keys, "path", "open").orderBy("seq"))
-    there = F.when(before.isNull(), F.col("kept")).otherwise(before == "write")
-    status = (F.when(F.col("guarded"), F.lit("refused: protected file"))
-              .when((F.col("op") == "write") & ~F.col("parent_ok"), F.lit("refused: parent is not a folder"))
-              .when((F.col("op") == "write") & F.col("is_folder"), F.lit("refused: target is a folder"))
-              .when((F.col("op") == "remove") & ~F.col("is_folder") & ~(F.col("open") & there), F.lit("refused: no such file"))
-              .otherwise(F.lit("applied")))
-    t = t.withColumn("status", status)
-    outcomes = t.select(*keys, "path", "op", "seq", "status")
-
-    # what the last applied edit of a file path left, unless its folder went later
-    last = (t.filter(F.col("open") & (F.col("status") == "applied") & F.col("p_ends").isNull()).groupBy(*keys, "path")
-            .agg(F.max_by(F.struct("op", "contents"), "seq").alias("e"))
-            .select(*keys, "path", F.col("e.op").alias("op"), F.col("e.contents").alias("new_contents")))
-    stay = (ws.withColumn("parent", parent)
-            .join(ends.select(*keys, F.col("path").alias("parent"), F.lit(True).alias("p_gone")), [*keys, "parent"], "left")
-            .join(ends.select(*keys, "path", F.lit(True).alias("t_gone")), [*keys, "path"], "left")
-            .filter(F.col("p_gone").isNull() & F.col("t_gone").isNull()).drop("parent", "p_gone", "t_gone"))
-    updated = (stay.join(last, [*keys, "path"], "left").filter(F.coalesce(F.col("op") != "remove", F.lit(True)))
-               .withColumn("contents", F.when(F.col("op") == "write", F.col("new_contents")).otherwise(F.col("contents")))
-               .drop("op", "new_contents"))
-    created = (last.filter(F.col("op") == "write").join(stay.select(*keys, "path"), [*keys, "path"], "left_anti")
-               .select(*keys, "path", F.element_at(F.split("path", "/"), -1).alias("name"),
-                       F.lit(False).alias("is_dir"), F.lit(False).alias("is_tmpl"),
-                       F.lit(False).alias("is_immutable"), F.lit(False).alias("is_hidden"),
-                       F.col("new_contents").alias("contents")))
+    from lectern.session import checkpoint_dir
+    checkpoint_dir(ws.sparkSession)
+    depth = F.size(F.split("path", "/"))
+    guard = F.lit(not sudo) & (F.col("is_hidden") | F.col("is_immutable"))
+    given = ws.select(*keys, "path", depth.alias("depth"), F.when(F.col("is_dir"), "mkdir").otherwise("write").alias("made"), guard.alias("guard"))
+    edits = edits.select(*keys, "path", "seq", "op", "contents", depth.alias("depth"), _parent(F.col("path")).alias("parent"))
+    deepest = max(df.agg(F.max("depth")).first()[0] or 0 for df in (given.filter(F.col("made") == "mkdir"), edits))
+    none = F.array().cast("array<bigint>")
+    lives, levels, folders = None, [], []
+    for d in range(1, deepest + 1):
+        here = edits.filter(F.col("depth") == d)
+        mine = given.filter(F.col("depth") == d)
+        dirs = mine.filter(F.col("made") == "mkdir").withColumn("parent", _parent(F.col("path")))
+        if lives is None:  # below the root
+            here = here.withColumns({"starts": none, "ends": none, "given": F.lit(True)})
+            dirs = dirs.withColumn("ends", none)
+        else:
+            above = lives.withColumnRenamed("path", "parent")
+            here = here.join(above, [*keys, "parent"], "left")
+            dirs = dirs.join(above.select(*keys, "parent", "ends"), [*keys, "parent"], "left")
+        here = here.join(mine.select(*keys, "path", "made", "guard"), [*keys, "path"], "left")
+        done = _edit_level(here, keys, none).checkpoint()
+        # intervals: of the folders given, and of those made
+        first_remove = (done.filter(F.col("first_life") & (F.col("op") == "remove") & (F.col("status") == APPLIED))
+                        .select(*keys, "path", F.col("seq").alias("removed")))
+        old = (dirs.join(first_remove, [*keys, "path"], "left")
+               .select(*keys, "path", F.lit(None).cast("bigint").alias("start"), F.least(F.array_min("ends"), "removed").alias("end")))
+        made = done.filter(F.col("makes") & (F.col("op") == "mkdir"))
+        after = F.array_min(F.filter("ends", lambda x: x > F.col("seq")))
+        new = made.select(*keys, "path", F.col("seq").alias("start"), F.least(after, "removed").alias("end"))
+        spans = old.unionByName(new)
+        lives = (spans.groupBy(*keys, "path").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"),
+                                                  F.max(F.col("start").isNull()).alias("given")).checkpoint())
+        levels.append(done)
+        folders.append(lives)
+    if not levels:
+        return ws, edits.select(*keys, "path", "op", "seq", F.lit(APPLIED).alias("status")).limit(0)
+    done, lives = (reduce(DataFrame.unionByName, parts) for parts in (levels, folders))
+    outcomes = done.select(*keys, "path", "op", "seq", "status")
+
+    # the input's rows that are still there: not taken with their folder, not removed
+    taken = lives.filter(F.col("given") & (F.size("ends") > 0)).select(*keys, "path")
+    removed = (done.filter(F.col("first_life") & (F.col("op") == "remove") & (F.col("status") == APPLIED)).select(*keys, "path"))
+    stay = (ws.withColumn("parent", _parent(F.col("path")))
+            .join(taken.withColumnRenamed("path", "parent"), [*keys, "parent"], "left_anti").drop("parent")
+            .join(taken, [*keys, "path"], "left_anti").join(removed, [*keys, "path"], "left_anti"))
+    # what the last life of a path left, if neither a remove nor a taken folder ended it
+    applied = done.filter((F.col("status") == APPLIED) & (F.col("op") != "remove") & F.col("removed").isNull() & (F.col("kills") == F.size("ends")))
+    last = applied.groupBy(*keys, "path").agg(F.max_by(F.struct("op", "contents"), "seq").alias("e"), F.max("first_life").alias("first_life"))
+    last = last.select(*keys, "path", F.col("e.op").alias("op"), F.col("e.contents").alias("new_contents"), "first_life")
+    updated = (stay.join(last.filter("first_life").drop("first_life"), [*keys, "path"], "left")
+               .withColumn("contents", F.when(F.col("op") == "write", F.col("new_contents")).otherwise(F.col("contents"))).drop("op", "new_contents"))
+    created = last.filter(~F.col("first_life")).select(
+        *keys, "path", F.element_at(F.split("path", "/"), -1).alias("name"), (F.col("op") == "mkdir").alias("is_dir"), F.lit(False).alias("is_tmpl"),
+        F.lit(False).alias("is_immutable"), F.lit(False).alias("is_hidden"), F.when(F.col("op") == "write", F.col("new_contents")).alias("contents"))
     return updated.unionByName(created, allowMissingColumns=True), outcomes
 
 
+#: Fixed value: the outcome of an edit that was done.
+APPLIED = "applied"
+
+
+def _edit_level(here: DataFrame, keys: list[str], none: Column) -> DataFrame:
+    """The edits of one depth with their ``status``. ``kills``: how often the parent was taken before;
+    ``first_life``: the input's row of the path is what the edit meets; ``makes``: it makes something;
+    ``removed``: when the life it belongs to is removed."""
+    here = here.withColumns({"starts": F.coalesce("starts", none), "ends": F.coalesce("ends", none), "given": F.coalesce("given", F.lit(False))})
+    before = lambda times: F.size(F.filter(times, lambda x: x < F.col("seq")))
+    here = here.withColumn("kills", before("ends"))
+    here = here.withColumn("parent_ok", F.col("given").cast("int") + before("starts") > F.col("kills"))
+    there = F.col("made").isNotNull() & (F.col("kills") == 0)  # the input's row, unless it was removed
+    here = here.withColumn("guarded", F.col("parent_ok") & there & F.col("guard"))
+    # the edits that can do something: lives of the path end with a taken folder or a remove
+    life = Window.partitionBy(*keys, "path", "counts", "kills").orderBy("seq")
+    here = here.withColumn("counts", F.col("parent_ok") & ~F.col("guarded"))
+    here = here.withColumn("removes", F.coalesce(F.sum((F.col("op") == "remove").cast("int")).over(life.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    one = Window.partitionBy(*keys, "path", "counts", "kills", "removes")
+    here = here.withColumn("first_life", F.col("counts") & there & (F.col("removes") == 0))
+    here = here.withColumn("first_op", F.first("op").over(one.orderBy("seq")))
+    here = here.withColumn("nth", F.row_number().over(one.orderBy("seq")))
+    here = here.withColumn("removed", F.max(F.when(F.col("op") == "remove", F.col("seq"))).over(one))
+    kind = F.when(F.col("first_life"), F.col("made")).when(F.col("nth") > 1, F.col("first_op"))
+    status = (F.when(F.col("guarded"), F.lit("refused: protected file"))
+              .when(~F.col("parent_ok") & (F.col("op") != "remove"), F.lit("refused: parent is not a folder"))
+              .when(~F.col("parent_ok") | ((F.col("op") == "remove") & F.col("kind").isNull()), F.lit("refused: no such file"))
+              .when((F.col("op") == "write") & (F.col("kind") == "mkdir"), F.lit("refused: target is a folder"))
+              .when((F.col("op") == "mkdir") & (F.col("kind") == "write"), F.lit("refused: target is a file"))
+              .otherwise(F.lit(APPLIED)))
+    here = here.withColumn("kind", kind).withColumn("status", status)
+    makes = F.col("counts") & F.col("kind").isNull() & (F.col("op") != "remove")
+    return here.select(*keys, "path", "seq", "op", "contents", "status", "ends", "kills", "first_life", makes.alias("makes"),
+                       F.when(F.col("counts"), F.col("removed")).alias("removed"))
+
+
 def file_violations(ws: DataFrame, keys: list[str]) -> DataFrame:
     """VAL-10: bad names, files with children, too-deep trees, hidden files that would be
     serialised."""

@@ -49,32 +49,42 @@ def q_lookup_path(spark, sf_dir):
 
 
 _EDIT = WS + """,
--- the first remove of each <source>/es folder ends it; later edits below it find no folder
-rmf AS (SELECT source, min(doc_id) AS ends FROM d WHERE doc_id % 5 = 2 AND lang = 'es' GROUP BY source),
+-- every edit with the folder whose life decides it; folder edits change that folder
+e0 AS (
+  SELECT doc_id, doc_id % 5 AS k, lang, path AS old_path, hidden OR immutable AS guarded, source || '/new' || (doc_id % 3) AS made, source || '/' || lang AS home,
+         CASE WHEN doc_id % 5 IN (0, 1, 3) AND NOT (doc_id % 5 = 1 AND lang = 'de') THEN home WHEN lang = 'es' THEN home ELSE made END AS folder,
+         CASE doc_id % 5 WHEN 1 THEN lang = 'de' WHEN 2 THEN lang = 'es' WHEN 4 THEN true ELSE false END AS on_folder,
+         CASE doc_id % 5 WHEN 0 THEN 'write' WHEN 1 THEN 'remove' WHEN 2 THEN CASE WHEN lang = 'es' THEN 'remove' ELSE 'write' END WHEN 3 THEN 'write' ELSE 'mkdir' END AS op,
+         CASE doc_id % 5 WHEN 0 THEN 'edited ' WHEN 2 THEN 'new ' WHEN 3 THEN 'new ' END || doc_id AS contents
+  FROM d),
+fe AS (SELECT folder, doc_id AS t, op AS last_op FROM e0 WHERE on_folder),
+rm AS (SELECT folder, min(t) AS first_rm, max(t) AS last_rm FROM fe WHERE last_op = 'remove' GROUP BY folder),
+e1 AS (
+  SELECT e0.*, coalesce(fe.last_op = 'mkdir', e0.folder = home) AS there, coalesce(first_rm > doc_id, true) AS first_life, coalesce(last_rm > doc_id, false) AS taken
+  FROM e0 ASOF LEFT JOIN fe ON e0.folder = fe.folder AND e0.doc_id > fe.t LEFT JOIN rm ON rm.folder = e0.folder),
 e AS (
-  SELECT doc_id, lang, path AS old_path, CASE WHEN doc_id % 5 IN (0, 3) THEN 'write' ELSE 'remove' END AS op,
-         CASE WHEN doc_id % 5 IN (0, 1) THEN path WHEN doc_id % 5 = 2 THEN source || '/' || lang
-              ELSE source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) || '.txt' END AS path,
-         CASE WHEN lang = 'es' AND doc_id > coalesce(ends, doc_id)
-              THEN CASE WHEN doc_id % 5 IN (0, 3) THEN 'refused: parent is not a folder' ELSE 'refused: no such file' END
-              WHEN doc_id % 5 IN (0, 1) AND (hidden OR immutable) THEN 'refused: protected file'
-              ELSE 'applied' END AS status
-  FROM d LEFT JOIN rmf USING (source) WHERE doc_id % 5 <> 4 AND NOT (doc_id % 5 = 2 AND lang <> 'es')),
-done AS (SELECT * FROM e WHERE status = 'applied'),
-after0 AS (
-  SELECT ws.path, is_dir, CASE WHEN done.op = 'write' THEN 'edited ' || CAST(doc_id AS VARCHAR) ELSE contents END AS contents
-  FROM ws LEFT JOIN done ON done.path = ws.path AND NOT is_dir WHERE coalesce(done.op, '') <> 'remove'
-  UNION ALL SELECT path, false, 'new ' || CAST(doc_id AS VARCHAR) FROM done WHERE doc_id % 5 = 3),
-after AS (SELECT * FROM after0 WHERE NOT EXISTS (
-  SELECT 1 FROM rmf WHERE after0.path = source || '/es' OR starts_with(after0.path, source || '/es/')))"""
+  SELECT *, CASE WHEN on_folder THEN folder WHEN k = 2 THEN folder || '/' || doc_id || '.txt' WHEN k = 3 THEN folder || '/' || doc_id || '.txt' ELSE old_path END AS path,
+         CASE WHEN op = 'mkdir' THEN 'applied'
+              WHEN NOT there THEN CASE op WHEN 'remove' THEN 'refused: no such file' ELSE 'refused: parent is not a folder' END
+              WHEN k IN (0, 1) AND NOT on_folder AND first_life AND guarded THEN 'refused: protected file'
+              WHEN k = 1 AND NOT on_folder AND NOT first_life THEN 'refused: no such file'
+              ELSE 'applied' END AS status FROM e1),
+done AS (SELECT * FROM e WHERE status = 'applied' AND NOT on_folder),
+stay AS (SELECT * FROM ws WHERE NOT EXISTS (SELECT 1 FROM rm WHERE ws.path = folder OR starts_with(ws.path, folder || '/'))),
+after AS (
+  SELECT stay.path, is_dir, coalesce(done.contents, stay.contents) AS contents FROM stay LEFT JOIN done ON done.path = stay.path AND k IN (0, 1)
+  WHERE coalesce(done.op, '') <> 'remove'
+  UNION ALL SELECT path, false, contents FROM done WHERE op = 'write' AND NOT taken AND (k IN (2, 3) OR NOT first_life)
+  UNION ALL SELECT folder, true, NULL FROM fe GROUP BY folder
+    HAVING arg_max(last_op, t) = 'mkdir' AND folder NOT IN (SELECT path FROM stay))"""
 
 
 @query("apply_file_edits", _EDIT + """
 SELECT path, is_dir, md5(coalesce(contents, '')) AS contents_md5 FROM after
 """)
 def q_apply_file_edits(spark, sf_dir):
-    """JOIN-8: the workspace after a batch of writes and removes (protected files refuse;
-    a removed folder takes its subtree, and later edits below it are refused)."""
+    """JOIN-8: the workspace after a batch of writes, new folders and removes (protected files refuse;
+    a removed folder takes its subtree; below a folder made again edits go on)."""
     new, _ = apply_file_edits(_ws(spark, sf_dir), catalogue.file_edits(spark, sf_dir), KEYS)
     return new.select("path", "is_dir", F.md5(F.coalesce("contents", F.lit(""))).alias("contents_md5"))
 

@@ -314,21 +314,21 @@ def path_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edits by doc_id % 5: 0 rewrite the file, 1 remove it, 2 (Spanish documents) remove
-    the ``<source>/es`` folder, 3 write a new ``.txt`` file beside it."""
+    """Edits by doc_id % 5: 0 rewrite the file; 1 remove it (German documents: the folder
+    ``<source>/new<doc_id % 3>``); 2 write a file into that folder (Spanish documents: remove
+    ``<source>/es``); 3 write a new ``.txt`` file beside the file; 4 make that folder (Spanish: ``<source>/es``)."""
     d = table(spark, sf_dir, "documents")
-    k = F.col("doc_id") % 5
-    base = F.concat_ws("/", "source", "lang", _s("doc_id"))
-    e = d.select("doc_id", F.when(k == 0, F.struct(F.lit("write").alias("op"), F.concat(base, F.lit(".js")).alias("path"),
-                                                   F.concat(F.lit("edited "), _s("doc_id")).alias("contents")))
-                 .when(k == 1, F.struct(F.lit("remove").alias("op"), F.concat(base, F.lit(".js")).alias("path"),
-                                        F.lit(None).cast("string").alias("contents")))
-                 .when((k == 2) & (F.col("lang") == "es"),
-                       F.struct(F.lit("remove").alias("op"), F.concat_ws("/", "source", "lang").alias("path"),
-                                F.lit(None).cast("string").alias("contents")))
-                 .when(k == 3, F.struct(F.lit("write").alias("op"), F.concat(base, F.lit(".txt")).alias("path"),
-                                        F.concat(F.lit("new "), _s("doc_id")).alias("contents"))).alias("e"))
-    return e.filter(F.col("e").isNotNull()).select(F.lit("docs").alias("ws"), F.col("doc_id").alias("seq"), "e.*")
+    k, es = F.col("doc_id") % 5, F.col("lang") == "es"
+    base, home = F.concat_ws("/", "source", "lang", _s("doc_id")), F.concat_ws("/", "source", "lang")
+    made = F.concat(F.col("source"), F.lit("/new"), (F.col("doc_id") % 3).cast("string"))
+    edit = lambda op, path, contents=F.lit(None).cast("string"): F.struct(F.lit(op).alias("op"), path.alias("path"), contents.alias("contents"))
+    new = F.concat(F.lit("new "), _s("doc_id"))
+    e = (F.when(k == 0, edit("write", F.concat(base, F.lit(".js")), F.concat(F.lit("edited "), _s("doc_id"))))
+         .when((k == 1) & (F.col("lang") == "de"), edit("remove", made)).when(k == 1, edit("remove", F.concat(base, F.lit(".js"))))
+         .when((k == 2) & es, edit("remove", home)).when(k == 2, edit("write", F.concat(made, F.lit("/"), _s("doc_id"), F.lit(".txt")), new))
+         .when(k == 3, edit("write", F.concat(base, F.lit(".txt")), new))
+         .when(es, edit("mkdir", home)).otherwise(edit("mkdir", made)))
+    return d.select(F.lit("docs").alias("ws"), F.col("doc_id").alias("seq"), e.alias("e")).select("ws", "seq", "e.*")
 
 
 def document_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
