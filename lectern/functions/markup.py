@@ -1,56 +1,19 @@
-"""TXT-10 / TXT-11 / TXT-12: conversions between HTML, Markdown and problem markup as
-ordered regex chains (native ``regexp_replace``; the patterns use only syntax that Java
-regex and RE2 read the same way).
-
-The reference calls an external converter; this is a documented subset:
-headings, paragraphs, line breaks, bold/italic, links, images, list items, inline code,
-preformatted blocks and rules; head/script/style/comments are dropped and the common
-entities decoded.
+"""TXT-10 / TXT-11 / TXT-12: conversions between HTML, Markdown and problem markup.
+
+HTML ↔ Markdown reads block structure (nested lists, fences, quotes, tables), which a chain of
+patterns cannot: ``html_tree`` and ``markdown_blocks`` convert one text each, applied to Arrow batches.
+Problem markup (TXT-12) is an ordered chain of native ``regexp_replace`` steps.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Fixed values: (pattern, replacement) steps, replacements with \1-style group references.
-HTML_TO_MD = [
-    (r"(?is)<!--.*?-->", ""),
-    (r"(?is)<head\b.*?</head>", ""),
-    (r"(?is)<script\b.*?</script>", ""),
-    (r"(?is)<style\b.*?</style>", ""),
-    (r"(?is)<!doctype[^>]*>", ""),
-    (r"(?is)<h1\b[^>]*>(.*?)</h1>", "\n# \\1\n\n"),
-    (r"(?is)<h2\b[^>]*>(.*?)</h2>", "\n## \\1\n\n"),
-    (r"(?is)<h3\b[^>]*>(.*?)</h3>", "\n### \\1\n\n"),
-    (r"(?is)<h4\b[^>]*>(.*?)</h4>", "\n#### \\1\n\n"),
-    (r"(?is)<h5\b[^>]*>(.*?)</h5>", "\n##### \\1\n\n"),
-    (r"(?is)<h6\b[^>]*>(.*?)</h6>", "\n###### \\1\n\n"),
-    (r"(?is)<pre\b[^>]*>(.*?)</pre>", "\n```\n\\1\n```\n"),
-    (r"(?is)<code\b[^>]*>(.*?)</code>", r"`\1`"),
-    (r"(?is)<(?:b|strong)\b[^>]*>(.*?)</(?:b|strong)>", r"**\1**"),
-    (r"(?is)<(?:i|em)\b[^>]*>(.*?)</(?:i|em)>", r"*\1*"),
-    (r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>', r"[\2](\1)"),
-    (r'(?is)<img\s[^>]*src="([^"]*)"[^>]*>', r"![](\1)"),
-    (r"(?is)<li\b[^>]*>(.*?)</li>", "- \\1\n"),
-    (r"(?is)<br\s*/?>", "  \n"),
-    (r"(?is)<hr\s*/?>", "\n---\n"),
-    (r"(?is)<p\b[^>]*>(.*?)</p>", "\\1\n\n"),
-    (r"(?s)<[^>]+>", ""),
-]
-# Entities decoded after the tags are gone (&amp; last).
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
-TIDY = [(r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n")]
-
-# Markdown → HTML, per line.
-MD_INLINE = [
-    (r"\*\*([^*]+)\*\*", r"<strong>\1</strong>"),
-    (r"\*([^*]+)\*", r"<em>\1</em>"),
-    (r"`([^`]+)`", r"<code>\1</code>"),
-    (r"!\[([^\]]*)\]\(([^)]*)\)", r'<img src="\2" alt="\1">'),
-    (r"\[([^\]]*)\]\(([^)]*)\)", r'<a href="\2">\1</a>'),
-]
-ESCAPE_HTML = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")]
+from lectern.functions.html_tree import to_markdown
+from lectern.functions.markdown_blocks import to_html
 
 # Problem text markup (TXT-12), applied to one part.
 PROBLEM_MARKUP = [
@@ -71,35 +34,31 @@ def _chain(c: Column, steps) -> Column:
     return c
 
 
-def _replace_all(c: Column, pairs) -> Column:
-    for a, b in pairs:
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return c
+@F.pandas_udf(T.StringType())
+def _markdown_of(texts: pd.Series) -> pd.Series:
+    return texts.map(to_markdown, na_action="ignore")
 
 
-def html_to_markdown(html) -> Column:
-    """TXT-10: HTML → Markdown (documented subset), without blank space at its ends."""
-    c = F.col(html) if isinstance(html, str) else html
-    return F.btrim(_chain(_replace_all(_chain(c, HTML_TO_MD), ENTITIES), TIDY), F.lit(" \t\r\n"))
+@F.pandas_udf(T.StringType())
+def _markdown_beside_code(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: to_markdown(t, keep_fences=True), na_action="ignore")
 
 
-def _md_line(line: Column) -> Column:
-    esc = _chain(_replace_all(line, ESCAPE_HTML), MD_INLINE)
-    heading = F.regexp_extract(line, r"^(#{1,6}) ", 1)
-    level = F.length(heading).cast("string")
-    body = F.regexp_replace(esc, r"^#{1,6} ", "")
-    item = F.regexp_replace(esc, r"^[-*] ", "")
-    return (F.when(F.trim(line) == "", F.lit(""))
-            .when(line.rlike(r"^#{1,6} "), F.concat(F.lit("<h"), level, F.lit(">"), body, F.lit("</h"), level, F.lit(">")))
-            .when(line.rlike(r"^[-*] "), F.concat(F.lit("<li>"), item, F.lit("</li>")))
-            .otherwise(F.concat(F.lit("<p>"), esc, F.lit("</p>"))))
+@F.pandas_udf(T.StringType())
+def _html_of(texts: pd.Series) -> pd.Series:
+    return texts.map(to_html, na_action="ignore")
+
+
+def html_to_markdown(html, keep_fences: bool = False) -> Column:
+    """TXT-10: HTML → Markdown by its tag tree, without blank space at its ends (``keep_fences``: the
+    text may hold fenced Markdown code, which passes as it is)."""
+    c = F.col(html) if isinstance(html, str) else html
+    return (_markdown_beside_code if keep_fences else _markdown_of)(c)
 
 
 def markdown_to_html(md) -> Column:
-    """TXT-11: Markdown → HTML, line by line (headings, list items, paragraphs, inline
-    bold/italic/code/links/images; text escaped)."""
-    c = F.col(md) if isinstance(md, str) else md
-    return F.array_join(F.transform(F.split(F.regexp_replace(c, "\r\n", "\n"), "\n"), _md_line), "\n")
+    """TXT-11: Markdown → HTML, block by block; text is escaped."""
+    return _html_of(F.col(md) if isinstance(md, str) else md)
 
 
 def problem_markup(part) -> Column:
@@ -117,10 +76,10 @@ def wrap_paragraphs(df, keys: list[str], col: str = "text", out: str = "markup")
     """TXT-12 (paragraphs), a DataFrame job: lines that do not start with a tag become
     ``<p>line</p>`` unless they sit inside a script/pre/label/description element (a
     running count of opened minus closed elements over the earlier lines); then
-    ``\\n\\n\\n`` → ``\\n``. Lines are exploded and re-joined in order, so a long text is
+    ``\\n\\n\\n`` → ``\\n``. A null text stays null. Lines are exploded and re-joined in order, so a long text is
     never rescanned per line."""
     from pyspark.sql import Window
-    lines = df.select(*keys, F.posexplode(F.split(F.col(col), "\n")).alias("ln", "line"))
+    lines = df.select(*keys, F.posexplode_outer(F.split(F.col(col), "\n")).alias("ln", "line"))
     flag = F.when(F.col("line").rlike(OPENS), 1).otherwise(0) - F.when(F.col("line").rlike(CLOSES), 1).otherwise(0)
     w = Window.partitionBy(*keys).orderBy("ln").rowsBetween(Window.unboundedPreceding, -1)
     depth = F.coalesce(F.sum(flag).over(w), F.lit(0))
@@ -139,9 +98,3 @@ def sql_chain(expr: str, steps) -> str:
         r = rep.replace("'", "''").replace("\n", "' || chr(10) || '")
         expr = f"regexp_replace({expr}, '{p}', '{r}', 'g')"
     return expr
-
-
-def sql_replace_all(expr: str, pairs) -> str:
-    for a, b in pairs:
-        expr = f"replace({expr}, '{a.replace(chr(39), chr(39) * 2)}', '{b.replace(chr(39), chr(39) * 2)}')"
-    return expr

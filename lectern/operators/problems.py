@@ -114,7 +114,7 @@ def _unescaped(df: DataFrame, *cols: str) -> DataFrame:
 
 def _choice_markdown(c) -> Column:
     """Choice text or explanation: HTML → Markdown outside code, then the code unescaped."""
-    return _plain(html_to_markdown(_c(c)))
+    return _plain(html_to_markdown(_c(c), keep_fences=True))
 
 
 def question_labels(parts: DataFrame, keys: list[str]) -> DataFrame:

@@ -108,6 +108,31 @@ def code_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
                     ).select("doc_id", "d.variant", "d.text")
 
 
+def markup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One HTML and one Markdown text per part, in six forms by p_size % 6: nested and numbered lists,
+    quotes, tables, fenced code, entities, elements that are not closed: ``doc_id, html, markdown``."""
+    p = table(spark, sf_dir, "part")
+    n, t, b, k = F.col("p_name"), F.col("p_type"), F.col("p_brand"), F.col("p_size") % 6
+
+    def form(texts: list[str]) -> Column:
+        out = None
+        for i, text in enumerate(texts):
+            filled = F.replace(F.replace(F.replace(F.lit(text), F.lit("{n}"), n), F.lit("{t}"), t), F.lit("{b}"), b)
+            out = F.when(k == i, filled) if out is None else out.when(k == i, filled)
+        return out
+
+    html = ["<ol><li>{n}</li><li>{t}<ul><li>{b}</li><li><b>{n}</b></li></ul></li></ol><p>after</p>",
+            "<blockquote><p>{n}</p><ul><li>{t}</ul></blockquote>&#8217;{b}&#x2014;&amp;",
+            "<table><thead><tr><th>{n}</th><th>k</th></tr></thead><tbody><tr><td>{t}|x</td><td><code>{b}</code></td></tr></tbody></table>",
+            "<pre><code class=\"language-py\">if a &lt; b:\n  # {n}</code></pre><h3>{t}</h3>",
+            "<p>{n}<br>{t}<p><i>{b}</i> <a href=\"/x\">{n}</a> <b>open<hr>",
+            "<ol start=\"9\"><li><p>{n}</p><p>{t}</p></li><li>{b}</ol>"]
+    markdown = ["1. {n}\n2. {t}\n   - {b}\n   - **{n}**\n\nafter", "```py\n**{n}** <{t}>\n\n# {b}\n```\ntail",
+                "{n} `**{t}**` and *{b}*\nsecond line\n\n> {n}\n> more", "| {n} | k |\n|---|:-:|\n| {t} | `{b}` |",
+                "- {n}\n\n- {t}\n\n## {b}\n---", "{n}\n===\n{t}  \n{b}"]
+    return p.select(F.col("p_partkey").alias("doc_id"), form(html).alias("html"), form(markdown).alias("markdown"))
+
+
 def _block_lines(spark, sf_dir) -> DataFrame:
     """Line items with their order's folder and their position in the order."""
     li = table(spark, sf_dir, "lineitem")
