@@ -35,7 +35,6 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import Scratch, own_name, texts_of
 from lectern.llm.components import connected_components
-from lectern.operators.changes import ROW_JSON
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -68,18 +67,26 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, mark: Column | None = None) -> DataFrame:
-    """doc_id and fingerprint (64 bits as a signed long), in one pass over the scan; with ``mark`` (a
-    string) as a third column, if given."""
-    names = ["doc_id", "fp"] + ["mark"] * (mark is not None)
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, marks: list[Column] | None = None) -> DataFrame:
+    """doc_id and fingerprint (64 bits as a signed long), in one pass over the scan; with ``marks``
+    (longs m0, m1), if given."""
+    marks = [m.alias(f"m{i}") for i, m in enumerate(marks or [])]
+    names = ["doc_id", "fp"] + [f"m{i}" for i in range(len(marks))]
 
     def run(batches):
         for batch in batches:
             fps = np.array([fingerprint(t, shingle) for t in texts_of(batch.column("text"))], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64)), *batch.columns[2:]], names=names)
 
-    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")] + ([mark.alias("mark")] if mark is not None else [])
-    return docs.select(*columns).mapInArrow(run, "doc_id long, fp long" + ", mark string" * (len(names) - 2))
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *marks]
+    return docs.select(*columns).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def row_marks(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of a row over all its columns, nulls told apart."""
+    values = [F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in df.schema.fields]
+    told = [x for v in values for x in (v, v.isNull())]
+    return [F.xxhash64(*told), F.xxhash64(F.lit("second"), *told)]
 
 
 def pivots(count: int = PIVOTS) -> list[int]:
@@ -306,14 +313,14 @@ def drop_near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, k: int = MA
     without an id come last), of equal ids the one whose row has the least hash. Components are those
     of rows, so an id that names several texts can stay several times, and copies without an id go."""
     scratch = scratch or Scratch(docs.sparkSession, "simhash-drop")
-    mark = F.sha2(F.to_json(F.struct(*docs.columns), ROW_JSON), 256)
-    prints = scratch("fingerprints", fingerprints(docs, shingle, mark))
+    marks = row_marks(docs)
+    prints = scratch("fingerprints", fingerprints(docs, shingle, marks))
     # the first row of each fingerprint, then of each component
     first = lambda order: F.min(order).alias("row")
-    firsts = scratch("firsts", prints.groupBy("fp").agg(first(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark"))))
+    firsts = scratch("firsts", prints.groupBy("fp").agg(first(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "m0", "m1"))))
     rooted = firsts.join(_roots(prints, scratch, k, limit).withColumnRenamed("v", "fp"), "fp", "left")
-    kept = scratch("kept", rooted.groupBy(F.coalesce("root", "fp").alias("root")).agg(first(F.col("row"))).select("row.mark"))
-    name = own_name(docs, "mark")
-    # rows that are equal in all columns share a mark: one of them stays
-    marked = docs.withColumn(name, mark).join(kept.withColumnRenamed("mark", name), name, "left_semi")
-    return marked.dropDuplicates([name]).select(*docs.columns)
+    names = [own_name(docs, n) for n in ("m0", "m1")]
+    kept = scratch("kept", rooted.groupBy(F.coalesce("root", "fp").alias("root")).agg(first(F.col("row"))).select(*[F.col(f"row.m{i}").alias(n) for i, n in enumerate(names)]))
+    # rows that are equal in all columns share their marks: one of them stays
+    marked = docs.withColumns(dict(zip(names, marks))).join(kept, names, "left_semi")
+    return marked.dropDuplicates(names).select(*docs.columns)

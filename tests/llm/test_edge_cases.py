@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.llm import (bestfit_packing, bpe_lexicon, language_id, quality_fm, robust_rules, simhash_pivot, substring_cover, url_templates,
                          vector_sharding, vector_topk)
 
-CLASHES = ["_kept", "_id", "_th", "mark", "_mark", "row", "fp", "root"]
+CLASHES = ["_kept", "_id", "_th", "m0", "_m1", "row", "fp", "root"]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, fp long, size long, th long, route long, z0 long, shard int, length long, unit string"
 LONG = " ".join(f"word{i % 977} and{i % 13}" for i in range(60_000))
 
