@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm.bpe import IdTable, Merges
-from lectern.llm.common import Scratch, texts_of
+from lectern.llm.common import Scratch, in_parts, texts_of
 
 CAPACITY = 4096
 END_ID = 1
@@ -52,7 +52,7 @@ class WordTokenizer:
     a text's ids are those of its white-space separated words, one after the other. Words and
     pre-tokens seen are kept in bounded memos; those not seen are merged many at a time."""
 
-    def __init__(self, path: str, limit: int = 1 << 20):
+    def __init__(self, path: str, limit: int = 1 << 18):
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
@@ -125,7 +125,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, en
 
     def run(batches):
         tokenizer = WordTokenizer(tokenizer_path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_parts(whole)):
             rows = []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), tokenizer.encode_batch(texts_of(batch.column("text")))):
                 tokens = np.append(ids, end_id).astype("<u4")

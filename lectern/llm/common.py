@@ -54,6 +54,11 @@ def texts_of(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def in_parts(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """A batch a few rows at a time, so that only those are held as Python objects."""
+    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
               schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
