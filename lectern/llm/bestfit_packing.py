@@ -52,7 +52,7 @@ class WordTokenizer:
     a text's ids are those of its white-space separated words, one after the other. Words and
     pre-tokens seen are kept in bounded memos; those not seen are merged many at a time."""
 
-    def __init__(self, path: str, limit: int = 1 << 18):
+    def __init__(self, path: str, limit: int = 1 << 19):
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
