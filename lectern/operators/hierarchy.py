@@ -40,6 +40,7 @@ class Hierarchy:
     id_writeback: DataFrame  # (course_id, folder, url_name) for ids that were derived
     files: DataFrame         # the kept files with parts/depth/name/folder
     deep: DataFrame | None = None  # (course_id, path) of folders below a level that is none (VAL-3)
+    unparsed: DataFrame | None = None  # (course_id, path) of documents that do not parse (VAL-13)
 
 
 def drop_ignored(files: DataFrame) -> DataFrame:
@@ -203,4 +204,4 @@ def store_hierarchy(h: Hierarchy, base: str, spark) -> Hierarchy:
         src = h.courses if name == "courses" else getattr(derived, name)
         src.write.mode("overwrite").parquet(path)
         out[name] = spark.read.parquet(path)
-    return Hierarchy(files=h.files, deep=h.deep, **out)
+    return Hierarchy(files=h.files, deep=h.deep, unparsed=h.unparsed, **out)

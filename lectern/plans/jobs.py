@@ -18,12 +18,11 @@ from lectern.functions.markup import html_to_markdown
 from lectern.operators.hierarchy import Hierarchy, build_hierarchy
 from lectern.operators.records import CourseRecords
 from lectern.operators.timestamps import rollup_updated_at
-from lectern.operators.validate import MSG_PARSE, violations
+from lectern.operators.validate import violations
 from lectern.operators.xml_import import editor_files, import_xml
 from lectern.sinks.export import book_rows, export_tree, export_xml
 from lectern.sinks.upsert import UPSERT_ORDER, upsert_table
 from lectern.sources.tree import with_path_parts
-from lectern.sources.xml import parse_errors
 
 
 INDEX_BASE = "search_documents"
@@ -77,7 +76,7 @@ def hierarchy_from_xml(files: DataFrame, stage=None) -> Hierarchy:
     held = with_path_parts(sources.filter(F.col("path").isNotNull()).select(
         "course_id", F.concat_ws("/", "vert_id", src, "path").alias("path"), F.col("contents").alias("content")))
     return Hierarchy(courses=courses, chapters=chapters, sequentials=seqs, verticals=verts, blocks=blocks,
-                     folders=folders, id_writeback=None, files=held)
+                     folders=folders, id_writeback=None, files=held, unparsed=x.errors.select("course_id", "path"))
 
 
 def read_catalogue(files: DataFrame, fmt: str, stage=None) -> Hierarchy:
@@ -103,12 +102,8 @@ def convert(files: DataFrame, from_fmt: str, to_fmt: str, stage=None) -> DataFra
 
 def verify(files: DataFrame, fmt: str = "folder", stage=None) -> DataFrame:
     """JOB-3: every violation of every course; XML documents that cannot be parsed are reported as
-    VAL-13 (what hangs below them is not read)."""
-    found = violations(CourseRecords(read_catalogue(files, fmt, stage), stage=stage))
-    if fmt == "xml":
-        bad = parse_errors(files).select("course_id", F.lit("VAL-13").alias("rule"), "path", F.lit(MSG_PARSE).alias("message"))
-        found = found.unionByName(bad)
-    return found
+    VAL-13 from the pass that read them (what hangs below them is not read)."""
+    return violations(CourseRecords(read_catalogue(files, fmt, stage), stage=stage))
 
 
 def load(spark: SparkSession, h: Hierarchy, commits: DataFrame | None, out_base: str,
