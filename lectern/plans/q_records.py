@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern.functions.text import strip_hints
 from lectern.operators.records import CourseRecords
 from lectern.operators.timestamps import rollup_updated_at
 from lectern.plans.oracle import with_prelude
@@ -180,17 +181,25 @@ res AS (
          CASE WHEN is_exam THEN NULL ELSE vert_id END AS ref_card_id,
          CASE WHEN is_exam THEN 'course,unit,section' ELSE 'course,unit,section,card' END AS ref_levels,
          answer,
-         CAST(CASE form WHEN 0 THEN 3 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 0 END AS BIGINT) AS n_choices
+         CAST(CASE form WHEN 0 THEN 3 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 0 END AS BIGINT) AS n_choices,
+         CASE form
+           WHEN 0 THEN p_brand || ' [true] ' || p_type || chr(10) || p_type || ' [false] ' || chr(10) || p_name || ' [false] '
+           WHEN 1 THEN p_brand || ' [true] yes ' || p_type || chr(10) || p_type || ' [false] ' || chr(10) || p_name || ' [true] '
+           WHEN 2 THEN '```' || chr(10) || 'print(''' || p_brand || ''')' || chr(10) || '``` [true] ' || chr(10) || p_type || ' [false] '
+           ELSE '' END AS choices
   FROM q)
 SELECT * FROM res
 """))
 def q_questions(spark, sf_dir):
-    """SET-2 + JOIN-9 + PRJ-15 + PRJ-16 + WIN-3: card and exam questions with references."""
+    """SET-2 + JOIN-9 + PRJ-15 + PRJ-16 + WIN-3: card and exam questions with references and whole
+    choices (text, whether it is an answer, explanation; in their order)."""
     q = records(spark, sf_dir).questions
+    choice = lambda c: F.concat(F.trim(strip_hints(c["text"])), F.lit(" ["), c["correct"].cast("string"), F.lit("] "), c["hint"])
     return q.select("course_id", "id", "question_type", "question_text", "est_time_sec", "hint", "exam_only",
                     "ref_unit_id", "ref_section_id", "ref_card_id",
                     F.array_join(F.transform("doc_refs", lambda r: r["level"]), ",").alias("ref_levels"),
-                    "answer", F.coalesce(F.size("choices"), F.lit(0)).alias("n_choices"))
+                    "answer", F.coalesce(F.size("choices"), F.lit(0)).alias("n_choices"),
+                    F.coalesce(F.array_join(F.transform("choices", choice), "\n"), F.lit("")).alias("choices"))
 
 
 @query("exam_totals", rec_sql("""
