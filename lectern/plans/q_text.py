@@ -27,15 +27,31 @@ def _parsed(spark, sf_dir) -> ParsedProblems:
     return ParsedProblems(catalogue.problem_documents(spark, sf_dir), KEYS)
 
 
-@query("split_parts", PD + """
-SELECT doc_id, 0 AS part_idx, '>>' || p_name || '||' || p_type || '<<' AS first_line FROM pd
-UNION ALL SELECT doc_id, 1, '+(x) ```' FROM pd WHERE form = 2
+@query("split_parts", PD + """,
+body AS (
+  SELECT doc_id, form, '>>' || p_name || '||' || p_type || '<<' || chr(10) || chr(10) AS head,
+         chr(10) || '|| ' || p_brand || ' ||' AS tail,
+         CASE form
+           WHEN 0 THEN '(x) ' || p_brand || ' {{Right:: ' || p_type || '}}' || chr(10) || '( ) ' || p_type || chr(10) ||
+                       '(!@) ' || p_name || chr(10)
+           WHEN 1 THEN '[x] ' || p_brand || ' {{selected: yes ' || p_type || '},{unselected: no ' || p_type || '}}' || chr(10) ||
+                       '[ ] ' || p_type || chr(10) || '[x] ' || p_name || chr(10)
+           WHEN 2 THEN '[[' || p_type || ', (' || p_brand || '), ' || p_name || ']]'
+           WHEN 4 THEN 's= ' || p_brand || chr(10) || 'or= ' || p_type || chr(10) ||
+                       'not= ' || p_name || ' {{Not ' || p_name || '}}' || chr(10)
+         END AS lines
+  FROM pd)
+SELECT doc_id, 0 AS part_idx,
+       CASE form WHEN 3 THEN trim(head, chr(10)) WHEN 2 THEN head || lines ELSE head || lines || tail END AS part FROM body
+UNION ALL SELECT doc_id, 1, '+(x) ```' || chr(10) || 'print(''' || p_brand || ''')' || chr(10) || '``` -(x)-' || chr(10) ||
+                            '+( ) ' || p_type || ' -( )-' FROM pd WHERE form = 2
 """)
 def q_split_parts(spark, sf_dir):
-    """TXT-0 / TXT-1: parts of each document with their first non-blank line."""
+    """TXT-0 / TXT-1: the whole parts of each document, without line breaks at their ends; of numeric
+    problems without the answer lines, which ``answers_numeric`` compares."""
     p = _parsed(spark, sf_dir).parts
-    first = F.element_at(F.filter(F.split("part", "\n"), lambda x: F.trim(x) != ""), 1)
-    return p.select("doc_id", "part_idx", first.alias("first_line"))
+    part = F.regexp_replace("part", r"(?m)^(= |or= )[0-9].*$", "")
+    return p.select("doc_id", "part_idx", F.regexp_replace(part, r"^\n+|\n+$", "").alias("part"))
 
 
 @query("question_labels", PD + """
