@@ -7,7 +7,9 @@ bin that still takes a piece in a few word operations; when all bins are open an
 fullest closes.
 
 At scale: tokenising is one pass over the scan, with a bounded memo of words per task, and its
-result (one narrow row a piece) is staged. Packing then runs on tasks of about ``PIECES_A_TASK``
+result (one narrow row a piece) is staged. A few MB of text at a time are split and reduced to their
+distinct words by Arrow, so only those are looked up in the memo; the vocabulary is read once per
+Python worker. Packing then runs on tasks of about ``PIECES_A_TASK``
 pieces, dealt by a hash; a task leaves at most ``OPEN_BINS`` bins that it might have filled
 further. Nothing is gathered beyond one task's narrow rows, which are streamed.
 
@@ -21,17 +23,19 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm.bpe import IdTable, Merges
-from lectern.llm.common import Scratch, in_parts, texts_of
+from lectern.llm.common import Scratch, in_parts
 
 CAPACITY = 4096
 END_ID = 1
@@ -47,24 +51,32 @@ _PRETOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9
 BATCH_BYTES = 1 << 22
 
 
+@lru_cache(maxsize=1)
+def vocabulary(path: str):
+    """The library's tokenizer and the merge table of a vocabulary file, kept per Python worker; neither changes in use."""
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    return library, Merges(path)
+
+
 class WordTokenizer:
     """Ids of whole texts under a word-level BPE vocabulary whose pre-tokenizer drops white space:
     a text's ids are those of its white-space separated words, one after the other. Words and
     pre-tokens seen are kept in bounded memos; those not seen are merged many at a time."""
 
     def __init__(self, path: str, limit: int = 1 << 19):
-        from tokenizers import Tokenizer
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.merges = Merges(path)
+        self.library, self.merges = vocabulary(path)
         self.words = IdTable(limit)
         self.parts = IdTable(limit)
 
     def _is_odd(self, word: str) -> bool:
         return _NOT_LATIN.search(word) is not None or any(s in word for s in self.merges.special)
 
-    def _learn(self, fresh: list[bytes]) -> None:
+    def _learn(self, fresh: list[bytes]) -> np.ndarray:
+        """Adds words that the memo lacks; their numbers there."""
+        at = len(self.words.number)
         if len(self.parts.number) > self.parts.limit:
             self.parts.clear()
         words = b" ".join(fresh).decode("utf-8", "replace").split(" ")
@@ -91,32 +103,48 @@ class WordTokenizer:
         if odd:
             got = self.library.encode_batch([words[i] for i in odd], add_special_tokens=False)
             self.words.add([fresh[i] for i in odd], np.array([x for e in got for x in e.ids], dtype=np.int32), np.array([len(e.ids) for e in got], dtype=np.int64))
-
-    def encode_batch(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
-        """The ids of each text, in order."""
-        for at, to in by_bytes(texts, BATCH_BYTES):
-            split = [(t or b"").split() for t in texts[at:to]]
-            fresh = set(chain.from_iterable(split)).difference(self.words.number)
-            if len(fresh) + len(self.words.number) > self.words.limit:
-                self.words.clear()
-                fresh = set(chain.from_iterable(split))
-            if fresh:
-                self._learn(list(fresh))
-            number = self.words.number.__getitem__
-            for words in split:
-                yield self.words.gather(np.fromiter(map(number, words), dtype=np.int64, count=len(words)))
-
-
-def by_bytes(texts: list[bytes | None], limit: int) -> Iterator[tuple[int, int]]:
+        numbers = np.arange(at, at + len(fresh))
+        if odd:
+            numbers[words_in + odd] = numbers.copy()
+        return numbers
+
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
+        """The memo's number of each of these distinct words; those not seen are learned."""
+        known = self.words.number
+        found = np.fromiter(map(known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        new = np.flatnonzero(found < 0)
+        if len(new) and len(new) + len(known) > self.words.limit:
+            self.words.clear()
+            new = np.arange(len(words))
+        if len(new):
+            found[new] = self._learn([words[i] for i in new.tolist()])
+        return found
+
+    def encode_batch(self, texts: list[bytes | None] | pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, in order; ``texts`` may be an Arrow string column."""
+        column = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_binary()).view(pa.large_string())
+        for at, to in by_bytes(pc.fill_null(pc.binary_length(column), 0).to_pylist(), BATCH_BYTES):
+            # white space at either end of a text leaves an empty word, which has no ids
+            split = pc.ascii_split_whitespace(pc.fill_null(column.slice(at, to - at), ""))
+            distinct = split.flatten().dictionary_encode()
+            words = distinct.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False)  # to_pylist() takes ten times as long
+            numbers = self._numbers(words.tolist())[distinct.indices.to_numpy()]
+            ids = self.words.gather(numbers)
+            ends = np.append(0, np.cumsum(self.words.count[numbers]))[split.offsets.to_numpy()].tolist()
+            for start, end in zip(ends, ends[1:]):
+                yield ids[start:end]
+
+
+def by_bytes(lengths: list[int], limit: int) -> Iterator[tuple[int, int]]:
     """Slices of about ``limit`` bytes (a longer text is a slice of its own)."""
     at = held = 0
-    for i, t in enumerate(texts):
-        if held and held + len(t or b"") > limit:
+    for i, n in enumerate(lengths):
+        if held and held + n > limit:
             yield at, i
             at, held = i, 0
-        held += len(t or b"") + 1
-    if at < len(texts):
-        yield at, len(texts)
+        held += n + 1
+    if at < len(lengths):
+        yield at, len(lengths)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -127,7 +155,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, en
         tokenizer = WordTokenizer(tokenizer_path)
         for batch in (part for whole in batches for part in in_parts(whole)):
             rows = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), tokenizer.encode_batch(texts_of(batch.column("text")))):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), tokenizer.encode_batch(batch.column("text"))):
                 tokens = np.append(ids, end_id).astype("<u4")
                 for k, start in enumerate(range(0, len(tokens), capacity)):
                     part = tokens[start:start + capacity]

@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -320,6 +321,39 @@ def test_word_tokenizer():
         assert lib.encode(text, add_special_tokens=False).ids == ids.tolist()
 
 
+def test_word_tokenizer_columns(monkeypatch):
+    """Arrow columns, slices of them and slices of few bytes give each text's own ids, also while the memo is cleared."""
+    monkeypatch.setattr(bestfit_packing, "BATCH_BYTES", 300)
+    lib, texts = Tokenizer.from_file(WORD_BPE), [None, "", "  ", "\x1c", *_odd_texts(300, 2), None, " a\tb\x0b\x0c\r\n", "x " * 900, None]
+    for kind in (pa.string(), pa.large_string()):
+        own, column = bestfit_packing.WordTokenizer(WORD_BPE, limit=200), pa.array(["cut off", *texts, "cut off"], kind).slice(1, len(texts))
+        got = [ids.tolist() for ids in own.encode_batch(column)]
+        assert got == [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert list(own.encode_batch(pa.array([], pa.string()))) == []
+    broken = [b"a\xff\xfeb \xc3 c", b"\xe2\x80"]  # not UTF-8: what does not decode is replaced
+    assert [ids.tolist() for ids in own.encode_batch(broken)] == [lib.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids for t in broken]
+
+
+def test_word_tokenizer_looks_up_distinct_words():
+    """Repeated words of a batch are looked up once; the vocabulary is read once per process."""
+    class Counted(dict):
+        lookups = 0
+
+        def get(self, *a):
+            self.lookups += 1
+            return super().get(*a)
+
+        def __getitem__(self, k):
+            self.lookups += 1
+            return super().__getitem__(k)
+
+    own = bestfit_packing.WordTokenizer(WORD_BPE)
+    known = own.words.number = Counted()
+    assert [len(x) for x in own.encode_batch([b"one two three " * 1000] * 5)] == [3000] * 5
+    assert known.lookups <= 10
+    assert bestfit_packing.WordTokenizer(WORD_BPE).merges is own.merges
+
+
 def _check_packing(got, docs, capacity=4096):
     lib = Tokenizer.from_file(WORD_BPE)
     pieces = {}
