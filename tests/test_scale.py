@@ -187,3 +187,53 @@ def test_only_files_that_can_be_named_are_joined(spark):
     got = {x.repl_path: x.content for x in r.code_repls.collect()}
     assert got == {f"{CARD}/03_c.prob.repl.yaml": '{"src_path":"03_c.prob.repl/src"}', f"{CARD}/gone": None}
     assert ".prob.repl.yaml" in plan(r.code_repls)
+
+
+def test_long_documents_are_passed_on_while_they_are_read(monkeypatch):
+    """The rows of a long document leave in pieces, equal to those of one parse; one that breaks off
+    late gives its error alone."""
+    import pyarrow as pa
+    from lectern.sources import xml
+    good = '<v a="1">' + '<html k="&lt;">x<b/>y</html><p><!-- c --><q/></p>' * 40 + "</v>"
+    texts = [good, good[:-3], "<a/>", None, "<a>"]
+    batch = pa.RecordBatch.from_pydict({"course_id": pa.array(["C"] * 5), "path": pa.array([f"d/{i}.xml" for i in range(5)]), "content": pa.array(texts)})
+    for name, value in (("WHOLE_BYTES", 50), ("PIECE", 7), ("ROWS_AT_A_TIME", 6)):
+        monkeypatch.setattr(xml, name, value)
+    out = list(xml._node_batches([batch]))
+    assert len(out) > 20 and max(b.num_rows for b in out) < 12
+    rows = [r for b in out for r in b.to_pylist()]
+    made = lambda path: sorted(({k: dict(r[k]) if k == "attrs" else r[k] for k in xml._NODE} for r in rows if r["path"] == path and r["error"] is None), key=lambda r: r["node"])
+    monkeypatch.setattr(xml, "PIECE", 1 << 20)
+    assert made("d/0.xml") == xml.read_document(good) and made("d/2.xml") == xml.read_document("<a/>")
+    assert [(r["path"], r["node"]) for r in rows if r["error"]] == [("d/1.xml", None), ("d/4.xml", None)]
+    assert not made("d/1.xml") and not any(r["path"] == "d/3.xml" for r in rows)
+
+
+def test_children_numbered_either_way_are_the_same(spark, monkeypatch):
+    from lectern.operators import xml_import
+    docs = {"course.xml": '<course url_name="c"/>', "course/c.xml": '<course><chapter url_name="a"/><chapter url_name="b"><sequential url_name="s"/>'
+            '<sequential url_name="s"/></chapter></course>', "chapter/a.xml": '<chapter display_name="A"><x/><sequential url_name="t"><vertical url_name="v"><html url_name="h">i</html>'
+            '<problem url_name="p"/></vertical></sequential><sequential url_name="u"/></chapter>', "html/h.xml": '<html display_name="H" filename="f"/>', "html/f.html": "<p>F</p>"}
+    files = spark.createDataFrame([("C", p, t) for p, t in docs.items()], "course_id string, path string, content string")
+
+    def found():
+        x = xml_import.import_xml(files, lambda name, df: spark.createDataFrame(df.collect(), df.schema))
+        return ([sorted(map(repr, df.drop("attrs").collect())) for df in (x.chapters, x.sequentials, x.verticals, x.blocks.select(
+            "vert_id", "block_idx", "block_type", "url_name", "display_name", "html"))])
+
+    once = found()
+    assert [len(rows) for rows in once] == [2, 4, 1, 2] and "html='<p>F</p>'" in once[3][0]
+    monkeypatch.setattr(xml_import, "hot_buckets", lambda df, keys: [0])
+    assert found() == once
+
+
+def test_appended_commits_are_kept_as_columns(spark, course, monkeypatch):
+    """The touched files and folders of a batch are not checkpointed row by row."""
+    import datetime as dt
+    from lectern.operators.rollup_table import append_commits
+    h = build_hierarchy(course)
+    day = dt.datetime(2024, 1, 1)
+    log = spark.createDataFrame([("C", f"{CARD}/00_a.md", "c", day, day)], "course_id string, path string, commit_id string, author_ts timestamp_ntz, committer_ts timestamp_ntz")
+    monkeypatch.setattr(type(log), "checkpoint", lambda *a, **b: pytest.fail("checkpointed"))
+    rows = append_commits(spark, f"{checkpoint_dir(spark)}/t-append-{uuid.uuid4().hex}", h, log)
+    assert sorted(r.folder for r in rows.collect()) == ["", "01_One", "01_One/01_Seq", CARD]
